@@ -42,9 +42,9 @@ def _local_topk(metric: str, k: int):
         if q.empty or it.empty:
             return pd.DataFrame({"qid": pd.Series([], "int64"), "item_id": pd.Series([], "int64"),
                                  "score": pd.Series([], "float64")})
-        it = it.sort_values("item_id", kind="stable")
-        ids = it["item_id"].to_numpy(np.int64)
-        I = np.vstack(it["v"].to_numpy()).astype(np.float64)
+        it = it.sort_values("iid", kind="stable")
+        ids = it["iid"].to_numpy(np.int64)
+        I = np.vstack(it["iv"].to_numpy()).astype(np.float64)
         Q = np.vstack(q["v"].to_numpy()).astype(np.float64)
         if metric == "l2":
             s = (np.sum(Q * Q, axis=1)[:, None] + np.sum(I * I, axis=1)[None, :] - 2.0 * (Q @ I.T))
@@ -105,7 +105,10 @@ def knn(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
         q_rep = q_rep.join(ex, ["qid", "ib"], "left")
     else:
         q_rep = q_rep.withColumn("ex", F.lit(None).cast("array<long>"))
-    i_rep = (items.select("item_id", "v").withColumn("ib", ib_of(F.col("item_id")))
+    # fresh column names on the item side: both sides often come from one table,
+    # and a cogroup of identical attributes would lose one of them
+    i_rep = (items.select(F.col("item_id").alias("iid"), F.col("v").alias("iv"))
+                  .withColumn("ib", ib_of(F.col("iid")))
                   .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))))
     local = (q_rep.groupBy("qb", "ib")
                   .cogroup(i_rep.groupBy("qb", "ib"))

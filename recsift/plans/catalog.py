@@ -333,7 +333,7 @@ def user_features(spark, d):
 
 
 @query("item_features", with_views("""
-    SELECT i.item_id, dense_rank() OVER (ORDER BY category)::BIGINT AS category_code,
+    SELECT i.item_id, dense_rank() OVER (ORDER BY i.category)::BIGINT AS category_code,
            dense_rank() OVER (ORDER BY brand)::BIGINT AS brand_code,
            dense_rank() OVER (ORDER BY condition_id)::BIGINT AS condition_id_code,
            dense_rank() OVER (ORDER BY size_id)::BIGINT AS size_id_code,
