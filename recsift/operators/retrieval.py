@@ -40,8 +40,9 @@ def _local_topk(metric: str, k: int):
     """Return the cogroup function that scores one (query block, item block) pair."""
     def fn(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
         if q.empty or it.empty:
-            return pd.DataFrame({"qid": pd.Series([], "int64"), "item_id": pd.Series([], "int64"),
-                                 "score": pd.Series([], "float64")})
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"),
+                                 "item_id": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype="float64")})
         it = it.sort_values("iid", kind="stable")
         ids = it["iid"].to_numpy(np.int64)
         I = np.vstack(it["iv"].to_numpy()).astype(np.float64)
@@ -97,10 +98,13 @@ def knn(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
     n_qb, n_ib = _blocks(n_q, q_block), _blocks(n_i, i_block)
     qb = F.pmod(F.xxhash64("qid"), F.lit(n_qb))
     ib_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_ib))
-    q_rep = (queries.select("qid", "v").withColumn("qb", qb)
-                    .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_ib - 1)))))
+    # block keys are LongType on both sides: the cogroup hashes them, and an int
+    # and a long of equal value land in different partitions
+    q_rep = (queries.select("qid", "v").withColumn("qb", qb.cast("long"))
+                    .withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                           F.lit(n_ib - 1).cast("long")))))
     if exclusions is not None:
-        ex = (exclusions.select("qid", "item_id").withColumn("ib", ib_of(F.col("item_id")))
+        ex = (exclusions.select("qid", "item_id").withColumn("ib", ib_of(F.col("item_id")).cast("long"))
                         .groupBy("qid", "ib").agg(F.collect_list("item_id").alias("ex")))
         q_rep = q_rep.join(ex, ["qid", "ib"], "left")
     else:
@@ -108,8 +112,9 @@ def knn(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
     # fresh column names on the item side: both sides often come from one table,
     # and a cogroup of identical attributes would lose one of them
     i_rep = (items.select(F.col("item_id").alias("iid"), F.col("v").alias("iv"))
-                  .withColumn("ib", ib_of(F.col("iid")))
-                  .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))))
+                  .withColumn("ib", ib_of(F.col("iid")).cast("long"))
+                  .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                         F.lit(n_qb - 1).cast("long")))))
     local = (q_rep.groupBy("qb", "ib")
                   .cogroup(i_rep.groupBy("qb", "ib"))
                   .applyInPandas(_local_topk(metric, k), KNN_SCHEMA))
