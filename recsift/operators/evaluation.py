@@ -103,9 +103,10 @@ def single_metric(recs: DataFrame, truth: DataFrame, metric: str, k: int,
     return per_user(recs, truth, [k], users, graded).select("user_id", metric)
 
 
-def _long(per: DataFrame, metrics=METRICS) -> DataFrame:
+def _long(per: DataFrame, metrics=METRICS, keys: list[str] | None = None) -> DataFrame:
     stack = ", ".join(f"'{m}', {m}" for m in metrics)
-    return per.selectExpr("user_id", "k", f"stack({len(metrics)}, {stack}) AS (metric, value)")
+    return per.selectExpr(*(keys or []), "user_id", "k",
+                          f"stack({len(metrics)}, {stack}) AS (metric, value)")
 
 
 def evaluate_all(recs: DataFrame, truth: DataFrame, ks=DEFAULT_KS, users: DataFrame | None = None,
@@ -119,7 +120,7 @@ def evaluate_all(recs: DataFrame, truth: DataFrame, ks=DEFAULT_KS, users: DataFr
     per = per_user(recs, truth, ks, users.select("user_id"), graded)
     if keys:
         per = per.join(users.select("user_id", *keys), "user_id")
-    long = _long(per, metrics)
+    long = _long(per, metrics, keys)
     means = long.groupBy(*keys, "metric", "k").agg(F.avg("value").alias("value"))
     n = users.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("value"))
     n = n.select(*keys, F.lit("num_evaluated_users").alias("metric"),

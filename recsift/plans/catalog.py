@@ -405,3 +405,205 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("evaluate_all", EVAL_ALL_SQL)(flagship)
+
+
+# ---------------------------------------------------------------- graded, beyond accuracy, comparison
+
+GRADED_SQL = with_views("""
+    SELECT u.user_id, round(CASE WHEN coalesce(i.idcg, 0) > 0 THEN coalesce(d.dcg, 0.0) / i.idcg ELSE 0.0 END, 6)
+           AS ndcg
+    FROM train_users u
+    LEFT JOIN (SELECT r.user_id, sum(t.rel / log2(r.rank + 1)) AS dcg FROM pop_recs r
+               JOIN g_truth t ON t.user_id = r.user_id AND t.item_id = r.item_id
+               WHERE r.rank <= 10 GROUP BY r.user_id) d ON d.user_id = u.user_id
+    LEFT JOIN (SELECT user_id, sum(rel / log2(i + 1)) AS idcg FROM (
+                 SELECT user_id, rel, row_number() OVER (PARTITION BY user_id ORDER BY rel DESC) AS i FROM g_truth)
+               WHERE i <= 10 GROUP BY user_id) i ON i.user_id = u.user_id""",
+    "train_users", "pop_recs", "test", extra={"g_truth": "SELECT user_id, item_id, weight AS rel FROM test"})
+
+
+@query("ndcg_graded", GRADED_SQL)
+def ndcg_graded(spark, d):
+    """M3 with graded relevance: the test interaction weight (1, 3, 5) is the gain."""
+    c = Context(spark, d)
+    truth = c.test.select("user_id", "item_id", F.col("weight").alias("rel"))
+    out = EV.single_metric(c.pop_recs, truth, "ndcg", 10, users=c.train_users, graded=True)
+    return out.select("user_id", r6("ndcg").alias("ndcg"))
+
+
+@query("coverage", with_views("""
+    SELECT round((SELECT count(DISTINCT item_id) FROM pop_recs) / (SELECT count(*) FROM items_c), 6) AS coverage""",
+    "pop_recs", "items_c"))
+def coverage(spark, d):
+    """M9: distinct recommended items over the catalogue."""
+    c = Context(spark, d)
+    return EV.coverage(c.pop_recs, c.items).select(r6("coverage").alias("coverage"))
+
+
+DIV_CTES = {
+    "d_items": "SELECT r.user_id, r.rank, u.v FROM pop_recs r JOIN uvec u ON u.item_id = r.item_id",
+    "d_n": "SELECT user_id, count(*) AS n FROM d_items GROUP BY user_id",
+    "d_pairs": """SELECT a.user_id, avg(1 - list_dot_product(a.v, b.v)) AS d FROM d_items a
+                  JOIN d_items b ON a.user_id = b.user_id AND a.rank < b.rank GROUP BY a.user_id""",
+    "d_user": """SELECT u.user_id, CASE WHEN coalesce(n.n, 0) >= 2 THEN p.d ELSE 0.0 END AS diversity
+                 FROM (SELECT DISTINCT user_id FROM pop_recs) u LEFT JOIN d_n n ON n.user_id = u.user_id
+                 LEFT JOIN d_pairs p ON p.user_id = u.user_id""",
+}
+
+
+@query("diversity", with_views("SELECT user_id, round(diversity, 6) AS diversity FROM d_user",
+                               "pop_recs", "uvec", extra=DIV_CTES))
+def diversity(spark, d):
+    """Mean pairwise cosine distance of each list (closed form, no pairs)."""
+    c = Context(spark, d)
+    out = EV.diversity_per_user(c.pop_recs, c.vectors)
+    return out.select("user_id", r6("diversity").alias("diversity"))
+
+
+NOV_CTES = {
+    "n_pop": "SELECT item_id, count(*) AS popularity FROM train GROUP BY item_id",
+    "n_user": """SELECT r.user_id, avg(-log2(greatest(coalesce(p.popularity, 1)
+                        / (SELECT count(*) FROM train_users)::DOUBLE, 1e-10))) AS novelty
+                 FROM pop_recs r LEFT JOIN n_pop p ON p.item_id = r.item_id GROUP BY r.user_id""",
+}
+
+
+@query("novelty", with_views("SELECT user_id, round(novelty, 6) AS novelty FROM n_user",
+                             "pop_recs", "train", "train_users", extra=NOV_CTES))
+def novelty(spark, d):
+    """Mean self-information of the recommended items (training popularity)."""
+    c = Context(spark, d)
+    n_users = c.train_users.agg(F.count(F.lit(1)).alias("num_users"))
+    out = EV.novelty_per_user(c.pop_recs, FT.item_popularity(c.train), n_users)
+    return out.select("user_id", r6("novelty").alias("novelty"))
+
+
+PIVOT_SQL = with_views("""
+    SELECT metric, round(max(CASE WHEN k = 5 THEN value END), 6) AS at_5,
+           round(max(CASE WHEN k = 10 THEN value END), 6) AS at_10,
+           round(max(CASE WHEN k = 20 THEN value END), 6) AS at_20
+    FROM a_all WHERE k IS NOT NULL GROUP BY metric""", "pop_recs", "truth", extra=_eval_all_sql("pop_recs", "a"))
+
+
+@query("metrics_pivot", PIVOT_SQL)
+def metrics_pivot(spark, d):
+    """One row per metric, a column per k."""
+    c = Context(spark, d)
+    out = EV.metrics_pivot(EV.evaluate_all(c.pop_recs, c.truth, KS), KS)
+    return out.select("metric", *[r6(f"at_{k}").alias(f"at_{k}") for k in KS])
+
+
+_FULL = dict(_eval_all_sql("pop_recs", "a"))
+_FULL.update(DIV_CTES)
+_FULL.update(NOV_CTES)
+
+
+@query("evaluate_full", with_views("""
+    SELECT metric, k, round(value, 6) AS value FROM a_all
+    UNION ALL SELECT 'coverage', NULL, round((SELECT count(DISTINCT item_id) FROM pop_recs)
+                                             / (SELECT count(*) FROM items_c), 6)
+    UNION ALL SELECT 'diversity', NULL, round((SELECT avg(diversity) FROM d_user), 6)
+    UNION ALL SELECT 'novelty', NULL, round((SELECT avg(novelty) FROM n_user), 6)""",
+    "pop_recs", "truth", "uvec", "train", "train_users", "items_c", extra=_FULL))
+def evaluate_full(spark, d):
+    """Accuracy at 5/10/20 plus coverage, diversity and novelty."""
+    c = Context(spark, d)
+    n_users = c.train_users.agg(F.count(F.lit(1)).alias("num_users"))
+    out = EV.evaluate_full(c.pop_recs, c.truth, c.items, c.vectors, FT.item_popularity(c.train), n_users, KS)
+    return out.select("metric", "k", r6("value").alias("value"))
+
+
+def _seg_sql() -> str:
+    ctes = {"s_users": f"""SELECT u.user_id, CASE WHEN coalesce(n.c, 0) < 5 THEN 'cold'
+                                                 WHEN coalesce(n.c, 0) < 20 THEN 'warm' ELSE 'hot' END AS segment
+                           FROM (SELECT DISTINCT user_id FROM pop_recs) u
+                           LEFT JOIN (SELECT user_id, count(*) AS c FROM train GROUP BY user_id) n
+                             ON n.user_id = u.user_id
+                           WHERE u.user_id IN (SELECT user_id FROM truth)"""}
+    ctes.update(per_user_ctes("pop_recs", "truth", "s_users", KS, prefix="s"))
+    ctes["s_per2"] = "SELECT p.*, u.segment FROM s_per p JOIN s_users u ON u.user_id = p.user_id"
+    body = ("SELECT segment, metric, k, round(value, 6) AS value FROM (" + long_means("s_per2", "segment") +
+            ") UNION ALL SELECT s.segment, 'num_evaluated_users', NULL, count(u.user_id)::DOUBLE "
+            "FROM (VALUES ('cold'), ('warm'), ('hot')) s(segment) LEFT JOIN s_users u ON u.segment = s.segment "
+            "GROUP BY s.segment")
+    return with_views(body, "pop_recs", "truth", "train", extra=ctes)
+
+
+@query("evaluate_segments", _seg_sql())
+def evaluate_segments(spark, d):
+    """M8 per user segment (cold / warm / hot by training interactions)."""
+    c = Context(spark, d)
+    out = EV.evaluate_segments(c.pop_recs, c.truth, c.train, KS)
+    return out.select("segment", "metric", "k", r6("value").alias("value"))
+
+
+def _ab_sql() -> str:
+    ctes = dict(_eval_all_sql("pop_recs", "a"))
+    ctes.update(_eval_all_sql("recent_recs", "b"))
+    ctes["a_named"] = ("SELECT CASE WHEN k IS NULL THEN metric ELSE metric || '@' || k END AS metric, value "
+                       "FROM a_all WHERE metric <> 'num_evaluated_users'")
+    ctes["b_named"] = ("SELECT CASE WHEN k IS NULL THEN metric ELSE metric || '@' || k END AS metric, value "
+                       "FROM b_all WHERE metric <> 'num_evaluated_users'")
+    ctes["cmp"] = """SELECT coalesce(a.metric, b.metric) AS metric, coalesce(a.value, 0.0) AS model_a,
+                            coalesce(b.value, 0.0) AS model_b
+                     FROM a_named a FULL JOIN b_named b ON a.metric = b.metric"""
+    ctes["prim"] = """SELECT CASE WHEN coalesce(max(model_a), 0) > coalesce(max(model_b), 0) THEN 'A' ELSE 'B' END
+                              AS winner,
+                             CASE WHEN coalesce(max(model_a), 0) > 0
+                                  THEN (coalesce(max(model_b), 0) - max(model_a)) / max(model_a) * 100
+                                  ELSE 'inf'::DOUBLE END AS lift
+                      FROM cmp WHERE metric = 'ndcg@10'"""
+    body = """SELECT c.metric, round(model_a, 6) AS model_a, round(model_b, 6) AS model_b,
+                     round(model_b - model_a, 6) AS diff,
+                     round(CASE WHEN model_a > 0 THEN (model_b - model_a) / model_a * 100 ELSE 'inf'::DOUBLE END, 6)
+                       AS pct_change,
+                     p.winner, round(p.lift, 6) AS lift, 'ndcg@10' AS primary_metric
+              FROM cmp c, prim p"""
+    return with_views(body, "pop_recs", "recent_recs", "truth", extra=ctes)
+
+
+@query("offline_ab_test", _ab_sql())
+def offline_ab_test(spark, d):
+    """Model A (all-time popular) against model B (popular in the last year)."""
+    c = Context(spark, d)
+    a = EV.evaluate_all(c.pop_recs, c.truth, KS)
+    b = EV.evaluate_all(c.recent_recs, c.truth, KS)
+    out = EV.offline_ab_test(a, b, "ndcg@10")
+    return out.select("metric", r6("model_a").alias("model_a"), r6("model_b").alias("model_b"),
+                      r6("diff").alias("diff"), r6("pct_change").alias("pct_change"), "winner",
+                      r6("lift").alias("lift"), "primary_metric")
+
+
+def _ab_log_sql() -> str:
+    ctes = {}
+    ctes.update(per_user_ctes("pop_recs", "truth", "train_users", (10,), prefix="pa"))
+    ctes.update(per_user_ctes("recent_recs", "truth", "train_users", (10,), prefix="pb"))
+    ctes["log"] = ("SELECT 'popular_vs_recent' AS experiment_name, 'A' AS variant, user_id, "
+                   "'ndcg@10' AS metric_name, ndcg AS metric_value FROM pa_per UNION ALL "
+                   "SELECT 'popular_vs_recent', 'A', user_id, 'precision@10', precision FROM pa_per UNION ALL "
+                   "SELECT 'popular_vs_recent', 'B', user_id, 'ndcg@10', ndcg FROM pb_per UNION ALL "
+                   "SELECT 'popular_vs_recent', 'B', user_id, 'precision@10', precision FROM pb_per")
+    body = """SELECT experiment_name, variant, metric_name, count(*)::BIGINT AS n,
+                     round(avg(metric_value), 6) AS mean, round(stddev_samp(metric_value), 6) AS stddev
+              FROM log GROUP BY experiment_name, variant, metric_name"""
+    return with_views(body, "pop_recs", "recent_recs", "truth", "train_users", extra=ctes)
+
+
+@query("ab_results_summary", _ab_log_sql())
+def ab_results_summary(spark, d):
+    """An A/B result log (per-user metrics of two variants) summarised by
+    experiment, variant and metric: count, mean, sample stddev."""
+    c = Context(spark, d)
+    rows = []
+    for variant, recs in (("A", c.pop_recs), ("B", c.recent_recs)):
+        per = EV.per_user(recs, c.truth, [10], users=c.train_users)
+        for m in ("ndcg", "precision"):
+            rows.append(per.select(F.lit("popular_vs_recent").alias("experiment_name"),
+                                   F.lit(variant).alias("variant"), "user_id",
+                                   F.lit(f"{m}@10").alias("metric_name"), F.col(m).alias("metric_value")))
+    log = rows[0]
+    for r in rows[1:]:
+        log = log.unionByName(r)
+    out = EV.ab_results_summary(log)
+    return out.select("experiment_name", "variant", "metric_name", F.col("n").cast("long"),
+                      r6("mean").alias("mean"), r6("stddev").alias("stddev"))
