@@ -16,6 +16,7 @@ from recsift.operators import features as FT
 from recsift.operators import prep
 from recsift.operators import retrieval as R
 from recsift.operators import split as SP
+from recsift.session import materialize
 from recsift.sources import tables as T
 
 # Fixed parameters shared with recsift.plans.oracle
@@ -98,8 +99,9 @@ class Context:
     def pop_recs(self) -> DataFrame:
         """Model A: most popular training items the user has not touched, top 20."""
         ranked, n = self.popular_ranked
-        return R.top_k_unseen(ranked, n, self.train.select("user_id", "item_id"),
-                              self.train_users, REC_K)
+        # read by several evaluations: written once to the shared folder
+        return materialize(R.top_k_unseen(ranked, n, self.train.select("user_id", "item_id"),
+                                          self.train_users, REC_K), "pop_recs")
 
     @cached_property
     def recent_ranked(self) -> tuple[DataFrame, int]:
@@ -113,8 +115,8 @@ class Context:
     def recent_recs(self) -> DataFrame:
         """Model B: recently popular unseen items, top 20."""
         ranked, n = self.recent_ranked
-        return R.top_k_unseen(ranked, n, self.train.select("user_id", "item_id"),
-                              self.train_users, REC_K)
+        return materialize(R.top_k_unseen(ranked, n, self.train.select("user_id", "item_id"),
+                                          self.train_users, REC_K), "recent_recs")
 
     @cached_property
     def unit_vectors(self) -> DataFrame:
