@@ -540,10 +540,11 @@ def evaluate_segments(spark, d):
 def _ab_sql() -> str:
     ctes = dict(_eval_all_sql("pop_recs", "a"))
     ctes.update(_eval_all_sql("recent_recs", "b"))
-    ctes["a_named"] = ("SELECT CASE WHEN k IS NULL THEN metric ELSE metric || '@' || k END AS metric, value "
-                       "FROM a_all WHERE metric <> 'num_evaluated_users'")
-    ctes["b_named"] = ("SELECT CASE WHEN k IS NULL THEN metric ELSE metric || '@' || k END AS metric, value "
-                       "FROM b_all WHERE metric <> 'num_evaluated_users'")
+    # model metrics are compared at 9 places (summation order differs between engines)
+    ctes["a_named"] = ("SELECT CASE WHEN k IS NULL THEN metric ELSE metric || '@' || k END AS metric, "
+                       "round(value, 9) AS value FROM a_all WHERE metric <> 'num_evaluated_users'")
+    ctes["b_named"] = ("SELECT CASE WHEN k IS NULL THEN metric ELSE metric || '@' || k END AS metric, "
+                       "round(value, 9) AS value FROM b_all WHERE metric <> 'num_evaluated_users'")
     ctes["cmp"] = """SELECT coalesce(a.metric, b.metric) AS metric, coalesce(a.value, 0.0) AS model_a,
                             coalesce(b.value, 0.0) AS model_b
                      FROM a_named a FULL JOIN b_named b ON a.metric = b.metric"""
@@ -566,8 +567,8 @@ def _ab_sql() -> str:
 def offline_ab_test(spark, d):
     """Model A (all-time popular) against model B (popular in the last year)."""
     c = Context(spark, d)
-    a = EV.evaluate_all(c.pop_recs, c.truth, KS)
-    b = EV.evaluate_all(c.recent_recs, c.truth, KS)
+    a = EV.evaluate_all(c.pop_recs, c.truth, KS).withColumn("value", F.round("value", 9))
+    b = EV.evaluate_all(c.recent_recs, c.truth, KS).withColumn("value", F.round("value", 9))
     out = EV.offline_ab_test(a, b, "ndcg@10")
     return out.select("metric", r6("model_a").alias("model_a"), r6("model_b").alias("model_b"),
                       r6("diff").alias("diff"), r6("pct_change").alias("pct_change"), "winner",
