@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from recsift.functions import vectors as V
 from recsift.operators.ordering import bounded_broadcast, with_positions
+from recsift.session import materialize
 
 KNN_SCHEMA = "qid long, item_id long, score double"
 METRICS = ("cosine", "dot", "l2")
@@ -93,6 +94,10 @@ def knn(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
     if metric == "cosine":
         queries = queries.filter(V.is_valid("v")).withColumn("v", V.l2_normalize("v"))
         items = items.filter(V.is_valid("v")).withColumn("v", V.l2_normalize("v"))
+    if n_queries is None:
+        # the query side is read twice (sizing, scoring): write it once instead
+        # of computing its whole lineage twice
+        queries = materialize(queries.select("qid", "v"), "knn-queries")
     n_q = n_queries if n_queries is not None else queries.count()
     n_i = n_items if n_items is not None else items.count()
     n_qb, n_ib = _blocks(n_q, q_block), _blocks(n_i, i_block)
@@ -184,12 +189,14 @@ def popularity_fallback(ranked: DataFrame, exclusions: DataFrame, users: DataFra
 
 
 def mean_vector(rows: DataFrame, key: str, vec: str = "v") -> DataFrame:
-    """Per-key mean vector: explode (pos, x), average per (key, pos), re-assemble.
-    Partial aggregation keeps a heavy key cheap; the re-assembly is ``dim`` values."""
-    per = (rows.select(key, F.posexplode(vec).alias("pos", "x"))
-               .groupBy(key, "pos").agg(F.avg("x").alias("x")))
-    return (per.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("_a"))
-               .select(key, F.transform("_a", lambda e: e["x"]).alias(vec)))
+    """Per-key mean vector with ``Summarizer.mean``: a JVM aggregate with a
+    partial (map-side) step, so a key with a third of all rows is summed in
+    every input partition and only the partial sums meet in one task."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    agg = (rows.select(key, array_to_vector(vec).alias("_f"))
+               .groupBy(key).agg(Summarizer.mean(F.col("_f")).alias("_m")))
+    return agg.select(key, vector_to_array("_m").alias(vec))
 
 
 def similar_items_detail(hits: DataFrame, items: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from recsift.operators import sessions as SS
 from recsift.plans.catalog import URL_RE, query, r6, ts_text
 from recsift.plans.context import REC_K, TRENDING_DAYS, Context
 from recsift.plans.oracle_views import VIEWS, with_views
+from recsift.session import materialize
 
 KNN_K = 10
 
@@ -350,9 +351,10 @@ def session_recommend(spark, d):
     """Per session, cosine top 10 for the mean of the last 3 items' vectors,
     every session item excluded."""
     c = Context(spark, d)
-    s = SS.sessions(c.stream_events)
-    q = SS.session_queries(s, c.vectors).select("qid", "user_id", "session_start")
-    out = SS.session_recommend(s, c.vectors, KNN_K)
+    s = materialize(SS.sessions(c.stream_events), "sessions")
+    queries = materialize(SS.session_queries(s, c.vectors), "session-queries")
+    out = SS.session_recommend(s, c.vectors, KNN_K, queries=queries)
+    q = queries.select("qid", "user_id", "session_start")
     return (out.join(q, "qid")
                .select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"),
                        "rank", "item_id", r6("score").alias("score")))

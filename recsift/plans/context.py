@@ -128,4 +128,4 @@ class Context:
     def user_vectors(self) -> DataFrame:
         """Mean of the vectors of the user's training items that have one."""
         j = self.train.select("user_id", "item_id").join(self.vectors.select("item_id", "v"), "item_id")
-        return R.mean_vector(j, "user_id")
+        return materialize(R.mean_vector(j, "user_id"), "user_vectors")
