@@ -230,7 +230,7 @@ def _item_tower(c: Context):
                              layers, visual="visual", visual_layers=vis_layers)
 
 
-@query("item_tower_embed")
+@query("item_tower_embed", with_views("SELECT item_id, 32 AS dim, 1.0::DOUBLE AS norm FROM items_c", "items_c"))
 def item_tower_embed(spark, d):
     """Item tower over the whole catalogue (stand-in weights, seeded): id,
     category, brand, condition and size embeddings (joined tables), scaled price
@@ -240,7 +240,7 @@ def item_tower_embed(spark, d):
     return out.select("item_id", F.size("v").alias("dim"), r6(V.norm("v")).alias("norm"))
 
 
-@query("user_tower_embed")
+@query("user_tower_embed", with_views("SELECT DISTINCT user_id, 32 AS dim, 1.0::DOUBLE AS norm FROM inter", "inter"))
 def user_tower_embed(spark, d):
     """C4: user tower: user id embedding + 3 category and 2 brand preference
     embeddings (padding code 0) -> unit 32-vector.  Output: user_id, dim, norm."""

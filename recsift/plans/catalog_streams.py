@@ -12,7 +12,7 @@ from recsift.operators import ann
 from recsift.operators import lists as L
 from recsift.operators import retrieval as R
 from recsift.operators import text as TX
-from recsift.plans.catalog import query, r6
+from recsift.plans.catalog import URL_RE, query, r6
 from recsift.plans.context import Context
 from recsift.plans.oracle_views import with_views
 from recsift.session import scratch_path
@@ -40,14 +40,23 @@ def _valid_stream_events(c: Context):
     return ev.select("event_id", "user_id", "item_id", "event", "ts")
 
 
-@query("session_state_stream")
+@query("session_state_stream", with_views("""
+    SELECT user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+           strftime(session_end, '%Y-%m-%d %H:%M:%S.%f') AS session_end, n_events::BIGINT AS n_events,
+           array_to_string(items, '|') AS items
+    FROM sess s
+    WHERE NOT (session_start = (SELECT max(session_start) FROM sess x WHERE x.user_id = s.user_id)
+               AND session_end + INTERVAL 30 MINUTES
+                   > (SELECT max(ts) FROM sev WHERE event IN ('save', 'cart', 'order')) - INTERVAL 1 HOUR)""",
+    "sess", "sev"))
 def session_state_stream(spark, d):
     """Stateful session history over the replayed click stream (6 micro-batches,
     1 hour watermark): sessions closed by a 30-minute gap or by the timeout."""
     c = Context(spark, d)
     root, schema = replay_files(_valid_stream_events(c), "ts", REPLAY_CHUNKS, "replay-sessions")
     out = _run_to_table(SSN.session_state_stream(read_replay(spark, root, schema)), "s1")
-    return out.select("user_id", "session_start", "session_end", "n_events",
+    return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"),
+                      F.date_format("session_end", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_end"), "n_events",
                       F.array_join(F.col("items").cast("array<string>"), "|").alias("items"))
 
 
@@ -74,12 +83,21 @@ def trending_sliding(spark, d):
                       F.col("n").cast("long"))
 
 
-@query("trending_sliding_stream")
+@query("trending_sliding_stream", with_views("""
+    SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
+           strftime(ws + INTERVAL 7 DAYS, '%Y-%m-%d %H:%M:%S') AS window_end, item_id, count(*)::BIGINT AS n
+    FROM (SELECT item_id, date_trunc('day', ts) - INTERVAL (g.i) DAY AS ws
+          FROM sev CROSS JOIN range(0, 7) g(i) WHERE event IN ('save', 'cart', 'order'))
+    WHERE ws + INTERVAL 7 DAYS <= (SELECT max(ts) FROM sev) - INTERVAL 1 HOUR
+    GROUP BY ws, item_id""", "sev"))
 def trending_sliding_stream(spark, d):
     """S3 as a stream: closed windows only (append mode, 1 hour watermark)."""
     c = Context(spark, d)
     root, schema = replay_files(c.stream_events, "ts", REPLAY_CHUNKS, "replay-trend")
-    return _run_to_table(TR.trending_stream(read_replay(spark, root, schema)), "s3")
+    out = _run_to_table(TR.trending_stream(read_replay(spark, root, schema)), "s3")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                      F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "item_id",
+                      F.col("n").cast("long"))
 
 
 @query("user_vector_stream")
@@ -153,7 +171,10 @@ def _part_text(c: Context):
                                                          F.col("p_name").alias("text"))
 
 
-@query("encode_text_hashed")
+@query("encode_text_hashed", r"""
+    SELECT doc_id, 512 AS dim,
+           CASE WHEN regexp_matches(coalesce(text, ''), '[\p{L}\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
+    FROM documents""")
 def encode_text_hashed(spark, d):
     """Every document (whole text) to a unit 512-vector by feature hashing."""
     from recsift.sources.tables import documents
@@ -161,7 +182,12 @@ def encode_text_hashed(spark, d):
     return enc.select("doc_id", F.size("v").alias("dim"), r6(V.norm("v")).alias("norm"))
 
 
-@query("vectors_incremental")
+@query("vectors_incremental", with_views(f"""
+    SELECT item_id, 'existing' AS source, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM vec
+    UNION ALL
+    SELECT i.item_id, 'new', 1.0::DOUBLE FROM items_c i JOIN part p ON p.p_partkey = i.item_id
+    WHERE len(coalesce(regexp_extract_all(i.image_urls, '{URL_RE}'), [])) > 0
+      AND NOT EXISTS (SELECT 1 FROM vec v WHERE v.item_id = i.item_id)""", "items_c", "vec"))
 def vectors_incremental(spark, d):
     """Items with an image but no vector are embedded (text stand-in) and merged."""
     c = Context(spark, d)
@@ -179,13 +205,14 @@ def text_search(spark, d):
         .select("item_id", "category", "brand", r6("similarity_score").alias("similarity_score"))
 
 
-@query("vector_store_write")
+@query("vector_store_write", "SELECT vec_id::BIGINT AS item_id, 'visual' AS model, len(embedding) AS dim "
+                              "FROM embeddings")
 def vector_store_write(spark, d):
     """IO3: vectors + ids written with a metadata row (model, dim, count, time)."""
     c = Context(spark, d)
     root = scratch_path(spark, "vector-store")
     c.vectors.select("item_id", "v").write.parquet(f"{root}/vectors")
-    meta = c.vectors.agg(F.count(F.lit(1)).alias("count"), F.max(F.size("v")).alias("dim")) \
+    meta = c.vectors.agg(F.count(F.lit(1)).alias("count"), F.max(F.size("v")).cast("long").alias("dim")) \
         .select(F.lit("visual").alias("model"), "dim", "count", F.lit(c.as_of).cast("timestamp").alias("created_at"))
     meta.write.parquet(f"{root}/metadata")
     back = spark.read.parquet(f"{root}/vectors")

@@ -37,7 +37,7 @@ def per_user_ctes(recs: str, truth: str, users: str, ks=(5, 10, 20), prefix: str
                    CASE WHEN coalesce(ts.n_truth, 0) > 0 THEN coalesce(a.hits, 0) / ts.n_truth ELSE 0.0 END AS recall,
                    CASE WHEN coalesce(ts.n_truth, 0) > 0 THEN coalesce(a.dcg, 0.0) / pf.s ELSE 0.0 END AS ndcg,
                    coalesce(1.0 / a.first_hit, 0.0) AS mrr,
-                   CASE WHEN coalesce(a.hits, 0) > 0 THEN 1.0 ELSE 0.0 END AS hit_rate,
+                   CASE WHEN coalesce(a.hits, 0) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_rate,
                    CASE WHEN coalesce(ts.n_truth, 0) > 0
                         THEN coalesce(a.ap_sum, 0.0) / least(ks.k, ts.n_truth) ELSE 0.0 END AS map
             FROM (SELECT DISTINCT user_id FROM {users}) u CROSS JOIN {p}_ks ks
