@@ -144,16 +144,16 @@ def diversity_per_user(recs: DataFrame, vectors: DataFrame) -> DataFrame:
     summed per (user, pos) -- linear in list length, partial aggregation on the
     map side.  Vectors are renormalised in double first; items without a valid
     vector are skipped; fewer than two usable items give 0."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     unit = (vectors.filter(V.is_valid("v"))
                    .select("item_id", V.l2_normalize("v").alias("u")))
     j = recs.select("user_id", "item_id").join(unit, "item_id")
-    n = j.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    sums = (j.select("user_id", F.posexplode("u").alias("pos", "x"))
-             .groupBy("user_id", "pos").agg(F.sum("x").alias("s"))
-             .groupBy("user_id").agg(F.sum(F.col("s") * F.col("s")).alias("ss")))
+    sums = (j.select("user_id", array_to_vector("u").alias("_u"))
+             .groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("_u")).alias("_s"))
+             .select("user_id", "n", V.sq_norm(vector_to_array("_s")).alias("ss")))
     users = recs.select("user_id").distinct()
-    d = (users.join(n, "user_id", "left").join(sums, "user_id", "left")
-              .fillna({"n": 0, "ss": 0.0}))
+    d = users.join(sums, "user_id", "left").fillna({"n": 0, "ss": 0.0})
     pairs = F.col("n") * (F.col("n") - 1) / 2.0
     mean_dot = ((F.col("ss") - F.col("n")) / 2.0) / pairs
     return d.select("user_id", F.when(F.col("n") >= 2, 1.0 - mean_dot).otherwise(0.0).alias("diversity"))

@@ -82,6 +82,18 @@ def test_constant_price_gives_zero(spark):
     assert {r["price_normalized"] for r in prep.price_normalized(df).collect()} == {0.0}
 
 
+def test_clean_items_newest_row_wins(spark):
+    import datetime as dt
+    rows = [(1, "a", "b", 5.0, dt.datetime(2020, 1, 1), True),
+            (1, "z", "b", 6.0, dt.datetime(2021, 1, 1), None),
+            (2, "a", "b", -1.0, dt.datetime(2021, 1, 1), True),
+            (3, None, "b", 1.0, dt.datetime(2021, 1, 1), True)]
+    df = spark.createDataFrame(rows, "item_id long, category string, brand string, price double, "
+                                     "created_at timestamp, is_active boolean")
+    got = [tuple(r) for r in prep.clean_items(df).select("item_id", "category", "price", "is_active").collect()]
+    assert got == [(1, "z", 6.0, True)]
+
+
 def test_insert_if_absent(spark):
     old = spark.createDataFrame([("new", 5)], "name string, q int")
     new = spark.createDataFrame([("new", 1), ("good", 3)], "name string, q int")
