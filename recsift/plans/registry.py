@@ -16,7 +16,8 @@ def _load():
         return
     import importlib
     for mod in ("recsift.plans.catalog_vectors", "recsift.plans.catalog_lists",
-                "recsift.plans.catalog_models", "recsift.plans.catalog_streams"):
+                "recsift.plans.catalog_models", "recsift.plans.catalog_streams",
+                "recsift.plans.catalog_io"):
         try:
             importlib.import_module(mod)
         except ModuleNotFoundError as e:  # module not written yet
