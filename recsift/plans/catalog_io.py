@@ -22,7 +22,7 @@ def scan_items_csv(spark, d):
     path = scratch_path(spark, "items-csv")
     (c.raw_items.select("item_id", F.col("category").alias("category_id"), F.col("brand").alias("brand_id"),
                         "condition_id", "size_id", "price", "image_urls")
-        .write.option("header", True).csv(path))
+        .write.option("header", True).option("escape", '"').csv(path))
     it = FS.load_items(spark, path)
     return it.select("item_id", "category_id", "brand_id", "condition_id", "size_id",
                      r6(F.col("price").cast("double")).alias("price"),

@@ -38,8 +38,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: lis
     missing = [c for c in (required or [f.name for f in schema.fields]) if c not in header]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
+    # quotes inside fields are doubled (RFC 4180, as pandas writes them)
     return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-                 .option("enforceSchema", False).csv(path))
+                 .option("escape", '"').option("enforceSchema", False).csv(path))
 
 
 def load_data(spark: SparkSession, items_path: str, events_path: str) -> tuple[DataFrame, DataFrame]:
