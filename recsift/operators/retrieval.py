@@ -37,17 +37,15 @@ def _blocks(n: int, size: int) -> int:
     return max(1, int(math.ceil(n / float(size))))
 
 
-def _local_topk(metric: str, k: int):
-    """Return the cogroup function that scores one (query block, item block) pair."""
-    def fn(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or it.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"),
-                                 "item_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        it = it.sort_values("iid", kind="stable")
-        ids = it["iid"].to_numpy(np.int64)
-        I = np.vstack(it["iv"].to_numpy()).astype(np.float64)
-        Q = np.vstack(q["v"].to_numpy()).astype(np.float64)
+SCORE_CHUNK = 1024  # queries scored per matrix product inside a block pair
+
+
+def _local_topk(metric: str, k: int, score_chunk: int = SCORE_CHUNK):
+    """Return the cogroup function that scores one (query block, item block) pair.
+
+    Queries are scored ``SCORE_CHUNK`` at a time, so the score matrix in memory is
+    at most SCORE_CHUNK x item block whatever the query block size."""
+    def chunk(Q, qids, exs, I, ids, pos):
         if metric == "l2":
             s = (np.sum(Q * Q, axis=1)[:, None] + np.sum(I * I, axis=1)[None, :] - 2.0 * (Q @ I.T))
             s = np.maximum(s, 0.0)
@@ -55,9 +53,8 @@ def _local_topk(metric: str, k: int):
         else:
             s = Q @ I.T
             key = np.round(s, V.RANK_DIGITS)
-        if "ex" in q.columns:
-            pos = {int(x): j for j, x in enumerate(ids)}
-            for r, ex in enumerate(q["ex"].to_numpy()):
+        if exs is not None:
+            for r, ex in enumerate(exs):
                 if ex is None:
                     continue
                 cols = [pos[int(x)] for x in ex if int(x) in pos]
@@ -70,15 +67,31 @@ def _local_topk(metric: str, k: int):
         cols = order.reshape(-1)
         keep = np.isfinite(key[rows, cols])
         rows, cols = rows[keep], cols[keep]
-        return pd.DataFrame({"qid": q["qid"].to_numpy(np.int64)[rows],
-                             "item_id": ids[cols],
-                             "score": s[rows, cols]})
+        return pd.DataFrame({"qid": qids[rows], "item_id": ids[cols], "score": s[rows, cols]})
+
+    def fn(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or it.empty:
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"),
+                                 "item_id": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype="float64")})
+        it = it.sort_values("iid", kind="stable")
+        ids = it["iid"].to_numpy(np.int64)
+        I = np.vstack(it["iv"].to_numpy()).astype(np.float64)
+        Q = np.vstack(q["v"].to_numpy()).astype(np.float64)
+        qids = q["qid"].to_numpy(np.int64)
+        exs = q["ex"].to_numpy() if "ex" in q.columns else None
+        pos = {int(x): j for j, x in enumerate(ids)} if exs is not None else None
+        c = score_chunk
+        parts = [chunk(Q[a:a + c], qids[a:a + c], None if exs is None else exs[a:a + c], I, ids, pos)
+                 for a in range(0, len(Q), c)]
+        return pd.concat(parts, ignore_index=True)
     return fn
 
 
 def knn(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
-        exclusions: DataFrame | None = None, q_block: int = 1024, i_block: int = 4096,
-        n_queries: int | None = None, n_items: int | None = None) -> DataFrame:
+        exclusions: DataFrame | None = None, q_block: int = 8192, i_block: int = 4096,
+        n_queries: int | None = None, n_items: int | None = None,
+        score_chunk: int = SCORE_CHUNK) -> DataFrame:
     """Exact top-k items per query.
 
     queries: (qid, v); items: (item_id, v); exclusions: (qid, item_id) pairs that
@@ -101,6 +114,10 @@ def knn(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
     n_q = n_queries if n_queries is not None else queries.count()
     n_i = n_items if n_items is not None else items.count()
     n_qb, n_ib = _blocks(n_q, q_block), _blocks(n_i, i_block)
+    # enough block pairs to keep every core busy (small inputs), never blocks of
+    # fewer than 64 queries
+    target = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n_qb = max(n_qb, min(_blocks(target, n_ib), _blocks(n_q, 64)))
     qb = F.pmod(F.xxhash64("qid"), F.lit(n_qb))
     ib_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_ib))
     # block keys are LongType on both sides: the cogroup hashes them, and an int
@@ -122,7 +139,7 @@ def knn(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
                                                          F.lit(n_qb - 1).cast("long")))))
     local = (q_rep.groupBy("qb", "ib")
                   .cogroup(i_rep.groupBy("qb", "ib"))
-                  .applyInPandas(_local_topk(metric, k), KNN_SCHEMA))
+                  .applyInPandas(_local_topk(metric, k, score_chunk), KNN_SCHEMA))
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     rk = V.rank_score("score")
     w = Window.partitionBy("qid").orderBy(rk.asc() if metric == "l2" else rk.desc(), F.col("item_id"))

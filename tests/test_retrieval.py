@@ -43,7 +43,7 @@ def test_knn_matches_brute_force(spark, metric):
     idf = spark.createDataFrame(it, "item_id long, v array<double>")
     exdf = spark.createDataFrame(list(ex), "qid long, item_id long")
     # small blocks force several query and item blocks
-    got = R.knn(qdf, idf, 5, metric, exclusions=exdf, q_block=8, i_block=50).collect()
+    got = R.knn(qdf, idf, 5, metric, exclusions=exdf, q_block=8, i_block=50, score_chunk=3).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r["qid"], r["rank"])):
         res.setdefault(r["qid"], []).append(r["item_id"])
