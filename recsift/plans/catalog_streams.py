@@ -12,6 +12,7 @@ from recsift.operators import ann
 from recsift.operators import lists as L
 from recsift.operators import retrieval as R
 from recsift.operators import text as TX
+from recsift.plans import catalog_vectors  # noqa: F401  (session views)
 from recsift.plans.catalog import URL_RE, query, r6
 from recsift.plans.context import Context
 from recsift.plans.oracle_views import with_views
@@ -100,10 +101,20 @@ def trending_sliding_stream(spark, d):
                       F.col("n").cast("long"))
 
 
-@query("user_vector_stream")
+@query("user_vector_stream", with_views("""
+    SELECT m.user_id, n.n_items, round(sqrt(list_dot_product(m.mv, m.mv)), 6) AS norm
+    FROM (SELECT user_id, list(x ORDER BY pos) AS mv FROM (
+            SELECT user_id, pos, avg(x) AS x FROM (
+              SELECT u.user_id, unnest(v.v) AS x, generate_subscripts(v.v, 1) AS pos
+              FROM ui u JOIN vec v ON v.item_id = u.item_id)
+            GROUP BY user_id, pos)
+          GROUP BY user_id) m
+    JOIN (SELECT user_id, count(*)::BIGINT AS n_items FROM ui GROUP BY user_id) n ON n.user_id = m.user_id""",
+    "sv", "vec", extra={"ui": "SELECT DISTINCT user_id, item_id FROM sv"}))
 def user_vector_stream(spark, d):
-    """Per micro-batch, recompute the vectors of the users seen and drop their
-    stored lists; returns the final user vectors (user_id, version, norm)."""
+    """Per micro-batch, recompute the vectors of the users seen (mean over
+    their whole history) and drop their stored lists; returns the final user
+    vectors (user_id, n_items, norm)."""
     c = Context(spark, d)
     ev = _valid_stream_events(c)
     hist = UP.VersionedTable(spark, scratch_path(spark, "hist"),
@@ -118,7 +129,8 @@ def user_vector_stream(spark, d):
          .foreachBatch(UP.user_vector_updater(hist, vecs, lists, c.vectors))
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    return vecs.current.select("user_id", "version", r6(V.norm("v")).alias("norm"))
+    n = hist.current.groupBy("user_id").agg(F.countDistinct("item_id").cast("long").alias("n_items"))
+    return vecs.current.join(n, "user_id").select("user_id", "n_items", r6(V.norm("v")).alias("norm"))
 
 
 @query("index_append_stream")
