@@ -185,8 +185,11 @@ def top_k_unseen(ranked: DataFrame, n_ranked: int, seen: DataFrame, users: DataF
     need = F.least(F.lit(k) + F.coalesce(F.col("_s"), F.lit(0)), F.lit(n_ranked))
     u = (users.select("user_id").distinct().join(s, "user_id", "left")
               .withColumn("_need", need).filter(F.col("_need") > 0))
+    # an explicit partition count: adaptive execution would otherwise merge the
+    # (small) chunk rows into one partition and expand them all in one task
+    n_parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     chunks = (u.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("_need") - 1) / chunk))))
-               .repartition("user_id", "_c"))
+               .repartition(n_parts, "user_id", "_c"))
     lo = F.col("_c") * chunk + 1
     hi = F.least((F.col("_c") + 1) * chunk, F.col("_need"))
     cand = chunks.select("user_id", F.explode(F.sequence(lo, hi)).alias("prank"))

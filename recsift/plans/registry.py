@@ -29,6 +29,8 @@ def _load():
 def _wrap(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
+        # the tables hold zone-less timestamps; windows and day arithmetic are UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return fn(spark, sf_dir)
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__
@@ -46,4 +48,4 @@ def oracle_sql():
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.flagship(spark, sf_dir)
+    return _wrap(catalog.flagship)(spark, sf_dir)
