@@ -45,11 +45,10 @@ def popular_by_category(interactions: DataFrame, items: DataFrame, k: int = 10)
     Spark plans as a WindowGroupLimit (partial top-k before the shuffle)."""
     active = items.filter(F.col("is_active")).select("item_id", "category")
     j = interactions.select("item_id", "weight").join(active, "item_id")
-    j.createOrReplaceTempView("_pbc_src")
-    g = j.sparkSession.sql("""
-        SELECT CASE WHEN grouping(category) = 1 THEN 'all' ELSE category END AS list,
-               item_id, sum(weight) AS score
-        FROM _pbc_src GROUP BY GROUPING SETS ((item_id), (category, item_id))""")
+    g = (j.groupingSets([["item_id"], ["category", "item_id"]], "category", "item_id")
+          .agg(F.sum("weight").alias("score"), F.grouping("category").alias("_g"))
+          .select(F.when(F.col("_g") == 1, F.lit("all")).otherwise(F.col("category")).alias("list"),
+                  "item_id", "score"))
     w = Window.partitionBy("list").orderBy(F.col("score").desc(), F.col("item_id"))
     return (g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
              .select("list", F.col("rank").cast("long"), "item_id", "score"))

@@ -101,6 +101,27 @@ def test_insert_if_absent(spark):
     assert got == [("good", 3), ("new", 5)]
 
 
+def test_negatives_exclude_seen_and_fill(spark, small_dir):
+    c = Context(spark, small_dir)
+    negs = SP.negatives_random(c.train, c.items, n=4, seed=1)
+    per = negs.groupBy("user_id", "item_id").count()
+    assert per.filter(F.col("count") != 4).count() == 0
+    assert per.count() == c.train.count()
+    seen = c.train.select("user_id", F.col("item_id").alias("neg_item_id"))
+    assert negs.join(seen, ["user_id", "neg_item_id"]).count() == 0
+    assert negs.groupBy("user_id", "item_id", "neg_item_id").count().filter("count > 1").count() == 0
+    again = SP.negatives_random(c.train, c.items, n=4, seed=1)
+    assert again.exceptAll(negs).count() == 0
+
+
+def test_hard_negatives_same_category(spark, small_dir):
+    c = Context(spark, small_dir)
+    negs = SP.negatives_hard(c.train, c.items, n=4, ratio=0.3)
+    cat = c.items.select(F.col("item_id").alias("neg_item_id"), F.col("category").alias("neg_cat"))
+    j = negs.join(cat, "neg_item_id")
+    assert j.count() > 0 and j.filter(F.col("neg_cat") != F.col("category")).count() == 0
+
+
 def test_user_segments(spark):
     inter = spark.createDataFrame([(1, i) for i in range(6)] + [(2, 1)], "user_id long, item_id long")
     users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
