@@ -109,6 +109,17 @@ def test_novelty_unseen_counts_one(spark):
     assert got == pytest.approx((-math.log2(4 / 8) - math.log2(1 / 8)) / 2)
 
 
+def test_segments_keep_empty_segment(spark):
+    recs = _recs(spark, {1: [1, 2], 2: [3]})
+    truth = _truth(spark, {1: [2], 2: [3]})
+    train = spark.createDataFrame([(1, i) for i in range(30)] + [(2, i) for i in range(7)],
+                                  "user_id long, item_id long")
+    res = EV.evaluate_segments(recs, truth, train, [2]).collect()
+    n = {r["segment"]: r["value"] for r in res if r["metric"] == "num_evaluated_users"}
+    assert n == {"cold": 0.0, "warm": 1.0, "hot": 1.0}
+    assert not [r for r in res if r["segment"] == "cold" and r["metric"] != "num_evaluated_users"]
+
+
 def test_offline_ab(spark):
     a = spark.createDataFrame([("ndcg", 10, 0.2), ("num_evaluated_users", None, 5.0)],
                               "metric string, k int, value double")
