@@ -23,18 +23,16 @@ EVENTS_CSV_SCHEMA = T.StructType([
 ])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: list[str] | None = None) -> DataFrame:
     """Read a headed CSV with a fixed schema (no inference), failing on malformed
     rows; a missing file or a missing required column raises before any job."""
-    if not _exists(spark, path):
-        raise FileNotFoundError(path)
-    header = spark.read.option("header", True).csv(path).columns
+    from pyspark.errors import AnalysisException
+    try:
+        header = spark.read.option("header", True).csv(path).columns
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            raise FileNotFoundError(path) from e
+        raise
     missing = [c for c in (required or [f.name for f in schema.fields]) if c not in header]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
