@@ -130,10 +130,10 @@ def evaluate_all(recs: DataFrame, truth: DataFrame, ks=DEFAULT_KS, users: DataFr
 
 def coverage(recs: DataFrame, catalog: DataFrame) -> DataFrame:
     """M9: distinct recommended items (all users' lists) over catalogue size."""
+    n_cat = catalog.count()  # one number to the driver
     n_rec = recs.agg(F.countDistinct("item_id").alias("n_rec"))
-    n_cat = catalog.agg(F.count(F.lit(1)).alias("n_cat"))
-    return n_rec.crossJoin(n_cat).select(
-        F.when(F.col("n_cat") > 0, F.col("n_rec") / F.col("n_cat")).otherwise(0.0).alias("coverage"))
+    return n_rec.select((F.col("n_rec") / F.lit(n_cat) if n_cat > 0 else F.lit(0.0)).cast("double")
+                        .alias("coverage"))
 
 
 def diversity_per_user(recs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -163,15 +163,14 @@ def novelty_per_user(recs: DataFrame, item_pop: DataFrame, num_users) -> DataFra
     """Mean of -log2(max(pop / num_users, 1e-10)); an item without a count
     has popularity 1.  ``num_users`` is an int or a one-row DataFrame (num_users)."""
     if isinstance(num_users, DataFrame):
-        nu = num_users.select(F.col("num_users").cast("double"))
-    else:
-        nu = recs.sparkSession.range(1).select(F.lit(float(num_users)).alias("num_users"))
-    j = (recs.select("user_id", "item_id").join(item_pop.select("item_id", "popularity"), "item_id", "left")
-             .crossJoin(F.broadcast(nu)))
-    p = F.coalesce(F.col("popularity"), F.lit(1)).cast("double") / F.col("num_users")
+        num_users = num_users.first()["num_users"]  # one number to the driver
+    nu = float(num_users or 0)
+    j = recs.select("user_id", "item_id").join(item_pop.select("item_id", "popularity"), "item_id", "left")
+    if nu <= 0:
+        return j.groupBy("user_id").agg(F.lit(0.0).alias("novelty"))
+    p = F.coalesce(F.col("popularity"), F.lit(1)).cast("double") / F.lit(nu)
     info = -F.log2(F.greatest(p, F.lit(1e-10)))
-    return (j.groupBy("user_id").agg(F.avg(F.when(F.col("num_users") > 0, info).otherwise(0.0))
-                                       .alias("novelty")))
+    return j.groupBy("user_id").agg(F.avg(info).alias("novelty"))
 
 
 def evaluate_full(recs: DataFrame, truth: DataFrame, catalog: DataFrame, vectors: DataFrame,
@@ -235,12 +234,14 @@ def offline_ab_test(a: DataFrame, b: DataFrame, primary: str = "ndcg@10") -> Dat
                  F.when(F.col("model_a") > 0,
                         (F.col("model_b") - F.col("model_a")) / F.col("model_a") * 100).otherwise(inf)
                  .alias("pct_change"))
-    a_, b_ = F.coalesce("model_a", F.lit(0.0)), F.coalesce("model_b", F.lit(0.0))
-    prim = (j.sparkSession.createDataFrame([(primary,)], "metric string")
-             .join(j, "metric", "left")
-             .select(F.when(a_ > b_, "A").otherwise("B").alias("winner"),
-                     F.when(a_ > 0, (b_ - a_) / a_ * 100).otherwise(inf).alias("lift")))
-    return j.crossJoin(F.broadcast(prim)).withColumn("primary_metric", F.lit(primary))
+    # the comparison has one row per metric name (bounded by metrics x k values),
+    # so the primary values are spread to every row by a window over all rows
+    everything = Window.partitionBy()
+    a_ = F.coalesce(F.max(F.when(F.col("metric") == primary, F.col("model_a"))).over(everything), F.lit(0.0))
+    b_ = F.coalesce(F.max(F.when(F.col("metric") == primary, F.col("model_b"))).over(everything), F.lit(0.0))
+    return j.select("*", F.when(a_ > b_, "A").otherwise("B").alias("winner"),
+                    F.when(a_ > 0, (b_ - a_) / a_ * 100).otherwise(inf).alias("lift"),
+                    F.lit(primary).alias("primary_metric"))
 
 
 def ab_results_summary(results: DataFrame) -> DataFrame:

@@ -81,8 +81,10 @@ def loss_triplet(t: DataFrame, margin: float = TRIPLET_MARGIN, weighted: bool =
 
 def loss_multitask(losses: DataFrame, weights: DataFrame | None = None,
                    log_vars: DataFrame | None = None) -> DataFrame:
-    """Sum of w * loss (missing weight 1.0); with ``log_vars`` (task, s) the
-    uncertainty form exp(-s) * loss + s.  losses: (task, loss)."""
+    """``total_fixed`` = sum of w * loss (missing weight 1.0);
+    ``total_uncertainty`` uses exp(-s) * loss + s for tasks with a log variance s
+    in ``log_vars`` (task, s), the fixed term otherwise.  losses: (task, loss);
+    weight and log-variance tables have one row per task (broadcast, bounded)."""
     j = losses
     if weights is not None:
         j = j.join(F.broadcast(weights), "task", "left")
@@ -90,11 +92,11 @@ def loss_multitask(losses: DataFrame, weights: DataFrame | None = None,
         j = j.withColumn("w", F.lit(None).cast("double"))
     if log_vars is not None:
         j = j.join(F.broadcast(log_vars), "task", "left")
-        term = F.when(F.col("s").isNotNull(), F.exp(-F.col("s")) * F.col("loss") + F.col("s")) \
-                .otherwise(F.coalesce("w", F.lit(1.0)) * F.col("loss"))
     else:
-        term = F.coalesce("w", F.lit(1.0)) * F.col("loss")
-    return j.agg(F.sum(term).alias("total"))
+        j = j.withColumn("s", F.lit(None).cast("double"))
+    fixed = F.coalesce("w", F.lit(1.0)) * F.col("loss")
+    unc = F.when(F.col("s").isNotNull(), F.exp(-F.col("s")) * F.col("loss") + F.col("s")).otherwise(fixed)
+    return j.agg(F.sum(fixed).alias("total_fixed"), F.sum(unc).alias("total_uncertainty"))
 
 
 def validation_metrics(t: DataFrame) -> DataFrame:

@@ -40,8 +40,8 @@ def store_stats(spark, d):
     stored lists."""
     c = Context(spark, d)
     ranked, n_pop = c.popular_ranked
-    a = c.user_vectors.agg(F.count(F.lit(1)).alias("users_with_vector"))
-    b = c.vectors.filter(V.is_valid("v")).agg(F.count(F.lit(1)).alias("items_with_vector"))
-    p = ranked.agg(F.count(F.lit(1)).alias("popular_items"))
-    lst = c.pop_recs.agg(F.countDistinct("user_id").alias("cached_lists"))
-    return a.crossJoin(b).crossJoin(p).crossJoin(lst)
+    # four single-number aggregates; each comes to the driver as one value
+    row = (c.user_vectors.count(), c.vectors.filter(V.is_valid("v")).count(), n_pop,
+           c.pop_recs.agg(F.countDistinct("user_id")).first()[0])
+    return spark.createDataFrame([row], "users_with_vector long, items_with_vector long, popular_items long, "
+                                        "cached_lists long")

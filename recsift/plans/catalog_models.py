@@ -41,13 +41,13 @@ def triples(c: Context):
     item vectors, unit), the interacted item's unit vector, and the unit vectors of
     items (item_id + 37 j) mod n, j = 1..4, as negatives."""
     unit = c.unit_vectors.select("item_id", "v")
-    n = c.vectors.agg(F.count(F.lit(1)).alias("_n"))
+    n = c.vectors.count()  # one number to the driver
     uv = c.user_vectors.select("user_id", V.l2_normalize("v").alias("user_v"))
     rows = (c.train.select("user_id", "item_id", "weight")
             .join(unit.withColumnRenamed("v", "pos_v"), "item_id").join(uv, "user_id"))
-    negs = (rows.select("user_id", "item_id").crossJoin(F.broadcast(n))
+    negs = (rows.select("user_id", "item_id")
             .withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(N_NEG))))
-            .withColumn("neg_item_id", F.pmod(F.col("item_id") + NEG_STEP * F.col("j"), F.col("_n")))
+            .withColumn("neg_item_id", F.pmod(F.col("item_id") + NEG_STEP * F.col("j"), F.lit(n)))
             .join(unit.select(F.col("item_id").alias("neg_item_id"), F.col("v").alias("nv")), "neg_item_id")
             .groupBy("user_id", "item_id")
             .agg(F.sort_array(F.collect_list(F.struct("j", "nv"))).alias("_l"))
@@ -145,10 +145,8 @@ def loss_multitask(spark, d):
         losses = losses.unionByName(p)
     w = spark_.createDataFrame(list(MT_WEIGHTS.items()), "task string, w double")
     s = spark_.createDataFrame(list(MT_LOGVARS.items()), "task string, s double")
-    fixed = M.loss_multitask(losses, w).withColumnRenamed("total", "total_fixed")
-    unc = M.loss_multitask(losses, w, s).withColumnRenamed("total", "total_uncertainty")
-    return fixed.crossJoin(unc).select(r6("total_fixed").alias("total_fixed"),
-                                       r6("total_uncertainty").alias("total_uncertainty"))
+    out = M.loss_multitask(losses, w, s)
+    return out.select(r6("total_fixed").alias("total_fixed"), r6("total_uncertainty").alias("total_uncertainty"))
 
 
 VAL_SQL = with_views("""

@@ -228,8 +228,8 @@ def vector_store_write(spark, d):
         .select(F.lit("visual").alias("model"), "dim", "count", F.lit(c.as_of).cast("timestamp").alias("created_at"))
     meta.write.parquet(f"{root}/metadata")
     back = spark.read.parquet(f"{root}/vectors")
-    m = spark.read.parquet(f"{root}/metadata")
-    return back.crossJoin(F.broadcast(m.select("model", "dim"))).select("item_id", "model", "dim")
+    m = spark.read.parquet(f"{root}/metadata").first()  # the one metadata row
+    return back.select("item_id", F.lit(m["model"]).alias("model"), F.lit(m["dim"]).cast("long").alias("dim"))
 
 
 @query("run_registry")

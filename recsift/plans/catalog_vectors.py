@@ -92,10 +92,9 @@ def pair_scores(spark, d):
     (37 * id + 1) mod n, a pair list derived from the table)."""
     c = Context(spark, d)
     v = c.vectors.select("item_id", "v")
-    n = v.agg(F.count(F.lit(1)).alias("n"))
-    a = (v.crossJoin(F.broadcast(n))
-          .select(F.col("item_id").alias("item_a"), F.col("v").alias("va"),
-                  F.pmod(F.col("item_id") * 37 + 1, F.col("n")).alias("item_b")))
+    n = v.count()  # one number to the driver
+    a = v.select(F.col("item_id").alias("item_a"), F.col("v").alias("va"),
+                 F.pmod(F.col("item_id") * 37 + 1, F.lit(n)).alias("item_b"))
     b = v.select(F.col("item_id").alias("item_b"), F.col("v").alias("vb"))
     j = a.join(b, "item_b")
     return j.select("item_a", "item_b", r6(V.dot("va", "vb")).alias("dot"),
@@ -251,11 +250,11 @@ def unseen_candidates(spark, d):
     active - seen-active per user (no user x item pairs are formed)."""
     c = Context(spark, d)
     active = c.items.filter(F.col("is_active")).select("item_id")
-    n_active = active.agg(F.count(F.lit(1)).alias("n_active"))
+    n_active = active.count()  # one number to the driver
     seen = c.train.select("user_id", "item_id").join(active, "item_id").groupBy("user_id") \
         .agg(F.count(F.lit(1)).alias("n"))
-    return (c.train_users.join(seen, "user_id", "left").crossJoin(F.broadcast(n_active))
-             .select("user_id", (F.col("n_active") - F.coalesce("n", F.lit(0))).cast("long").alias("n_unseen")))
+    return (c.train_users.join(seen, "user_id", "left")
+             .select("user_id", (F.lit(n_active) - F.coalesce("n", F.lit(0))).cast("long").alias("n_unseen")))
 
 
 ORDERED_SQL = "SELECT DISTINCT user_id, item_id FROM ev WHERE event = 'order'"

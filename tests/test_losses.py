@@ -79,9 +79,11 @@ def test_losses_positive_and_scalar(triples):
 def test_multitask(spark):
     losses = spark.createDataFrame([("a", 2.0), ("b", 4.0)], "task string, loss double")
     w = spark.createDataFrame([("a", 0.5)], "task string, w double")
-    assert M.loss_multitask(losses, w).first()["total"] == pytest.approx(0.5 * 2 + 4)
+    assert M.loss_multitask(losses, w).first()["total_fixed"] == pytest.approx(0.5 * 2 + 4)
     s = spark.createDataFrame([("b", 1.0)], "task string, s double")
-    assert M.loss_multitask(losses, w, s).first()["total"] == pytest.approx(1.0 + np.exp(-1) * 4 + 1)
+    r = M.loss_multitask(losses, w, s).first()
+    assert r["total_uncertainty"] == pytest.approx(1.0 + np.exp(-1) * 4 + 1)
+    assert r["total_fixed"] == pytest.approx(0.5 * 2 + 4)
 
 
 def test_validation_metrics(triples):
