@@ -92,11 +92,13 @@ def negatives_hard(train: DataFrame, items: DataFrame, n: int = 4, ratio: float
     m = int(round(n * ratio))
     it = items.select("item_id", "category")
     numbered, _ = with_positions(it, [F.col("category"), F.col("item_id")], name="_p")
-    first = numbered.groupBy("category").agg(F.min("_p").alias("_p0"), F.count(F.lit(1)).alias("n_cat"))
-    cat_idx = (numbered.join(F.broadcast(first), "category")
+    # one row per category: broadcast only when the count is within the bound
+    first = bounded_broadcast(
+        numbered.groupBy("category").agg(F.min("_p").alias("_p0"), F.count(F.lit(1)).alias("n_cat")))
+    cat_idx = (numbered.join(first, "category")
                        .select("category", "item_id", (F.col("_p") - F.col("_p0")).alias("cand"), "n_cat"))
     pos = (train.select("user_id", "item_id").distinct()
-                .join(it, "item_id").join(F.broadcast(first.select("category", "n_cat")), "category"))
+                .join(it, "item_id").join(first.select("category", "n_cat"), "category"))
     h = F.xxhash64("user_id", "item_id", F.col("slot"), F.lit(seed), F.lit("hard"))
     cand = (pos.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(max(2 * m, 1)))))
                .withColumn("cand", F.pmod(h, F.col("n_cat"))))

@@ -10,6 +10,7 @@ from recsift.operators import features as FT
 from recsift.operators import models as M
 from recsift.operators import prep
 from recsift.operators import split as SP
+from recsift.operators.ordering import bounded_broadcast
 from recsift.plans.catalog import query, r6
 from recsift.plans.context import Context
 from recsift.plans.oracle_views import VIEWS, with_views
@@ -257,9 +258,12 @@ def user_tower_embed(spark, d):
     cat_t = M.id_embedding_table(cat_codes, "code", M.USER_EMB["pref"], "ucat")
     br_t = M.id_embedding_table(br_codes, "code", M.USER_EMB["pref"], "ubrand")
     parts = ["user_e"]
-    for col, t in (("category_1", cat_t), ("category_2", cat_t), ("category_3", cat_t),
-                   ("brand_1", br_t), ("brand_2", br_t)):
-        feats = feats.join(F.broadcast(t.select(F.col("code").alias(col), F.col("e").alias(f"{col}_e"))), col)
+    for col, t, n in (("category_1", cat_t, n_cat), ("category_2", cat_t, n_cat), ("category_3", cat_t, n_cat),
+                      ("brand_1", br_t, n_brand), ("brand_2", br_t, n_brand)):
+        # vocabulary-sized tables whose row count is known
+        tab_c = bounded_broadcast(t.select(F.col("code").alias(col), F.col("e").alias(f"{col}_e")),
+                                  known_rows=n + 1)
+        feats = feats.join(tab_c, col)
         parts.append(f"{col}_e")
     n_in = M.USER_EMB["user"] + 5 * M.USER_EMB["pref"]
     layers = M.mlp_weights(n_in, M.USER_HIDDEN, M.OUTPUT_DIM, seed=3)
