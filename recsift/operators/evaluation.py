@@ -140,10 +140,9 @@ def diversity_per_user(recs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Mean pairwise cosine distance inside each list, without forming pairs.
 
     For unit vectors the sum of pairwise dot products is (|sum v|^2 - n) / 2, so a
-    list needs one vector sum: each recommended vector is exploded to (pos, x) and
-    summed per (user, pos) -- linear in list length, partial aggregation on the
-    map side.  Vectors are renormalised in double first; items without a valid
-    vector are skipped; fewer than two usable items give 0."""
+    list needs one vector sum (``Summarizer.sum``, partial aggregation on the map
+    side) -- linear in list length.  Vectors are renormalised in double first;
+    items without a valid vector are skipped; fewer than two usable items give 0."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     unit = (vectors.filter(V.is_valid("v"))

@@ -140,7 +140,6 @@ def knn(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
     local = (q_rep.groupBy("qb", "ib")
                   .cogroup(i_rep.groupBy("qb", "ib"))
                   .applyInPandas(_local_topk(metric, k, score_chunk), KNN_SCHEMA))
-    order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     rk = V.rank_score("score")
     w = Window.partitionBy("qid").orderBy(rk.asc() if metric == "l2" else rk.desc(), F.col("item_id"))
     return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

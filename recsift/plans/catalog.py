@@ -16,7 +16,7 @@ from recsift.functions import scalars as S
 from recsift.operators import evaluation as EV
 from recsift.operators import features as FT
 from recsift.operators import prep
-from recsift.plans.context import KS, REC_K, TRENDING_DAYS, Context
+from recsift.plans.context import KS, TRENDING_DAYS, Context
 from recsift.plans.metrics_sql import long_means, per_user_ctes
 from recsift.plans.oracle_views import with_views
 
@@ -41,7 +41,6 @@ def ts_text(c) -> F.Column:
     return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM-dd HH:mm:ss")
 
 
-TS = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
 # ---------------------------------------------------------------- sources, prep
 

@@ -135,7 +135,6 @@ def _mt_sql() -> str:
 @query("loss_multitask", _mt_sql())
 def loss_multitask(spark, d):
     """Weighted sum of the four losses, and the uncertainty-weighted form."""
-    spark_ = spark
     t = triples(Context(spark, d))
     parts = [M.loss_infonce(t).select(F.lit("infonce").alias("task"), "loss"),
              M.loss_bpr(t).select(F.lit("bpr").alias("task"), "loss"),
@@ -144,8 +143,8 @@ def loss_multitask(spark, d):
     losses = parts[0]
     for p in parts[1:]:
         losses = losses.unionByName(p)
-    w = spark_.createDataFrame(list(MT_WEIGHTS.items()), "task string, w double")
-    s = spark_.createDataFrame(list(MT_LOGVARS.items()), "task string, s double")
+    w = spark.createDataFrame(list(MT_WEIGHTS.items()), "task string, w double")
+    s = spark.createDataFrame(list(MT_LOGVARS.items()), "task string, s double")
     out = M.loss_multitask(losses, w, s)
     return out.select(r6("total_fixed").alias("total_fixed"), r6("total_uncertainty").alias("total_uncertainty"))
 
@@ -252,9 +251,8 @@ def user_tower_embed(spark, d):
     feats = feats.join(tab, "user_code").withColumnRenamed("e", "user_e")
     n_cat = c.items.select("category").distinct().count()
     n_brand = c.items.select("brand").distinct().count()
-    spark_ = spark
-    cat_codes = spark_.range(0, n_cat + 1).withColumnRenamed("id", "code")
-    br_codes = spark_.range(0, n_brand + 1).withColumnRenamed("id", "code")
+    cat_codes = spark.range(0, n_cat + 1).withColumnRenamed("id", "code")
+    br_codes = spark.range(0, n_brand + 1).withColumnRenamed("id", "code")
     cat_t = M.id_embedding_table(cat_codes, "code", M.USER_EMB["pref"], "ucat")
     br_t = M.id_embedding_table(br_codes, "code", M.USER_EMB["pref"], "ubrand")
     parts = ["user_e"]

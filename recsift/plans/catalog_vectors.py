@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recsift.functions import vectors as V
-from recsift.operators import features as FT
 from recsift.operators import retrieval as R
 from recsift.operators import sessions as SS
-from recsift.plans.catalog import URL_RE, query, r6, ts_text
-from recsift.plans.context import REC_K, TRENDING_DAYS, Context
+from recsift.plans.catalog import URL_RE, query, r6
+from recsift.plans.context import REC_K, Context
 from recsift.plans.oracle_views import VIEWS, with_views
 from recsift.session import materialize
 
