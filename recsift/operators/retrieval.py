@@ -84,7 +84,8 @@ def _local_topk(metric: str, k: int, score_chunk: int = SCORE_CHUNK):
         c = score_chunk
         parts = [chunk(Q[a:a + c], qids[a:a + c], None if exs is None else exs[a:a + c], I, ids, pos)
                  for a in range(0, len(Q), c)]
-        return pd.concat(parts, ignore_index=True)
+        parts = [p for p in parts if len(p)] or parts[:1]
+        return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
     return fn
 
 
