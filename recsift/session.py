@@ -51,9 +51,12 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``recsift`` importable in Python workers (pandas UDFs, cogroups):
     zip the package once per application and ``addPyFile`` it, the standard way
-    to send driver-side code to executors."""
-    sc = spark.sparkContext
-    app = sc.applicationId
+    to send driver-side code to executors (``addArtifacts`` on Spark Connect)."""
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001  (Spark Connect has no SparkContext)
+        sc, app = None, f"connect-{id(spark)}"
     if app in _SHIPPED:
         return
     import zipfile
@@ -65,7 +68,10 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)
     _SHIPPED.add(app)
 
 
@@ -77,8 +83,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="recsift-ckpt-", dir=os.environ.get("RECSIFT_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    try:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001  (Spark Connect: DataFrame.checkpoint uses the conf)
+        pass
     return d
 
 
