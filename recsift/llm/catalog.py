@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from recsift.llm import licenses
+from recsift.llm import licenses, pii, secrets
 from recsift.session import ensure_checkpoint_dir
 
-MODULES = [licenses]
+MODULES = [licenses, secrets, pii]
 
 
 def _wrap(fn):

@@ -45,21 +45,28 @@ def _total(lens: Column) -> Column:
     return F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x["gap"] + x["len"])
 
 
-def match_spans(text: Column, pattern: str, group: int | None = None) -> Column:
-    """All matches of ``pattern`` as array<struct<start, end, value, part>>, in order.
+def match_spans(text: Column, pattern: str, group: int | None = None, context: int = 0) -> Column:
+    """All matches of ``pattern`` as array<struct<start, end, value, part, before, after>>, in order.
 
-    ``part`` is capture group ``group`` (the whole match where it is None).  The
-    pattern must not match the empty string.  Null and empty texts give an empty array.
+    ``part`` is capture group ``group`` (the whole match where it is None).  ``before``
+    and ``after`` are up to ``context`` characters around the match, as far as the
+    neighbouring matches.  The pattern must not match the empty string.  Null and
+    empty texts give an empty array.
     """
     t = F.coalesce(text, F.lit(""))
     whole = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    lists = [F.split(t, pattern), whole] + ([F.regexp_extract_all(t, F.lit(pattern), F.lit(group))]
-                                            if group is not None else [])
-    rows = F.transform(F.arrays_zip(*lists), lambda z: F.struct(
-        F.char_length(z["0"]).cast("long").alias("gap"), F.char_length(z["1"]).cast("long").alias("len"),
-        z["1"].alias("value"), z["2" if group is not None else "1"].alias("part")))
-    rows = F.filter(rows, lambda z: z["value"].isNotNull())  # the last piece has no match after it
-    return let(rows, _placed)
+    parts = F.regexp_extract_all(t, F.lit(pattern), F.lit(group)) if group is not None else whole
+
+    def rows(lists):
+        r = F.transform(F.arrays_zip(lists["gaps"], lists["whole"], lists["parts"], F.slice(lists["gaps"], 2, F.size(lists["gaps"]))),
+                        lambda z: F.struct(
+            F.char_length(z["gaps"]).cast("long").alias("gap"), F.char_length(z["whole"]).cast("long").alias("len"),
+            z["whole"].alias("value"), z["parts"].alias("part"),
+            F.right(z["gaps"], F.lit(context)).alias("before"), F.left(z["3"], F.lit(context)).alias("after")))
+        return F.filter(r, lambda z: z["value"].isNotNull())  # the last piece has no match after it
+
+    lists = F.struct(F.split(t, pattern).alias("gaps"), whole.alias("whole"), parts.alias("parts"))
+    return let(let(lists, rows), _placed)
 
 
 def _placed(rows: Column) -> Column:
@@ -74,7 +81,8 @@ def _placed(rows: Column) -> Column:
 
     def inside(b):
         return F.transform(b["g"], lambda x, i: let(b["base"] + x["gap"] + _total(F.slice(b["g"], 1, i)), lambda s: F.struct(
-            s.alias("start"), (s + x["len"]).alias("end"), x["value"].alias("value"), x["part"].alias("part"))))
+            s.alias("start"), (s + x["len"]).alias("end"), x["value"].alias("value"), x["part"].alias("part"),
+            x["before"].alias("before"), x["after"].alias("after"))))
 
     return F.flatten(F.transform(let(groups, with_sums), inside))
 
