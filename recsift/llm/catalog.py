@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from recsift.llm import licenses, pii, secrets
+from recsift.llm import (
+    decontaminate, exact_dedup, html_wrappers, licenses, near_dedup, packing, pii, quality, secrets, sharding)
 from recsift.session import ensure_checkpoint_dir
 
-MODULES = [licenses, secrets, pii]
+MODULES = [licenses, sharding, packing, quality, secrets, near_dedup, exact_dedup, decontaminate, html_wrappers, pii]
 
 
 def _wrap(fn):

@@ -133,7 +133,8 @@ def groups(docs: DataFrame, digest=sha256, state_path: str | None = None) -> Dat
     path = scratch_path(spark, "dedup-stream")
     slim = keyed.select("key", "doc_id", "n", "locator")
     slim.write.parquet(path)
-    state = dedup_stream(path, state_path, spark, slim.schema)
+    # written before the join: adaptive execution splits a hot key only between plain shuffles
+    state = materialize(dedup_stream(path, state_path, spark, slim.schema), "dedup-groups")
     if has_collisions:
         both = docs.select("doc_id", digest_column(digest)(F.col("text")).alias("d"))
         rows = both.select("doc_id", "d.digest", F.octet_length("d.norm").cast("long").alias("bytes"),

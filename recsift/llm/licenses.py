@@ -194,3 +194,33 @@ def op1_license_scan(spark, sf_dir):
 
 
 QUERIES = {"op1_license_scan": op1_license_scan}
+
+
+def _oracle() -> str:
+    """Every block against every template, without the filters."""
+    values = ",\n".join(f"('{t.label}', {t.words!r}, {t.threshold}, {t.phrase})" for t in TEMPLATES)
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT *, len(w) AS n, greatest(1, ceil(len(w) / {STRIDE}.0)::BIGINT - 1) AS nb FROM t),
+tpl(label, words, threshold, phrase) AS (VALUES {values}),
+pairs AS (SELECT rid, label, phrase, words, w, threshold, list_distinct(words) AS tokens, b * {STRIDE} AS first,
+                 CASE WHEN b = nb - 1 THEN n ELSE (b + 1) * {STRIDE} END AS stop
+          FROM (SELECT *, unnest(range(0, nb)) AS b FROM d), tpl),
+m AS (SELECT rid, label, phrase, len(tokens) AS size, len(list_intersect(tokens, list_slice(w, first + 1, first + {2 * STRIDE}))) AS overlap,
+             CASE WHEN phrase THEN list_filter(range(first, stop), lambda p: list_slice(w, p + 1, p + len(words)) = words)
+                  ELSE []::BIGINT[] END AS places, threshold
+      FROM pairs),
+hits AS (SELECT * FROM m WHERE overlap >= ceil(threshold * size - 1e-9) AND (NOT phrase OR len(places) > 0)),
+g AS (SELECT rid, coalesce(sum(len(places)), 0)::BIGINT AS n_base, min(list_min(places))::BIGINT AS first_word,
+             max(list_max(places))::BIGINT AS last_word,
+             coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
+             string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(overlap / size) AS score, count(*) AS n_matches
+      FROM hits GROUP BY rid)
+SELECT d.doc_id, d.n::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_matches, 0) AS n_matches
+FROM d LEFT JOIN g USING (rid)"""
+
+
+ORACLE = {"op1_license_scan": _oracle()}

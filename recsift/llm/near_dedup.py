@@ -42,6 +42,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recsift.llm.components import components
 from recsift.session import materialize
@@ -58,6 +59,8 @@ LEAST_AGREEING = int(COORDINATES * 0.75 - 5 * (COORDINATES * 0.75 * 0.25) ** 0.5
 #: members of one star in one verification group; classes in one block of the rest
 STAR_PART, BLOCK = 256, 1024
 CACHE = 400_000
+SKETCH = T.StructType([T.StructField("words", T.BinaryType()), T.StructField("n", T.LongType()),
+                       T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -134,7 +137,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both * DENOMINATOR >= NUMERATOR * (len(a) + len(b) - both)
 
 
-@F.pandas_udf("words binary, n long, bands array<long>, sig binary")
+@F.pandas_udf(SKETCH)
 def sketch(texts: pd.Series) -> pd.DataFrame:
     """Digest of the word sequence, set size, band keys and one byte per coordinate."""
     out = []
@@ -150,12 +153,12 @@ def sketch(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["words", "n", "bands", "sig"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def word_digest(texts: pd.Series) -> pd.Series:
     return pd.Series([hashlib.blake2b(b" ".join(words_of(t)), digest_size=16).digest() for t in texts], dtype=object)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), COORDINATES)
     y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), COORDINATES)
@@ -167,7 +170,9 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
 def _stars(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members of shared buckets: bucket, cid, center; distinct pairs cid, center)."""
     rows = classes.select("cid", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # written before the join: adaptive execution splits a hot key only between plain shuffles
+    shared = materialize(rows.groupBy("bucket").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("size"))
+                         .filter("size > 1"), "near-buckets")
     members = materialize(rows.join(shared, "bucket"), "near-members")
     return members, members.filter("cid <> center").select("cid", "center").distinct()
 
@@ -188,9 +193,9 @@ def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
     open_buckets = counts.groupBy("bucket").agg(
         F.max_by("comp", "n").alias("major"), F.max("n").alias("major_n"), F.sum("n").alias("all_n"),
         F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    parts = open_buckets.select("bucket", "major",
-                                F.ceil(F.col("major_n") / BLOCK).cast("int").alias("a"),
-                                F.ceil((F.col("all_n") - F.col("major_n")) / BLOCK).cast("int").alias("b"))
+    parts = materialize(open_buckets.select(
+        "bucket", "major", F.ceil(F.col("major_n") / BLOCK).cast("int").alias("a"),
+        F.ceil((F.col("all_n") - F.col("major_n")) / BLOCK).cast("int").alias("b")), "near-parts")
     # blocks 0..a-1 hold the largest component, a..a+b-1 the others; a pair of blocks has one of the others
     j = named.join(parts, "bucket").join(classes.select("cid", "sig"), "cid") \
         .withColumn("mine", F.when(F.col("comp") == F.col("major"), F.pmod(F.xxhash64("cid"), F.col("a")))
@@ -240,7 +245,7 @@ def _compare_blocks(batches):
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold, as links u, v."""
-    sizes = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / STAR_PART).cast("int").alias("parts"))
+    sizes = materialize(pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / STAR_PART).cast("int").alias("parts")), "near-stars")
     split = pairs.join(sizes, "center").select("cid", "center", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"))
     own = sizes.select(F.col("center").alias("cid"), "center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     wanted = split.union(own).join(classes.select("cid", "first_id", "words"), "cid")
@@ -291,7 +296,7 @@ def groups(docs: DataFrame) -> DataFrame:
         roots = components(links.union(_verified(rest, classes, docs)))
     named = classes.select("words", "cid", "first_id").join(roots.withColumnRenamed("u", "cid"), "cid", "left") \
         .select("words", "first_id", F.coalesce("root", "cid").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "near-least")
     of_words = named.join(least, "root").select("words", "root", "component_id")
     grouped = some.select("doc_id", "n", "words").join(of_words, "words")
     alone = rows.filter("n = 0").select("words", "doc_id", "n", F.lit(None).cast("long").alias("root"),

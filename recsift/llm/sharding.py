@@ -111,12 +111,10 @@ def splitters(records: DataFrame) -> tuple[np.ndarray, list]:
         more = []
         low = [tuple(b) for b in bounds]
         for n, size in overfull.items():
-            first = np.searchsorted([0], 0) if n == 0 else None
             lo = low[n - 1] if n else None
             hi = low[n] if n < len(low) else None
             own = np.array([k for k in map(tuple, sample) if (lo is None or k >= lo) and (hi is None or k < hi)],
                            dtype=np.int64).reshape(-1, 3)
-            del first
             more.append(_quantiles(own, int(2 * size / share) + 2))
         grown = _sorted_unique(np.concatenate([bounds, *more]))
         if len(grown) == len(bounds):
