@@ -47,7 +47,8 @@ TABLES, SAMPLED = 32, 3
 SLICE_WORDS = 1_000_000
 #: a length class holds items from its length to this many times it
 CLASS_STEP = 1.15
-PAIR_BITS = 24
+#: marks kept per pair of neighbouring words, as a power of two, and the most marks
+PAIR_SPARE, PAIR_BITS = 6, 24
 #: windows embedded at once, and words handled at once (a longer text is taken alone)
 CHUNK, BATCH_WORDS = 4096, 1_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -114,7 +115,8 @@ class Index:
         self.codes = {x: xxhash.xxh3_64_intdigest(x.encode()) | 1 for x in {x for _, w in self.items for x in w}}
         self.coded = [np.array([self.codes[x] for x in w], np.uint64) for _, w in self.items]
         # pairs of neighbouring words, by hash; a false mark only lets a window through
-        self.pairs = np.zeros(1 << PAIR_BITS, bool)
+        bits = max(16, min(PAIR_BITS, sum(map(len, self.coded)).bit_length() + PAIR_SPARE))
+        self.pairs, self.shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
         for c in self.coded:
             self.pairs[self._pair(c)] = True
         rng = np.random.default_rng(seed)
@@ -141,9 +143,8 @@ class Index:
             self.classes.append((longest, longest + allowed(longest), need, tables))
             at = end
 
-    @staticmethod
-    def _pair(codes: np.ndarray) -> np.ndarray:
-        return (_mix(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    def _pair(self, codes: np.ndarray) -> np.ndarray:
+        return (_mix(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) >> self.shift).astype(np.int64)
 
     def find(self, texts) -> list[list[tuple[int, int, int, int]]]:
         """Per text: (item_id, first word, edits, item words) of the best stretch of each item found."""
