@@ -50,7 +50,7 @@ CLASS_STEP = 1.15
 #: marks kept per pair of neighbouring words, as a power of two, and the most marks
 PAIR_SPARE, PAIR_BITS = 6, 24
 #: windows embedded at once, and words handled at once (a longer text is taken alone)
-CHUNK, BATCH_WORDS = 4096, 1_000_000
+CHUNK, BATCH_WORDS = 1024, 1_000_000
 WORD = re.compile(r"[^\W_]+")
 HITS = "array<struct<item_id:long,start_word:int,edits:int,item_words:int>>"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -70,18 +70,37 @@ def allowed(n: int) -> int:
     return int(MAX_EDIT * n + 1e-9)
 
 
-def embed_samples(codes: np.ndarray, table: int, steps: np.ndarray) -> np.ndarray:
-    """Per row of ``codes`` (windows, one row each): a hash of the words that walk ``table``
-    reads at ``steps``.  A walk that leaves its window reads 0."""
-    n, width = codes.shape
-    at, key = np.zeros(n, np.int64), np.full(n, table + 1, np.uint64)
-    rows, wanted = np.arange(n), set(steps.tolist())
-    for j in range(int(steps.max()) + 1):
-        word = np.where(at < width, codes[rows, np.minimum(at, width - 1)], np.uint64(0))
-        if j in wanted:
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + word)
-        at += (_mix(word + np.uint64(((table << 20) + j + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) & np.uint64(1)).astype(np.int64)
-    return key
+class Walks:
+    """``TABLES`` random walks of one length class and the steps at which each is sampled."""
+
+    def __init__(self, least: int, rng: np.random.Generator):
+        # early steps only: all items of the class have words left there
+        self.steps = [rng.choice(max(SAMPLED, int(1.5 * least)), SAMPLED, replace=False) for _ in range(TABLES)]
+        self.length = int(max(map(max, self.steps))) + 1
+        self.sampled = [np.array([t for t in range(TABLES) if j in self.steps[t]]) for j in range(self.length)]
+        self.add, self.times = (rng.integers(0, 2**63, (TABLES, self.length, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+                                for _ in range(2))
+
+    def samples(self, codes: np.ndarray) -> np.ndarray:
+        """Per walk and row of ``codes`` (windows, one row each): a hash of the words that the walk
+        reads at its sampled steps.  A walk that leaves its window reads 0."""
+        n, width = codes.shape
+        flat = np.zeros((n, width + self.length), np.uint64)
+        flat[:, :width] = codes
+        flat = flat.ravel()
+        at = np.repeat((np.arange(n) * (width + self.length))[None, :], TABLES, axis=0)
+        key = np.repeat(np.arange(1, TABLES + 1, dtype=np.uint64)[:, None], n, axis=1)
+        for j in range(self.length):
+            word = flat.take(at)
+            own = self.sampled[j]
+            if len(own):
+                key[own] = _mix(key[own] * np.uint64(0x9E3779B97F4A7C15) + word[own])
+            # the walk moves on by a random bit of (walk, step, word)
+            word += self.add[:, j]
+            word *= self.times[:, j]
+            word >>= np.uint64(63)
+            at += word.view(np.int64)
+        return key
 
 
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -131,16 +150,15 @@ class Index:
             members = order[at:end]
             longest = len(self.coded[members[-1]])
             need = min(len(self.coded[k]) - 1 - 2 * allowed(len(self.coded[k])) for k in members)
-            tables = []
+            walks = Walks(least, rng)
             rows = np.stack([np.pad(self.coded[k], (0, longest - len(self.coded[k]))) for k in members])
-            for t in range(TABLES):
-                # early steps only: all items of the class have words left there
-                steps = np.sort(rng.choice(max(SAMPLED, int(1.5 * least)), SAMPLED, replace=False))
+            tables = []
+            for own in walks.samples(rows).tolist():
                 keys: dict[int, list[int]] = {}
-                for k, key in zip(members, embed_samples(rows, t, steps).tolist(), strict=True):
+                for k, key in zip(members, own, strict=True):
                     keys.setdefault(key, []).append(k)
-                tables.append((steps, np.array(sorted(keys), np.uint64), keys))
-            self.classes.append((longest, longest + allowed(longest), need, tables))
+                tables.append((np.array(sorted(keys), np.uint64), keys))
+            self.classes.append((longest, longest + allowed(longest), need, walks, tables))
             at = end
 
     def _pair(self, codes: np.ndarray) -> np.ndarray:
@@ -171,7 +189,7 @@ class Index:
         before = np.concatenate([[0], np.cumsum(known), [0]])  # known pairs that begin before a place
         before[-1] = before[-2]
         candidates: dict[tuple[int, int], list[int]] = {}
-        for longest, width, need, tables in self.classes:
+        for longest, width, need, walks, tables in self.classes:
             last = np.minimum(np.arange(n) + width - 1, n - 1)
             starts = np.flatnonzero((before[last] - before[:n] >= need) & (codes != 0))
             for c in range(0, len(starts), CHUNK):
@@ -179,8 +197,7 @@ class Index:
                 place = own[:, None] + np.arange(longest)
                 window = np.where(place < n, codes[np.minimum(place, n - 1)], np.uint64(0))
                 doc = np.searchsorted(firsts, own, "right") - 1
-                for t, (steps, keys, members) in enumerate(tables):
-                    k = embed_samples(window, t, steps)
+                for k, (keys, members) in zip(walks.samples(window), tables, strict=True):
                     at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
                     for row in np.flatnonzero(keys[at] == k):
                         for item in members[int(k[row])]:
