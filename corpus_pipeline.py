@@ -12,33 +12,38 @@ version of it.
 
 from __future__ import annotations
 
-from recsift.llm import decontaminate, exact_dedup, near_dedup, packing, quality
+from recsift.llm import bounded_batches, decontaminate, exact_dedup, near_dedup, packing, quality
 from recsift.session import materialize
 from recsift.sources.tables import read_table
 
 
 def quality_classifier(spark, docs, sf_dir):
     """Rows that the quality classifier does not reject."""
+    bounded_batches(spark)
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact_deduplication(spark, docs, sf_dir):
     """One row of each text, the one with the largest id."""
+    bounded_batches(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def near_deduplication(spark, docs, sf_dir):
     """One row of each near-duplicate group, the one with the smallest id."""
+    bounded_batches(spark)
     return near_dedup.deduplicate(docs)
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
     """Rows without a passage of the benchmark."""
+    bounded_batches(spark)
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of the training sequences."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 
@@ -54,6 +59,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """The rows of the last stage over the whole ``documents`` table."""
+    bounded_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from recsift.llm import (
-    decontaminate, exact_dedup, html_wrappers, licenses, near_dedup, packing, pii, quality, secrets, sharding)
-from recsift.session import ensure_checkpoint_dir
+    bounded_batches, decontaminate, exact_dedup, html_wrappers, licenses, near_dedup, packing, pii, quality, secrets, sharding)
 
 MODULES = [licenses, sharding, packing, quality, secrets, near_dedup, exact_dedup, decontaminate, html_wrappers, pii]
 
 
 def _wrap(fn):
     def run(spark, sf_dir):
-        ensure_checkpoint_dir(spark)
+        bounded_batches(spark)
         return fn(spark, sf_dir)
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     return run
