@@ -56,18 +56,22 @@ def with_event_weight(events: DataFrame, weights: dict | None = None) -> DataFra
     return events.withColumn("weight", S.event_weight("event", weights))
 
 
+#: values that one task may number
+MAX_WINDOW_VALUES = 100_000
+
+
 def vocabulary(df: DataFrame, column: str, start: int = 0, code: str = "code",
                bounded: bool = False) -> DataFrame:
     """Distinct values of ``column`` numbered densely in sorted value order.
 
     Distinct values are aggregated first (partial aggregation).  ``bounded=True`` is
-    for dimension attributes whose distinct count is a catalogue constant
-    (category, brand, size): they are numbered by ``dense_rank`` in one small task.
-    Unbounded vocabularies (users, items) are numbered by a range partition, never
-    by a single-partition window.
+    for dimension attributes that are expected to be small (category, brand, size): if
+    the counted values are at most ``MAX_WINDOW_VALUES`` they are numbered by
+    ``dense_rank`` in one small task.  All other vocabularies are numbered by a range
+    partition, never by a single-partition window.
     """
     distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    if bounded:
+    if bounded and distinct.limit(MAX_WINDOW_VALUES + 1).count() <= MAX_WINDOW_VALUES:
         w = Window.orderBy(F.col(column))
         return distinct.select(column, (F.dense_rank().over(w) - 1 + start).cast("long").alias(code))
     numbered, _ = with_positions(distinct, [F.col(column)], name="_p")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recsift.operators.ordering import bounded_broadcast, with_positions
+from recsift.session import materialize
 
 SPLIT_ORDER = ("ts", "user_id", "item_id")
 
@@ -30,88 +31,123 @@ def temporal_split(interactions: DataFrame, test: float = 0.2, val: float = 0.1)
     return positioned.withColumn("split", part)
 
 
-def _item_index(items: DataFrame) -> tuple[DataFrame, int]:
-    """Dense 0-based index over item ids (range-partition numbering)."""
-    numbered, n = with_positions(items.select("item_id").distinct(), [F.col("item_id")], name="_p")
-    return numbered.select("item_id", (F.col("_p") - 1).alias("item_idx")), n
+#: ranks of unseen items that share a join key in the exact draw
+RANK_BUCKET = 64
 
 
-def _draw(pos_rows: DataFrame, slots: int, round_no: int, seed: int, n_col) -> DataFrame:
-    """Candidate index per (user, item, slot) from a seeded hash (never rand())."""
-    h = F.xxhash64("user_id", "item_id", F.col("slot"), F.lit(round_no), F.lit(seed))
-    return (pos_rows.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(slots))))
-                    .withColumn("cand", F.pmod(h, n_col)))
+def _universe(items: DataFrame, group: str | None) -> tuple[DataFrame, DataFrame]:
+    """(grp, item_id, idx) with a dense 0-based index per group, and (grp, size).
 
+    The index is a global range-partition numbering over (group, item) minus the
+    group's first position, so a large group is not numbered inside one task."""
+    it = items.select((F.col(group) if group else F.lit("")).alias("grp"), "item_id").distinct()
+    numbered, _ = with_positions(it, [F.col("grp"), F.col("item_id")], name="_p")
+    sizes = numbered.groupBy("grp").agg(F.min("_p").alias("_p0"), F.count(F.lit(1)).alias("size"))
+    first = bounded_broadcast(sizes)  # one row per group
+    idx = numbered.join(first, "grp").select("grp", "item_id", (F.col("_p") - F.col("_p0")).alias("idx"))
+    return idx, sizes.select("grp", "size")
 
-def negatives_random(train: DataFrame, items: DataFrame, n: int = 4, seed: int = 42,
-                     max_rounds: int = 4) -> DataFrame:
-    """``n`` negatives per positive, drawn uniformly over the catalogue by a hash
-    of (user, item, slot, round, seed); the user's own training items are removed by
-    an anti join.  Rows short of ``n`` draw again in the next round (only they do).
-    Output: user_id, item_id, slot (1..n), neg_item_id."""
-    idx, n_items = _item_index(items)
-    idx = bounded_broadcast(idx, known_rows=n_items)
-    seen = train.select("user_id", F.col("item_id").alias("neg_item_id"))
+
+def _seen_index(train: DataFrame, idx: DataFrame) -> DataFrame:
+    return train.select("user_id", "item_id").distinct().join(idx, "item_id").select("user_id", "grp", "idx")
+
+
+def _by_rejection(pos: DataFrame, seen: DataFrame, n: int, seed: int) -> DataFrame:
+    """Draw ``2n`` places per positive by hash and keep the first ``n`` distinct unseen ones."""
+    h = F.xxhash64("user_id", "item_id", F.col("slot"), F.lit(seed))
+    cand = (pos.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(2 * n))))
+               .withColumn("idx", F.pmod(h, F.col("size")))
+               .groupBy("user_id", "item_id", "grp", "idx").agg(F.min("slot").alias("slot"))
+               .join(seen, ["user_id", "grp", "idx"], "left_anti"))
+    w = Window.partitionBy("user_id", "item_id").orderBy("slot")
+    return cand.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= n) \
+        .select("user_id", "item_id", "grp", "slot", "idx")
+
+
+def _by_rank(pos: DataFrame, seen: DataFrame, sizes: DataFrame, n: int, seed: int) -> DataFrame:
+    """Exact draw without rejection: ``n`` consecutive ranks (from a hashed start, around the end)
+    among the user's unseen items of the group; fewer only where fewer exist.
+
+    The rank of an unseen item follows from the gaps between the user's seen places: a
+    gap knows how many unseen items stand before it.  A rank meets its gap by an equi-join
+    on blocks of ``RANK_BUCKET`` ranks."""
+    users = pos.select("user_id", "grp").distinct().join(sizes, "grp")
+    ends = users.select("user_id", "grp", F.col("size").alias("idx"))
+    marks = seen.join(users.select("user_id", "grp"), ["user_id", "grp"], "left_semi").unionByName(ends)
+    w = Window.partitionBy("user_id", "grp").orderBy("idx")
+    gaps = (marks.withColumn("first", F.coalesce(F.lag("idx").over(w), F.lit(-1)) + 1)
+                 .withColumn("before", F.col("first") - (F.row_number().over(w) - 1))
+                 .withColumn("len", F.col("idx") - F.col("first")))
+    supply = gaps.groupBy("user_id", "grp").agg(F.sum("len").alias("supply"))
+    gaps = (gaps.filter("len > 0")
+                .withColumn("bucket", F.explode(F.sequence(F.floor(F.col("before") / RANK_BUCKET),
+                                                           F.floor((F.col("before") + F.col("len") - 1) / RANK_BUCKET))))
+                .select("user_id", "grp", "bucket", "first", "before", "len"))
+    h = F.xxhash64("user_id", "item_id", F.lit("rank"), F.lit(seed))
+    draws = (pos.drop("size").join(supply, ["user_id", "grp"]).filter("supply > 0")
+                .withColumn("slot", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.col("supply")).cast("int"))))
+                .withColumn("rank", F.pmod(F.pmod(h, F.col("supply")) + F.col("slot") - 1, F.col("supply")))
+                .withColumn("bucket", F.floor(F.col("rank") / RANK_BUCKET)))
+    return (draws.join(gaps, ["user_id", "grp", "bucket"])
+                 .filter("rank >= before AND rank < before + len")
+                 .select("user_id", "item_id", "grp", "slot", (F.col("first") + F.col("rank") - F.col("before")).alias("idx")))
+
+
+def _negatives(train: DataFrame, items: DataFrame, n: int, seed: int, group: str | None) -> DataFrame:
+    idx, sizes = _universe(items, group)
     positives = train.select("user_id", "item_id").distinct()
-    got = None
-    todo = positives.withColumn("need", F.lit(n))
-    for r in range(max_rounds):
-        cand = _draw(todo, 2 * n, r, seed, F.lit(n_items))
-        cand = (cand.join(idx.withColumnRenamed("item_idx", "cand")
-                             .withColumnRenamed("item_id", "neg_item_id"), "cand")
-                    .join(seen, ["user_id", "neg_item_id"], "left_anti"))
-        # one draw per distinct negative, first slot wins
-        w1 = Window.partitionBy("user_id", "item_id", "neg_item_id").orderBy("slot")
-        cand = cand.withColumn("_r1", F.row_number().over(w1)).filter("_r1 = 1")
-        if got is not None:
-            cand = cand.join(got.select("user_id", "item_id", "neg_item_id"),
-                             ["user_id", "item_id", "neg_item_id"], "left_anti")
-        w = Window.partitionBy("user_id", "item_id").orderBy("slot")
-        cand = (cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("need"))
-                    .select("user_id", "item_id", "neg_item_id", F.lit(r).alias("round"), "slot"))
-        got = cand if got is None else got.unionByName(cand)
-        have = got.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_h"))
-        todo = (positives.join(have, ["user_id", "item_id"], "left")
-                .withColumn("need", F.lit(n) - F.coalesce("_h", F.lit(0)))
-                .filter(F.col("need") > 0).drop("_h"))
-        if r + 1 < max_rounds and todo.limit(1).count() == 0:
-            break
-    w = Window.partitionBy("user_id", "item_id").orderBy("round", "slot")
-    return (got.withColumn("slot", F.row_number().over(w).cast("long"))
-               .select("user_id", "item_id", "slot", "neg_item_id"))
+    pos = positives.join(idx.select("item_id", "grp"), "item_id") if group else positives.withColumn("grp", F.lit(""))
+    pos = materialize(pos.join(bounded_broadcast(sizes), "grp"), "positives")
+    seen = materialize(_seen_index(train, idx), "seen-places")
+    # written once: what is short is decided on the rows that are kept
+    first = materialize(_by_rejection(pos, seen, n, seed), "negatives")
+    full = first.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("got")).filter(F.col("got") == n)
+    done = first.join(full.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
+    short = pos.join(full, ["user_id", "item_id"], "left_anti")
+    drawn = done.unionByName(_by_rank(short, seen, sizes, n, seed))
+    return drawn.join(idx.withColumnRenamed("item_id", "neg_item_id"), ["grp", "idx"]) \
+        .select("user_id", "item_id", F.col("slot").cast("long"), "neg_item_id", "grp")
+
+
+def negatives_random(train: DataFrame, items: DataFrame, n: int = 4, seed: int = 42) -> DataFrame:
+    """``n`` negatives per positive over the catalogue, the user's own training items
+    excluded.  A hashed draw serves nearly all positives; the others draw exactly among the
+    user's unseen items.  A positive has fewer than ``n`` rows only where its user has left
+    fewer items unseen (see :func:`shortfall`).
+    Output: user_id, item_id, slot (1..n), neg_item_id."""
+    return _negatives(train, items, n, seed, None).drop("grp")
 
 
 def negatives_hard(train: DataFrame, items: DataFrame, n: int = 4, ratio: float = 0.3,
                    seed: int = 42) -> DataFrame:
-    """N2 (our definition of 'hard'): ``round(n * ratio)`` negatives from the
-    positive's own category, drawn by hash over a dense index per category.
+    """N2 (our definition of 'hard'): ``round(n * ratio)`` negatives from the positive's own
+    category, drawn like N1; fewer only where the category has fewer unseen items."""
+    m = int(round(n * ratio))
+    if m == 0:
+        return _negatives(train.limit(0), items, 1, seed, "category").withColumnRenamed("grp", "category")
+    return _negatives(train, items, m, seed, "category").withColumnRenamed("grp", "category")
 
-    The per-category index is a global range-partition numbering over
-    (category, item_id) minus the category's first position, so a large category
-    is not numbered inside one task."""
+
+def negatives_mixed(train: DataFrame, items: DataFrame, n: int = 4, ratio: float = 0.3, seed: int = 42) -> DataFrame:
+    """N3's negatives: ``round(n * ratio)`` hard ones in the first slots, random ones in the rest.
+    One more random negative is drawn per hard one, so that a random draw equal to a hard one
+    can be left out."""
     m = int(round(n * ratio))
-    it = items.select("item_id", "category")
-    numbered, _ = with_positions(it, [F.col("category"), F.col("item_id")], name="_p")
-    # one row per category: broadcast only when the count is within the bound
-    first = bounded_broadcast(
-        numbered.groupBy("category").agg(F.min("_p").alias("_p0"), F.count(F.lit(1)).alias("n_cat")))
-    cat_idx = (numbered.join(first, "category")
-                       .select("category", "item_id", (F.col("_p") - F.col("_p0")).alias("cand"), "n_cat"))
-    pos = (train.select("user_id", "item_id").distinct()
-                .join(it, "item_id").join(first.select("category", "n_cat"), "category"))
-    h = F.xxhash64("user_id", "item_id", F.col("slot"), F.lit(seed), F.lit("hard"))
-    cand = (pos.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(max(2 * m, 1)))))
-               .withColumn("cand", F.pmod(h, F.col("n_cat"))))
-    cand = cand.join(cat_idx.select("category", "cand", F.col("item_id").alias("neg_item_id")),
-                     ["category", "cand"])
-    seen = train.select("user_id", F.col("item_id").alias("neg_item_id"))
-    cand = cand.join(seen, ["user_id", "neg_item_id"], "left_anti")
-    w1 = Window.partitionBy("user_id", "item_id", "neg_item_id").orderBy("slot")
-    cand = cand.withColumn("_r1", F.row_number().over(w1)).filter("_r1 = 1")
-    w = Window.partitionBy("user_id", "item_id").orderBy("slot")
-    return (cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m)
-                .select("user_id", "item_id", F.col("_r").cast("long").alias("slot"), "neg_item_id",
-                        "category"))
+    rand = negatives_random(train, items, n + m, seed)
+    if m == 0:
+        return rand.withColumn("hard", F.lit(False))
+    hard = negatives_hard(train, items, n, ratio, seed).drop("category").withColumn("hard", F.lit(True))
+    rest = rand.join(hard.select("user_id", "item_id", "neg_item_id"), ["user_id", "item_id", "neg_item_id"], "left_anti")
+    both = hard.unionByName(rest.withColumn("hard", F.lit(False)).select(*hard.columns))
+    w = Window.partitionBy("user_id", "item_id").orderBy(F.desc("hard"), "slot")
+    return both.withColumn("slot", F.row_number().over(w).cast("long")).filter(F.col("slot") <= n)
+
+
+def shortfall(train: DataFrame, negatives: DataFrame, n: int) -> DataFrame:
+    """user_id, item_id, missing: positives with fewer than ``n`` negatives."""
+    have = negatives.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_h"))
+    return (train.select("user_id", "item_id").distinct().join(have, ["user_id", "item_id"], "left")
+            .withColumn("missing", F.lit(n) - F.coalesce("_h", F.lit(0))).filter("missing > 0").drop("_h"))
 
 
 def training_examples(train: DataFrame, negatives: DataFrame, item_feats: DataFrame) -> DataFrame:

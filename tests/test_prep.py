@@ -114,12 +114,43 @@ def test_negatives_exclude_seen_and_fill(spark, small_dir):
     assert again.exceptAll(negs).count() == 0
 
 
+def test_negatives_of_heavy_users_draw_among_the_rest(spark):
+    """A user who has seen nearly everything gets exactly what is left; one who has seen all gets none."""
+    items = spark.createDataFrame([(i, f"c{i % 3}") for i in range(300)], "item_id long, category string")
+    seen = {1: set(range(298)), 2: set(range(300)), 3: {5}, 4: set(range(0, 300, 2)), 5: set(range(0, 300, 3)) - {99}}
+    train = spark.createDataFrame([(u, i) for u, s in seen.items() for i in s], "user_id long, item_id long")
+    got = {}
+    for r in SP.negatives_random(train, items, n=4, seed=3).collect():
+        got.setdefault((r["user_id"], r["item_id"]), []).append(r["neg_item_id"])
+    for u, s in seen.items():
+        for i in s:
+            mine = got.get((u, i), [])
+            assert len(mine) == len(set(mine)) == min(4, 300 - len(s)) and not set(mine) & s
+    missing = {(r["user_id"], r["missing"]) for r in SP.shortfall(train, SP.negatives_random(train, items, n=4, seed=3), 4).collect()}
+    assert missing == {(1, 2), (2, 4)}
+    hard = {}
+    for r in SP.negatives_hard(train, items, n=4, ratio=0.5).collect():
+        hard.setdefault((r["user_id"], r["item_id"]), []).append(r["neg_item_id"])
+    for u, s in seen.items():
+        for i in s:
+            left = {j for j in range(300) if j % 3 == i % 3} - s
+            mine = hard.get((u, i), [])
+            assert len(mine) == len(set(mine)) == min(2, len(left)) and set(mine) <= left
+    mixed = {}
+    for r in SP.negatives_mixed(train, items, n=4, ratio=0.3).collect():
+        mixed.setdefault((r["user_id"], r["item_id"]), []).append((r["slot"], r["neg_item_id"], r["hard"]))
+    for i in seen[4]:
+        rows = sorted(mixed[(4, i)])
+        assert [x[0] for x in rows] == [1, 2, 3, 4] and [x[2] for x in rows] == [True, False, False, False]
+        assert len({x[1] for x in rows}) == 4
+
+
 def test_hard_negatives_same_category(spark, small_dir):
     c = Context(spark, small_dir)
     negs = SP.negatives_hard(c.train, c.items, n=4, ratio=0.3)
     cat = c.items.select(F.col("item_id").alias("neg_item_id"), F.col("category").alias("neg_cat"))
     j = negs.join(cat, "neg_item_id")
-    assert j.count() > 0 and j.filter(F.col("neg_cat") != F.col("category")).count() == 0
+    assert j.count() == c.train.count() and j.filter(F.col("neg_cat") != F.col("category")).count() == 0
 
 
 def test_user_segments(spark):
@@ -127,3 +158,10 @@ def test_user_segments(spark):
     users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
     seg = {r["user_id"]: r["segment"] for r in FT.user_segment(users, inter).collect()}
     assert seg == {1: "warm", 2: "cold", 3: "cold"}
+
+
+def test_vocabulary_is_the_same_with_and_without_a_window(spark, monkeypatch):
+    df = spark.createDataFrame([(f"b{i % 37}",) for i in range(500)], "brand string")
+    one = sorted(tuple(r) for r in prep.vocabulary(df, "brand", bounded=True).collect())
+    monkeypatch.setattr(prep, "MAX_WINDOW_VALUES", 5)
+    assert sorted(tuple(r) for r in prep.vocabulary(df, "brand", bounded=True).collect()) == one
