@@ -127,7 +127,9 @@ def knn(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine",
                     .withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"),
                                                            F.lit(n_ib - 1).cast("long")))))
     if exclusions is not None:
-        ex = (exclusions.select("qid", "item_id").withColumn("ib", ib_of(F.col("item_id")).cast("long"))
+        # only ids that the item table holds: a long history becomes no longer array than its block
+        ex = (exclusions.select("qid", "item_id").join(items.select("item_id").distinct(), "item_id", "left_semi")
+                        .select("qid", "item_id").withColumn("ib", ib_of(F.col("item_id")).cast("long"))
                         .groupBy("qid", "ib").agg(F.collect_list("item_id").alias("ex")))
         q_rep = q_rep.join(ex, ["qid", "ib"], "left")
     else:

@@ -16,7 +16,7 @@ from recsift.plans import catalog_vectors  # noqa: F401  (session views)
 from recsift.plans.catalog import URL_RE, query, r6
 from recsift.plans.context import Context
 from recsift.plans.oracle_views import with_views
-from recsift.session import scratch_path
+from recsift.session import materialize, scratch_path
 from recsift.streaming import sessions as SSN
 from recsift.streaming import trending as TR
 from recsift.streaming import updates as UP
@@ -61,12 +61,21 @@ def session_state_stream(spark, d):
                       F.array_join(F.col("items").cast("array<string>"), "|").alias("items"))
 
 
-@query("dedup_stream")
+@query("dedup_stream", with_views("""
+    SELECT event_id, user_id, item_id, event, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id, session ORDER BY ts) AS n
+          FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, item_id ROWS UNBOUNDED PRECEDING) AS session
+                FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, item_id) < INTERVAL 30 MINUTES
+                                     THEN 0 ELSE 1 END AS opens
+                      FROM sev WHERE event IN ('save', 'cart', 'order'))))
+    WHERE n = 1""", "sev"))
 def dedup_stream(spark, d):
-    """Repeated (user, item) events suppressed within the 30-minute watermark."""
+    """Events whose item is already in the user's 30-minute session are suppressed."""
     c = Context(spark, d)
     root, schema = replay_files(_valid_stream_events(c), "ts", REPLAY_CHUNKS, "replay-dedup")
-    return _run_to_table(SSN.dedup_stream(read_replay(spark, root, schema)), "s6")
+    out = _run_to_table(SSN.dedup_stream(read_replay(spark, root, schema)), "s6")
+    return out.select("event_id", "user_id", "item_id", "event",
+                      F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 @query("trending_sliding", with_views("""
@@ -117,20 +126,34 @@ def user_vector_stream(spark, d):
     vectors (user_id, n_items, norm)."""
     c = Context(spark, d)
     ev = _valid_stream_events(c)
-    hist = UP.VersionedTable(spark, scratch_path(spark, "hist"),
-                             ev.limit(0).select("user_id", "item_id"))
-    vecs = UP.VersionedTable(spark, scratch_path(spark, "uvec"),
-                             spark.createDataFrame([], "user_id long, v array<double>, version int"))
-    lists0 = L.rec_lists(c.pop_recs, "recs", c.as_of).select("user_id", "list_type", "item_ids")
-    lists = UP.VersionedTable(spark, scratch_path(spark, "lists"), lists0)
+    history, sums, _ = _run_user_vectors(c, ev)
+    n = history.rows().groupBy("user_id").agg(F.countDistinct("item_id").cast("long").alias("n_items"))
+    return UP.user_vectors(sums).join(n, "user_id").select("user_id", "n_items", r6(V.norm("v")).alias("norm"))
+
+
+def _run_user_vectors(c: Context, ev):
+    spark = c.spark
+    history = UP.BatchLog(spark, scratch_path(spark, "hist"), "user_id long, item_id long")
+    sums = UP.BatchLog(spark, scratch_path(spark, "usum"), "user_id long, s array<double>, n long")
+    stale = UP.BatchLog(spark, scratch_path(spark, "stale"), "user_id long")
     root, schema = replay_files(ev, "ts", REPLAY_CHUNKS, "replay-uvec")
-    ck = scratch_path(spark, "s4-ck")
     q = (read_replay(spark, root, schema).writeStream
-         .foreachBatch(UP.user_vector_updater(hist, vecs, lists, c.vectors))
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+         .foreachBatch(UP.user_vector_updater(history, sums, stale, c.vectors))
+         .option("checkpointLocation", scratch_path(spark, "s4-ck")).trigger(availableNow=True).start())
     q.awaitTermination()
-    n = hist.current.groupBy("user_id").agg(F.countDistinct("item_id").cast("long").alias("n_items"))
-    return vecs.current.join(n, "user_id").select("user_id", "n_items", r6(V.norm("v")).alias("norm"))
+    return history, sums, stale
+
+
+@query("remaining_lists_stream", with_views("""
+    SELECT user_id FROM train_users t
+    WHERE NOT EXISTS (SELECT 1 FROM sev s WHERE s.user_id = t.user_id AND s.event IN ('save', 'cart', 'order'))""",
+    "train_users", "sev"))
+def remaining_lists_stream(spark, d):
+    """Users whose stored list is still valid after the stream (those no event has touched)."""
+    c = Context(spark, d)
+    _, _, stale = _run_user_vectors(c, _valid_stream_events(c))
+    lists = L.rec_lists(c.pop_recs, "recs", c.as_of).select("user_id", "list_type", "item_ids")
+    return UP.remaining_lists(lists, stale).select("user_id").distinct()
 
 
 @query("index_append_stream")
@@ -139,8 +162,9 @@ def index_append_stream(spark, d):
     text vector (E7 stand-in, same dimension) that streams in and is appended to
     the nearest existing cell.  Returns the index items (item_id, cell)."""
     c = Context(spark, d)
-    idx = ann.build_ivf(c.vectors, nlist=100, nprobe=10)
-    items0 = UP.VersionedTable(spark, scratch_path(spark, "ivf-items"), idx.items)
+    idx = ann.build_ivf(c.vectors)
+    items0 = UP.BatchLog(spark, scratch_path(spark, "ivf-items"), "item_id long, cell long, v array<double>")
+    items0.write(idx.items, -1)
     text = _part_text(c)
     new = TX.vectors_incremental(c.items, text, c.vectors, 64).filter(F.col("source") == "new") \
         .select("item_id", "v", F.lit(dt.datetime(2024, 1, 1)).alias("ts"))
@@ -151,29 +175,57 @@ def index_append_stream(spark, d):
     q = (read_replay(spark, root, schema).writeStream.foreachBatch(UP.index_appender(items0, idx.centroids))
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    return items0.current.select("item_id", "cell")
+    return items0.rows().select("item_id", "cell")
 
 
 # ---------------------------------------------------------------- approximate search
 
 
+def _ivf(c: Context):
+    idx = ann.build_ivf(c.vectors)
+    q = c.vectors.select(F.col("item_id").alias("qid"), "v")
+    idx.nprobe = ann.calibrate_nprobe(q, idx, KNN_K)
+    return q, idx
+
+
 @query("knn_ivf")
 def knn_ivf(spark, d):
-    """IVF (nlist = min(100, n/10), nprobe 10) cosine top 10 for every item."""
-    c = Context(spark, d)
-    idx = ann.build_ivf(c.vectors, nlist=100, nprobe=10)
-    q = c.vectors.select(F.col("item_id").alias("qid"), "v")
+    """IVF cosine top 10 for every item; cells probed as calibrated."""
+    q, idx = _ivf(Context(spark, d))
     return ann.search_ivf(q, idx, KNN_K).select("qid", "rank", "item_id", r6("score").alias("score"))
 
 
 @query("knn_lsh")
 def knn_lsh(spark, d):
-    """Random-projection LSH cosine top 10 for every item."""
+    """Random-projection LSH cosine top 10 for every item; bits as calibrated."""
     c = Context(spark, d)
     q = c.vectors.select(F.col("item_id").alias("qid"), "v")
     return ann.search_lsh(q, c.vectors, KNN_K).select("qid", "rank", "item_id", r6("score").alias("score"))
 
 
+@query("ann_recall", with_views("""
+    SELECT m.method, (SELECT count(*) FROM uvec)::BIGINT AS queries, (SELECT count(*) * 10 FROM uvec)::BIGINT AS n_rows,
+           true AS recall_at_10_is_090
+    FROM (VALUES ('ivf_reopened'), ('lsh')) m(method)""", "uvec"))
+def ann_recall(spark, d):
+    """R7, R8, IO4: both searches against the exact one: all queries answered in full, recall@10
+    at least 0.9.  The IVF index is written, reopened and read by cell."""
+    c = Context(spark, d)
+    q, idx = _ivf(c)
+    path = scratch_path(spark, "ivf-index")
+    ann.save_ivf(idx, path)
+    exact = materialize(R.knn(q, c.vectors, KNN_K, "cosine"), "exact")
+    out = None
+    for name, found in (("ivf_reopened", ann.search_ivf(q, ann.load_ivf(spark, path), KNN_K)),
+                        ("lsh", ann.search_lsh(q, c.vectors, KNN_K))):
+        n = found.agg(F.countDistinct("qid").alias("queries"), F.count(F.lit(1)).alias("n_rows"))
+        # two one-row results side by side
+        r = ann.recall_at_k(found, exact).withColumn("k", F.lit(1)).join(n.withColumn("k", F.lit(1)), "k")
+        row = r.select(F.lit(name).alias("method"), "queries", "n_rows", (F.col("recall") >= 0.9).alias("recall_at_10_is_090"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # ---------------------------------------------------------------- text, vector store, registry
 
 
@@ -217,8 +269,10 @@ def text_search(spark, d):
         .select("item_id", "category", "brand", r6("similarity_score").alias("similarity_score"))
 
 
-@query("vector_store_write", "SELECT vec_id::BIGINT AS item_id, 'visual' AS model, len(embedding) AS dim "
-                              "FROM embeddings")
+@query("vector_store_write", """
+    SELECT vec_id::BIGINT AS item_id, 'visual' AS model, len(v) AS dim, round(v[1], 6) AS first_x, round(v[len(v)], 6) AS last_x,
+           round(list_sum(v), 6) AS sum_x
+    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""")
 def vector_store_write(spark, d):
     """IO3: vectors + ids written with a metadata row (model, dim, count, time)."""
     c = Context(spark, d)
@@ -229,7 +283,9 @@ def vector_store_write(spark, d):
     meta.write.parquet(f"{root}/metadata")
     back = spark.read.parquet(f"{root}/vectors")
     m = spark.read.parquet(f"{root}/metadata").first()  # the one metadata row
-    return back.select("item_id", F.lit(m["model"]).alias("model"), F.lit(m["dim"]).cast("long").alias("dim"))
+    return back.select("item_id", F.lit(m["model"]).alias("model"), F.lit(m["dim"]).cast("long").alias("dim"),
+                       r6(F.element_at("v", 1)).alias("first_x"), r6(F.element_at("v", -1)).alias("last_x"),
+                       r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("sum_x"))
 
 
 @query("run_registry")

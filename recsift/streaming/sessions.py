@@ -1,11 +1,16 @@
 """Session history as a stateful stream (S1) and in-session repeat suppression.
 
-S1 keeps, per user, (session start, last event, first-seen items capped at 50,
-event count) in Spark's state store.  Rows of a micro-batch are sorted by
-(ts, item_id) per key; a gap >= 30 minutes closes the session in the batch, and an
-event-time timeout at last + gap closes it once the watermark passes -- the
-reference's time-to-live renewed on every call, repeats included.  Evicted
-items may return, as in the reference (append if absent, keep the last 50).
+S1 keeps, per user, the open session as far as the watermark has passed (start, last
+event, first-seen items capped at 50, event count) and the events after the watermark,
+which may still be preceded by late rows.  Events enter the session in event-time order
+once the watermark has reached them, so the result does not depend on the order or the
+batches in which rows arrive within the watermark delay.  A session is closed by the
+watermark passing its last event plus the gap, or by a settled event beyond the gap --
+the reference's time-to-live renewed on every call, repeats included.  Evicted items may
+return, as in the reference (append if absent, keep the last 50).
+
+S6 keeps, per user, the open session and its items and passes an event on unless its
+item is already in the session.
 """
 
 from __future__ import annotations
@@ -20,49 +25,57 @@ MAX_ITEMS = 50
 
 OUTPUT_SCHEMA = ("user_id long, session_start timestamp, session_end timestamp, "
                  "n_events long, items array<long>")
-STATE_SCHEMA = "start timestamp, last timestamp, items array<long>, n long"
+STATE_SCHEMA = ("start timestamp, last timestamp, items array<long>, n long, "
+                "pending_ts array<timestamp>, pending_items array<long>")
+SEEN_SCHEMA = "start timestamp, last timestamp, items array<long>"
+
+
+def _ms(ts) -> int:
+    return pd.Timestamp(ts).value // 1_000_000
 
 
 def _session_fn(gap_seconds: int, max_items: int):
     gap = pd.Timedelta(seconds=gap_seconds)
 
-    def emit(user, start, last, items, n):
-        return {"user_id": int(user), "session_start": start, "session_end": last,
-                "n_events": int(n), "items": list(items)}
-
     def fn(key, pdfs, state):
-        user = key[0]
-        if state.hasTimedOut:
-            start, last, items, n = state.get
-            state.remove()
-            yield pd.DataFrame([emit(user, start, last, items, n)])
-            return
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "item_id"], kind="stable")
+        start, last, items, n, pending = None, None, [], 0, []
         if state.exists:
-            start, last, items, n = state.get
-            items = list(items)
-        else:
-            start, last, items, n = None, None, [], 0
+            start, last, items, n, p_ts, p_items = state.get
+            items, pending = list(items), [(pd.Timestamp(t), int(i)) for t, i in zip(p_ts, p_items)]
+            start, last = (pd.Timestamp(start), pd.Timestamp(last)) if n else (None, None)
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                pending.extend((pd.Timestamp(t), int(i)) for t, i in zip(pdf["ts"], pdf["item_id"]))
+        wm = state.getCurrentWatermarkMs()
         out = []
-        for ts, item in zip(rows["ts"], rows["item_id"]):
-            ts = pd.Timestamp(ts)
-            if start is not None and ts - pd.Timestamp(last) >= gap:
-                out.append(emit(user, start, last, items, n))
-                start = None
-            if start is None:
-                start, items, n = ts, [], 0
-            if int(item) not in items:
-                items.append(int(item))
-                items = items[-max_items:]
+
+        def close():
+            out.append({"user_id": int(key[0]), "session_start": start, "session_end": last,
+                        "n_events": int(n), "items": list(items)})
+
+        pending.sort()
+        settled = [e for e in pending if _ms(e[0]) <= wm]
+        pending = pending[len(settled):]
+        for ts, item in settled:
+            if n and ts - last >= gap:
+                close()
+                n = 0
+            if not n:
+                start, items = ts, []
+            if item not in items:
+                items = [*items, item][-max_items:]
             last, n = ts, n + 1
-        expiry_ms = int((pd.Timestamp(last) + gap).value // 1_000_000)
-        wm = state.getCurrentWatermarkMs()
-        if expiry_ms <= wm:
-            out.append(emit(user, start, last, items, n))
+        if n and _ms(last + gap) <= wm:
+            close()
+            n = 0
+        if n or pending:
+            epoch = pd.Timestamp(0)
+            state.update((start if n else epoch, last if n else epoch, items if n else [], n,
+                          [t for t, _ in pending], [i for _, i in pending]))
+            due = ([_ms(last + gap)] if n else []) + ([_ms(pending[0][0])] if pending else [])
+            state.setTimeoutTimestamp(max(min(due), wm + 1))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((start, last, items, n))
-            state.setTimeoutTimestamp(expiry_ms)
         if out:
             yield pd.DataFrame(out)
     return fn
@@ -78,8 +91,43 @@ def session_state_stream(events: DataFrame, gap_seconds: int = GAP_SECONDS, max_
         GroupStateTimeout.EventTimeTimeout)
 
 
-def dedup_stream(events: DataFrame, keys=("user_id", "item_id"), watermark: str = "30 minutes") -> DataFrame:
-    """Drop a repeated (user, item) while the first one is inside the watermark
-    delay (a repeated event within the session's lifetime)."""
-    return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-                  .dropDuplicatesWithinWatermark(list(keys)))
+def _dedup_fn(gap_seconds: int, max_items: int, columns: list[str]):
+    gap = pd.Timedelta(seconds=gap_seconds)
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "item_id"], kind="stable")
+        start = last = None
+        items: list = []
+        if state.exists:
+            start, last, items = state.get
+            start, last, items = pd.Timestamp(start), pd.Timestamp(last), list(items)
+        keep = []
+        for ts, item in zip(rows["ts"], rows["item_id"]):
+            ts, item = pd.Timestamp(ts), int(item)
+            if last is not None and ts <= start - gap:
+                keep.append(True)  # a late row of an earlier session
+                continue
+            if last is None or ts - last >= gap:
+                start, last, items = ts, ts, []
+            start, last = min(start, ts), max(last, ts)
+            keep.append(item not in items)
+            if keep[-1]:
+                items = [*items, item][-max_items:]
+        state.update((start, last, items))
+        state.setTimeoutTimestamp(max(_ms(last + gap), state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[keep, columns]
+    return fn
+
+
+def dedup_stream(events: DataFrame, gap_seconds: int = GAP_SECONDS, max_items: int = MAX_ITEMS,
+                 watermark: str = "1 hour") -> DataFrame:
+    """Drop an event whose item is already in the user's current session.  What is kept
+    does not depend on how the input is cut into batches; state leaves when the watermark
+    has passed the session."""
+    ev = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    return ev.groupBy("user_id").applyInPandasWithState(
+        _dedup_fn(gap_seconds, max_items, ev.columns), ev.schema, SEEN_SCHEMA, "append",
+        GroupStateTimeout.EventTimeTimeout)

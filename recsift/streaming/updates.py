@@ -1,71 +1,91 @@
 """Incremental updates from streams via ``foreachBatch``.
 
-Each micro-batch is a small DataFrame; the handlers merge it into tables kept as
-parquet versions under the shared folder (write a new version, then point to it),
-which is idempotent per batch id, so a retried batch rewrites the same version.
+A :class:`BatchLog` is a folder with one subfolder of rows per micro-batch.  A batch reads
+the batches before its own id and writes its own folder, overwriting what an earlier
+attempt left there: a repeated batch and a restarted stream give the same rows, no
+position is kept in memory, and no earlier row is written again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recsift.functions import vectors as V
 from recsift.operators import ann
-from recsift.operators import lists as L
-from recsift.operators import retrieval as R
 
 
-class VersionedTable:
-    """A table stored as numbered parquet versions; ``current`` is the newest."""
+class BatchLog:
+    """Rows by micro-batch under ``root``; batch -1 holds the rows from before the stream."""
 
-    def __init__(self, spark, root: str, initial: DataFrame):
-        self.spark, self.root, self.version = spark, root, 0
-        initial.write.mode("overwrite").parquet(self._path(0))
+    def __init__(self, spark, root: str, schema):
+        self.spark, self.root = spark, root
+        self.schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        spark.createDataFrame([], self.schema).write.mode("ignore").parquet(self._path(-2))
 
-    def _path(self, v: int) -> str:
-        return f"{self.root}/v={v:06d}"
+    def _path(self, batch: int) -> str:
+        return f"{self.root}/batch={batch}"
 
-    @property
-    def current(self) -> DataFrame:
-        return self.spark.read.parquet(self._path(self.version))
+    def write(self, df: DataFrame, batch: int) -> None:
+        df.select(*self.schema.names).write.mode("overwrite").parquet(self._path(batch))
 
-    def commit(self, df: DataFrame, batch_id: int) -> None:
-        v = batch_id + 1
-        df.write.mode("overwrite").parquet(self._path(v))
-        self.version = v
+    def rows(self, before: int | None = None) -> DataFrame:
+        """All rows, or those of the batches before ``before`` (read by folder)."""
+        df = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])) \
+            .option("basePath", self.root).parquet(self.root)
+        return (df if before is None else df.filter(F.col("batch") < before)).drop("batch")
 
 
-def user_vector_updater(history: VersionedTable, user_vecs: VersionedTable, lists: VersionedTable,
-                        vectors: DataFrame):
-    """Append the batch's (user, item) events to the history, recompute the
-    vectors of the users in the batch (mean of their items' vectors; last write
-    wins) and drop those users' stored lists."""
+def user_vector_updater(history: BatchLog, sums: BatchLog, stale: BatchLog, vectors: DataFrame):
+    """Log the (user, item) pairs that are new with this batch, add their vectors to the
+    users' running sums (one row per user and batch, not a rewrite), and mark the users of
+    the batch, whose stored lists are stale."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         b = batch.select("user_id", "item_id").distinct()
-        if b.limit(1).count() == 0:
-            return
-        hist = history.current.unionByName(b).distinct()
-        history.commit(hist, batch_id)
-        users = b.select("user_id").distinct()
-        mine = history.current.join(users, "user_id", "left_semi").join(vectors.select("item_id", "v"), "item_id")
-        fresh = R.mean_vector(mine, "user_id").withColumn("version", F.lit(batch_id + 1))
-        merged = L.upsert_latest(user_vecs.current, fresh, ["user_id"], "version")
-        user_vecs.commit(merged, batch_id)
-        kept, _ = L.invalidate(lists.current, users, ["user_id"])
-        lists.commit(kept, batch_id)
+        fresh = b.join(history.rows(before=batch_id), ["user_id", "item_id"], "left_anti")
+        history.write(fresh, batch_id)
+        mine = history.spark.read.schema(history.schema).parquet(history._path(batch_id))
+        sums.write(vector_sums(mine, vectors), batch_id)
+        stale.write(b.select("user_id").distinct(), batch_id)
     return handle
 
 
-def index_appender(index_items: VersionedTable, centroids: list[list[float]]):
-    """New item vectors are assigned to the existing IVF centroids and appended
-    to the cell-partitioned item table; a full rebuild (ann.build_ivf) is a
-    separate scheduled job."""
+def vector_sums(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """user_id, s (sum of the vectors of the user's items), n (items with a vector)."""
+    return add_up(pairs.join(vectors.select("item_id", F.col("v").alias("s")), "item_id")
+                  .select("user_id", "s", F.lit(1).cast("long").alias("n")))
+
+
+def add_up(sums: DataFrame) -> DataFrame:
+    """Add vectors per user, slot by slot."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    g = sums.withColumn("_x", array_to_vector("s")).groupBy("user_id").agg(
+        Summarizer.sum(F.col("_x")).alias("_t"), F.sum("n").alias("n"))
+    return g.select("user_id", vector_to_array("_t").alias("s"), "n")
+
+
+def user_vectors(sums: BatchLog) -> DataFrame:
+    """user_id and the mean of its items' vectors as of now."""
+    return add_up(sums.rows()).select("user_id", F.transform("s", lambda x: x / F.col("n")).alias("v"))
+
+
+def remaining_lists(lists: DataFrame, stale: BatchLog) -> DataFrame:
+    """Stored lists of the users that no batch has touched."""
+    return lists.join(stale.rows().distinct(), "user_id", "left_anti")
+
+
+def index_appender(index_items: BatchLog, centroids: list[list[float]]):
+    """New item vectors are assigned to the existing IVF centroids and appended to the
+    item table; items that are already there stay as they are.  A full rebuild
+    (ann.build_ivf) is a separate scheduled job."""
     idx = ann.IvfIndex(centroids, None, len(centroids), 1, len(centroids[0]) if centroids else 0)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        q = batch.filter(V.is_valid("v")).select(F.col("item_id").alias("qid"), V.l2_normalize("v").alias("v"))
+        q = batch.filter(V.is_valid("v")).dropDuplicates(["item_id"]) \
+            .select(F.col("item_id").alias("qid"), V.l2_normalize("v").alias("v"))
         cells = ann.probe_cells(q, idx, 1).select(F.col("qid").alias("item_id"), "cell", "v")
-        merged = index_items.current.join(cells.select("item_id"), "item_id", "left_anti").unionByName(cells)
-        index_items.commit(merged, batch_id)
+        known = index_items.rows(before=batch_id).select("item_id")
+        index_items.write(cells.join(known, "item_id", "left_anti"), batch_id)
     return handle

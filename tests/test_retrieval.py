@@ -101,5 +101,32 @@ def test_lsh_recall(spark):
     idf = spark.createDataFrame(_vecs(rng, 200, 6), "item_id long, v array<double>")
     q = idf.select(F.col("item_id").alias("qid"), "v")
     exact = R.knn(q, idf, 5, "cosine")
-    rec = ann.recall_at_k(ann.search_lsh(q, idf, 5, max_distance=2.0), exact).first()["recall"]
-    assert rec > 0.9
+    found = ann.search_lsh(q, idf, 5)
+    assert ann.recall_at_k(found, exact).first()["recall"] > 0.9
+    assert found.count() == 200 * 5
+
+
+def test_every_query_gets_k_rows(spark):
+    """Isolated queries have no neighbours in their cells or buckets; the exact search answers them."""
+    rng = np.random.default_rng(6)
+    items = [(i, (np.eye(8)[i % 8] + rng.normal(size=8) * 1e-3).tolist()) for i in range(80)] + [(900, [0.0] * 8)]
+    idf = spark.createDataFrame(items, "item_id long, v array<double>")
+    q = spark.createDataFrame([(1, (-np.ones(8)).tolist()), (2, np.ones(8).tolist()), (3, [0.0] * 8)], "qid long, v array<double>")
+    exact = R.knn(q, idf, 12, "cosine")
+    idx = ann.build_ivf(idf, nlist=8, nprobe=1)
+    for found in (ann.search_lsh(q, idf, 12, bits=8), ann.search_ivf(q, idx, 12)):
+        assert sorted(tuple(r) for r in found.groupBy("qid").count().collect()) == [(1, 12), (2, 12)]
+        # what is filled in is exact: a query without neighbours in its cells has the exact answer
+        assert {r["item_id"] for r in found.collect()} <= set(range(80))
+    assert ann.recall_at_k(ann.search_lsh(q, idf, 12), exact).first()["recall"] > 0.9
+
+
+def test_calibrated_probes_reach_the_target(spark):
+    rng = np.random.default_rng(7)
+    idf = spark.createDataFrame(_vecs(rng, 600, 8), "item_id long, v array<double>")
+    q = idf.select(F.col("item_id").alias("qid"), "v")
+    idx = ann.build_ivf(idf, nlist=30, nprobe=1)
+    n = ann.calibrate_nprobe(q, idx, 5)
+    assert 1 < n < idx.nlist
+    exact = R.knn(q, idf, 5, "cosine")
+    assert ann.recall_at_k(ann.search_ivf(q, idx, 5, nprobe=n, i_block=7, q_block=16), exact).first()["recall"] >= 0.9
