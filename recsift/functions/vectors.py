@@ -1,6 +1,7 @@
 """Vector column expressions built from Spark's higher-order array functions.
 
-All arithmetic is in double and stays inside whole-stage codegen (no Python).
+All arithmetic is in double and stays on the JVM (no Python); Spark evaluates higher-order
+functions outside generated code, so searches score blocks in Arrow batches instead.
 Zero vectors are never divided by: normalisation of a zero vector yields null and
 :func:`is_valid` marks it invalid (they are left out of every index).
 """
@@ -19,10 +20,6 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def as_double(v) -> Column:
-    return _c(v).cast("array<double>")
-
-
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0),
                        lambda acc, x: acc + x)
@@ -61,15 +58,6 @@ def l2_dist(a, b) -> Column:
     return F.sqrt(l2_sq(a, b))
 
 
-def add(a, b) -> Column:
-    return F.zip_with(_c(a), _c(b), lambda x, y: x + y)
-
-
-def scale(a, s) -> Column:
-    s = _c(s) if not isinstance(s, (int, float)) else F.lit(float(s))
-    return F.transform(_c(a), lambda x: x * s)
-
-
 def zeros(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0), dim)
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from recsift.session import materialize
 
-# Rows above which a side is never broadcast, whatever its byte size.
-MAX_BROADCAST_ROWS = 2_000_000
+# Bytes (uncompressed) above which a side is never broadcast.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -44,23 +44,36 @@ def with_positions(df: DataFrame, order: list[Column], name: str = "pos",
     for pid, n in counts:
         offsets[pid] = acc
         acc += n
-    if offsets:
-        off_map = F.create_map(*[x for pid, off in offsets.items()
-                                 for x in (F.lit(pid), F.lit(off))])
-        off = F.element_at(off_map, F.col("_pid"))
-    else:
-        off = F.lit(0)
+    # one row per partition
+    table = F.broadcast(df.sparkSession.createDataFrame(sorted(offsets.items()) or [(-1, 0)], "_pid long, _off long"))
+    ranged = ranged.withColumn("_pid", F.col("_pid").cast("long")).join(table, "_pid")
+    off = F.col("_off")
     local = F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
-    out = ranged.withColumn(name, (local + 1 + off).cast("long")).drop("_mid", "_pid")
+    out = ranged.withColumn(name, (local + 1 + off).cast("long")).select(*df.columns, name)
     return out, acc
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: eight per fixed-size value, the lengths of strings and arrays of numbers."""
+    total = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        size = (F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 8 if kind.startswith("array<") else F.lit(8))
+        total = total + F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)) + 8
+    return total
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES,
                       known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven below ``max_rows``.
+    """Broadcast ``df`` only when its size is proven below ``max_bytes``.
 
-    ``known_rows`` is an upper bound the caller already holds (e.g. a top-k list);
-    otherwise the rows are counted.  Larger sides are left to Spark's shuffle joins.
+    ``known_rows`` is an upper bound the caller already holds (e.g. a top-k list) and is
+    enough for tables of fixed-size columns; otherwise the bytes are added up.  Larger
+    sides are left to Spark's shuffle joins.
     """
-    n = known_rows if known_rows is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    fixed = not any(k in ("string", "binary") or k.startswith(("array", "map", "struct")) for _, k in df.dtypes)
+    if known_rows is not None and fixed:
+        size = known_rows * 16 * len(df.columns)
+    else:
+        size = df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= max_bytes else df

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 METRICS = ("precision", "recall", "ndcg", "mrr", "hit_rate", "map")
 
@@ -53,11 +52,3 @@ def long_means(per: str, keys: str = "") -> str:
     union = " UNION ALL ".join(
         f"SELECT {kcols}'{m}' AS metric, k, avg({m}) AS value FROM {per} GROUP BY {kcols}k" for m in METRICS)
     return union
-
-
-def idcg_prefix(kmax: int) -> list[float]:
-    out, acc = [0.0], 0.0
-    for i in range(1, kmax + 1):
-        acc += 1.0 / math.log2(i + 1)
-        out.append(acc)
-    return out

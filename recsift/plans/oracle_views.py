@@ -118,6 +118,3 @@ def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> s
         parts.append(f"{n} AS ({sql})")
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
-
-def ts_str(col: str) -> str:
-    return f"strftime({col}, '%Y-%m-%d %H:%M:%S')"

@@ -22,7 +22,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Broadcasts are requested explicitly, behind a size check (see plans.sizing);
+    # Broadcasts are requested explicitly, behind a size check (operators.ordering);
     # the automatic threshold stays at Spark's default.
 }
 
@@ -76,18 +76,26 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only where none is configured.
-    Also ships the package to the Python workers (once per application)."""
+    """Return the shared checkpoint folder: ``spark.checkpoint.dir``, else the context's
+    checkpoint folder.  One is made up only in local mode; on a cluster without either
+    setting intermediates have no shared place, so that raises.  Also ships the package to the Python workers (once per application)."""
     ship_package(spark)
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="recsift-ckpt-", dir=os.environ.get("RECSIFT_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+    sc = None
     try:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(d)
+        sc = spark.sparkContext
     except Exception:  # noqa: BLE001  (Spark Connect: DataFrame.checkpoint uses the conf)
         pass
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
+    if not d:
+        if sc is None or not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = tempfile.mkdtemp(prefix="recsift-ckpt-", dir=os.environ.get("RECSIFT_SCRATCH", "/tmp"))
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", d)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
