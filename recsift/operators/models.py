@@ -159,16 +159,13 @@ OUTPUT_DIM = 32
 
 def id_embedding_table(codes: DataFrame, code_col: str, dim: int, name: str, seed: int = 42,
                        std: float = 0.01) -> DataFrame:
-    """A stand-in embedding table (code, e): normal(0, std) drawn from a generator
-    seeded by (seed, table, code), so any partitioning gives the same table."""
-    salt = sum(ord(c) * (i + 1) for i, c in enumerate(name))
-
-    def gen(it):
-        for pdf in it:
-            vals = [np.random.default_rng([seed, salt, int(c)]).normal(0.0, std, dim).tolist()
-                    for c in pdf[code_col].to_numpy()]
-            yield pd.DataFrame({code_col: pdf[code_col].astype("int64"), "e": vals})
-    return codes.select(F.col(code_col).cast("long")).mapInPandas(gen, f"{code_col} long, e array<double>")
+    """A stand-in embedding table (code, e): uniform with deviation ``std``, hashed from
+    (seed, table, code, slot), so any partitioning gives the same table."""
+    lim = std * math.sqrt(3.0)
+    code = F.col(code_col).cast("long")
+    e = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.xxhash64(
+        F.lit(seed), F.lit(name), code, j) / F.lit(float(2 ** 63)) * F.lit(lim))
+    return codes.select(code.alias(code_col), e.alias("e"))
 
 
 def _dense(rng, n_in, n_out):

@@ -36,12 +36,16 @@ def text_search(catalog: DataFrame, id_col: str, text_col: str, query_text: str,
     """Encode the query text with the same encoder, then exact cosine top k
     over the encoded catalogue (R1).  Output: item id, score."""
     spark = catalog.sparkSession
-    enc = encode_hashed(catalog, id_col, text_col, dim).filter(V.is_valid("v"))
     q = encode_hashed(spark.createDataFrame([(0, query_text)], f"{id_col} long, {text_col} string"),
                       id_col, text_col, dim).first()["v"]
-    score = V.dot("v", F.array(*[F.lit(float(x)) for x in q]))
-    return (enc.select(id_col, score.alias("score"))
-               .orderBy(V.rank_score("score").desc(), F.col(id_col)).limit(k))
+    return vector_search(encode_hashed(catalog, id_col, text_col, dim), id_col, q, k)
+
+
+def vector_search(encoded: DataFrame, id_col: str, query: list[float], k: int) -> DataFrame:
+    """Exact cosine top k of a supplied vector over encoded rows (id, v unit vectors)."""
+    score = V.dot("v", F.array(*[F.lit(float(x)) for x in query]))
+    return (encoded.filter(V.is_valid("v")).select(id_col, score.alias("score"))
+            .orderBy(V.rank_score("score").desc(), F.col(id_col)).limit(k))
 
 
 def vectors_incremental(items: DataFrame, text: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:

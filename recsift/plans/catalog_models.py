@@ -3,57 +3,113 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recsift.functions import vectors as V
 from recsift.operators import features as FT
 from recsift.operators import models as M
 from recsift.operators import prep
+from recsift.operators import retrieval as R
 from recsift.operators import split as SP
-from recsift.operators.ordering import bounded_broadcast
+from recsift.operators.ordering import bounded_broadcast, with_positions
 from recsift.plans.catalog import query, r6
 from recsift.plans.context import Context
 from recsift.plans.oracle_views import VIEWS, with_views
+from recsift.session import materialize
 
 N_NEG = 4
 NEG_STEP = 37
 
-VIEWS.update({
-    "user_vec_n": (("user_vec",), """SELECT user_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v
-                                     FROM user_vec"""),
-    "tri_rows": (("train", "uvec", "user_vec_n"), """
-        SELECT t.user_id, t.item_id, t.weight, u.v AS user_v, p.v AS pos_v
-        FROM train t JOIN uvec p ON p.item_id = t.item_id JOIN user_vec_n u ON u.user_id = t.user_id"""),
-    "triples": (("tri_rows", "uvec", "vec"), f"""
-        SELECT r.*, n.neg_v FROM tri_rows r JOIN (
-          SELECT r.user_id, r.item_id, list(n.v ORDER BY g.j) AS neg_v
-          FROM tri_rows r CROSS JOIN range(1, {N_NEG + 1}) g(j)
-          JOIN uvec n ON n.item_id = (r.item_id + {NEG_STEP} * g.j) % (SELECT count(*) FROM vec)
-          GROUP BY r.user_id, r.item_id) n ON n.user_id = r.user_id AND n.item_id = r.item_id"""),
-    "tri_s": (("triples",), """
+N_DRAWS = 12  # places tried for the N_NEG unseen negatives
+
+
+def _standin_sql(key: str) -> str:
+    """A unit 64-vector made of an id by arithmetic, the same in SQL and in Spark."""
+    raw = f"list_transform(range(64), lambda j: (({key} * 7919 + (j + 1) * 104729) % 2003) / 1001.5::DOUBLE - 1.0)"
+    return f"(SELECT list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT {raw} AS w))"
+
+
+def _triples_sql(rows: str) -> str:
+    return f"""
+        SELECT r.user_id, r.item_id, any_value(r.weight) AS weight, any_value(r.user_v) AS user_v,
+               any_value(r.pos_v) AS pos_v, list(r.v ORDER BY r.j) AS neg_v
+        FROM (SELECT r.user_id, r.item_id, r.weight, r.user_v, r.pos_v, n.v, g.j,
+                     row_number() OVER (PARTITION BY r.user_id, r.item_id ORDER BY g.j) AS k
+              FROM {rows} r CROSS JOIN range(1, {N_DRAWS + 1}) g(j)
+              JOIN ivec n ON n.idx = (r.idx + {NEG_STEP} * g.j) % (SELECT count(*) FROM ivec)
+              WHERE NOT EXISTS (SELECT 1 FROM train s WHERE s.user_id = r.user_id AND s.item_id = n.item_id)) r
+        WHERE k <= {N_NEG} GROUP BY r.user_id, r.item_id"""
+
+
+def _scores_sql(triples: str) -> str:
+    return f"""
         SELECT weight, user_v, pos_v, neg_v, list_dot_product(user_v, pos_v) AS pos,
                list_transform(neg_v, lambda n: list_dot_product(user_v, n)) AS negs
-        FROM triples"""),
+        FROM {triples}"""
+
+
+VIEWS.update({
+    # every catalogue item: its visual vector, else the stand-in of its id; places in id order
+    "ivec": (("items_c", "uvec"), f"""
+        SELECT i.item_id, coalesce(u.v, {_standin_sql('i.item_id')}) AS v,
+               row_number() OVER (ORDER BY i.item_id) - 1 AS idx
+        FROM items_c i LEFT JOIN uvec u ON u.item_id = i.item_id"""),
+    "uprof": (("train", "ivec"), """
+        SELECT user_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v
+        FROM (SELECT user_id, list(x ORDER BY pos) AS v FROM (
+                SELECT user_id, pos, avg(x) AS x FROM (
+                  SELECT t.user_id, unnest(i.v) AS x, generate_subscripts(i.v, 1) AS pos
+                  FROM train t JOIN ivec i ON t.item_id = i.item_id)
+                GROUP BY user_id, pos)
+              GROUP BY user_id)"""),
+    "tri_rows": (("train", "ivec", "uprof"), """
+        SELECT t.user_id, t.item_id, t.weight, u.v AS user_v, p.v AS pos_v, p.idx
+        FROM train t JOIN ivec p ON p.item_id = t.item_id JOIN uprof u ON u.user_id = t.user_id"""),
+    "val_rows": (("split", "ivec", "uprof"), f"""
+        SELECT t.user_id, t.item_id, t.weight, coalesce(u.v, {_standin_sql('t.user_id')}) AS user_v, p.v AS pos_v, p.idx
+        FROM split t JOIN ivec p ON p.item_id = t.item_id LEFT JOIN uprof u ON u.user_id = t.user_id
+        WHERE t.split = 'val'"""),
+    "triples": (("tri_rows", "ivec", "train"), _triples_sql("tri_rows")),
+    "val_triples": (("val_rows", "ivec", "train"), _triples_sql("val_rows")),
+    "tri_s": (("triples",), _scores_sql("triples")),
+    "val_s": (("val_triples",), _scores_sql("val_triples")),
 })
 
 
-def triples(c: Context):
-    """Training triples from the tables: user vector (mean of the user's training
-    item vectors, unit), the interacted item's unit vector, and the unit vectors of
-    items (item_id + 37 j) mod n, j = 1..4, as negatives."""
-    unit = c.unit_vectors.select("item_id", "v")
-    n = c.vectors.count()  # one number to the driver
-    uv = c.user_vectors.select("user_id", V.l2_normalize("v").alias("user_v"))
-    rows = (c.train.select("user_id", "item_id", "weight")
-            .join(unit.withColumnRenamed("v", "pos_v"), "item_id").join(uv, "user_id"))
-    negs = (rows.select("user_id", "item_id")
-            .withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(N_NEG))))
-            .withColumn("neg_item_id", F.pmod(F.col("item_id") + NEG_STEP * F.col("j"), F.lit(n)))
-            .join(unit.select(F.col("item_id").alias("neg_item_id"), F.col("v").alias("nv")), "neg_item_id")
+def _standin(key):
+    raw = F.transform(F.sequence(F.lit(0), F.lit(63)),
+                      lambda j: F.pmod(key * 7919 + (j + 1) * 104729, F.lit(2003)) / F.lit(1001.5) - F.lit(1.0))
+    return V.l2_normalize(raw)
+
+
+def triples(c: Context, part: str = "train"):
+    """Triples of every row of ``part``: the user's vector (unit mean of the vectors of its
+    training items, else the stand-in of its id), the item's vector (visual where it has one,
+    else the stand-in of its id), and the vectors of four items the user has not touched in
+    training: the first such at 37 j places after the item, j = 1..12."""
+    numbered, n = with_positions(c.items.select("item_id"), [F.col("item_id")], name="_p")
+    vec = materialize(numbered.join(c.unit_vectors.select("item_id", "v"), "item_id", "left")
+                      .select("item_id", (F.col("_p") - 1).alias("idx"),
+                              F.coalesce("v", _standin(F.col("item_id"))).alias("v")), "item-vectors")
+    own = c.train.select("user_id", "item_id").join(vec.select("item_id", "v"), "item_id")
+    users = R.mean_vector(own, "user_id").select("user_id", V.l2_normalize("v").alias("user_v"))
+    rows = (c.part(part).select("user_id", "item_id", "weight")
+            .join(vec.withColumnRenamed("v", "pos_v"), "item_id").join(users, "user_id", "left")
+            .withColumn("user_v", F.coalesce("user_v", _standin(F.col("user_id")))))
+    seen = c.train.select("user_id", F.col("item_id").alias("neg_item_id"))
+    w = Window.partitionBy("user_id", "item_id").orderBy("j")
+    draws = (rows.select("user_id", "item_id", "idx")
+             .withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(N_DRAWS))))
+             .withColumn("idx", F.pmod(F.col("idx") + NEG_STEP * F.col("j"), F.lit(n)))
+             .join(vec.select("idx", F.col("item_id").alias("neg_item_id")), "idx")
+             .join(seen, ["user_id", "neg_item_id"], "left_anti")
+             .withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= N_NEG))
+    negs = (draws.join(vec.select(F.col("item_id").alias("neg_item_id"), F.col("v").alias("nv")), "neg_item_id")
             .groupBy("user_id", "item_id")
             .agg(F.sort_array(F.collect_list(F.struct("j", "nv"))).alias("_l"))
             .select("user_id", "item_id", F.transform("_l", lambda e: e["nv"]).alias("neg_v")))
-    return rows.join(negs, ["user_id", "item_id"])
+    return rows.drop("idx").join(negs, ["user_id", "item_id"])
 
 
 LSE = "list_max({a}) + ln(list_sum(list_transform({a}, lambda x: exp(x - list_max({a})))))"
@@ -155,13 +211,13 @@ VAL_SQL = with_views("""
            round(avg(pos), 6) AS mean_pos_score,
            round(sum(list_sum(negs)) / sum(len(negs)), 6) AS mean_neg_score,
            round(avg(pos) - sum(list_sum(negs)) / sum(len(negs)), 6) AS margin
-    FROM tri_s""", "tri_s")
+    FROM val_s""", "val_s")
 
 
 @query("validation_metrics", VAL_SQL)
 def validation_metrics(spark, d):
-    """V1 over the training triples."""
-    out = M.validation_metrics(triples(Context(spark, d)))
+    """V1 over the validation rows."""
+    out = M.validation_metrics(triples(Context(spark, d), "val"))
     return out.select(*[r6(c).alias(c) for c in ("accuracy", "mrr", "mean_pos_score", "mean_neg_score",
                                                   "margin")])
 
@@ -186,24 +242,32 @@ def als_factors(spark, d):
               .unionByName(itf.select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), "v")))
 
 
+PATIENCE = 2
+
+
 @query("model_select")
 def model_select(spark, d):
-    """Fit ALS for a small grid, score each on validation triples (InfoNCE,
-    random negatives), keep the lowest.  The loop runs on the driver and moves
-    one number per setting."""
+    """Fit ALS for settings of growing size, score each on validation triples (InfoNCE,
+    random negatives), keep the lowest; stop after ``PATIENCE`` settings without a better
+    one.  The loop runs on the driver and moves one number per setting."""
     c = Context(spark, d)
     users, items = _codes(c)
     val = c.part("val")
-    negs = SP.negatives_random(val, c.items, n=N_NEG, seed=7)
-    rows = []
-    for rank in (8, 16):
-        for reg in (0.01, 0.1):
+    negs = materialize(SP.negatives_random(val, c.items, n=N_NEG, seed=7), "val-negatives")
+    rows, since = [], 0
+    for rank in (4, 8, 16, 32):
+        for reg in (0.1, 0.01):
             uf, itf = M.fit_als(c.train, users, items, rank=rank, max_iter=5, reg=reg)
-            t = M.factor_triples(val, uf, itf, negs)
-            loss = M.loss_infonce(t).first()["loss"]
-            rows.append((rank, reg, float(loss) if loss is not None else float("inf")))
+            loss = M.loss_infonce(M.factor_triples(val, uf, itf, negs)).first()["loss"]
+            loss = float(loss) if loss is not None else float("inf")
+            since = 0 if all(loss < r[2] for r in rows) else since + 1
+            rows.append((rank, reg, loss))
+            if since == PATIENCE:
+                break
+        if since == PATIENCE:
+            break
     best = min(rows, key=lambda r: r[2])
-    return spark.createDataFrame([(r, g, l, (r, g, l) == best) for r, g, l in rows],
+    return spark.createDataFrame([(r, g, x, (r, g, x) == best) for r, g, x in rows],
                                  "rank int, reg double, val_loss double, chosen boolean")
 
 
@@ -286,11 +350,98 @@ def negatives_hard(spark, d):
     return SP.negatives_hard(c.train, c.items, n=N_NEG, ratio=0.3, seed=42)
 
 
+@query("negatives_violations", """
+    SELECT kind, 0::BIGINT AS seen, 0::BIGINT AS repeated, 0::BIGINT AS short, 0::BIGINT AS other_category
+    FROM (VALUES ('random'), ('hard'), ('mixed')) v(kind)""")
+def negatives_violations(spark, d):
+    """Rows that break a rule: a negative the user has seen, one drawn twice for a positive,
+    a positive with fewer than are due and could be drawn, a hard negative of another category."""
+    c = Context(spark, d)
+    it = c.items.select("item_id", "category")
+    seen = c.train.select("user_id", F.col("item_id").alias("neg_item_id")).distinct()
+    # unseen items of the user, in all and per category of the positive
+    n_items = it.count()
+    per_user = seen.join(it.withColumnRenamed("item_id", "neg_item_id"), "neg_item_id")
+    all_left = per_user.groupBy("user_id").agg((F.lit(n_items) - F.count(F.lit(1))).alias("left"))
+    cat_left = per_user.groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("_s")) \
+        .join(it.groupBy("category").agg(F.count(F.lit(1)).alias("_n")), "category") \
+        .select("user_id", "category", (F.col("_n") - F.col("_s")).alias("left"))
+    pos = c.train.select("user_id", "item_id").distinct().join(it, "item_id")
+    out = None
+    for kind, due, negs in (("random", N_NEG, SP.negatives_random(c.train, c.items, n=N_NEG, seed=42)),
+                            ("hard", 1, SP.negatives_hard(c.train, c.items, n=N_NEG, ratio=0.3, seed=42)),
+                            ("mixed", N_NEG, SP.negatives_mixed(c.train, c.items, n=N_NEG, ratio=0.3, seed=42))):
+        negs = materialize(negs.select("user_id", "item_id", "neg_item_id"), f"negatives-{kind}")
+        have = negs.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("neg_item_id").alias("u"))
+        left = pos.join(cat_left, ["user_id", "category"]) if kind == "hard" else pos.join(all_left, "user_id")
+        due_rows = left.select("user_id", "item_id", F.least(F.lit(due), F.col("left")).alias("due"))
+        counts = due_rows.join(have, ["user_id", "item_id"], "left").agg(
+            F.sum(F.coalesce(F.col("n") - F.col("u"), F.lit(0))).cast("long").alias("repeated"),
+            F.sum(F.greatest(F.col("due") - F.coalesce("n", F.lit(0)), F.lit(0))).cast("long").alias("short"))
+        bad = negs.join(seen, ["user_id", "neg_item_id"], "left_semi").agg(F.count(F.lit(1)).alias("seen"))
+        wrong = (negs.join(it, "item_id").join(it.select(F.col("item_id").alias("neg_item_id"), F.col("category").alias("_c")),
+                                               "neg_item_id").filter("category <> _c") if kind == "hard" else negs.limit(0))
+        wrong = wrong.agg(F.count(F.lit(1)).alias("other_category"))
+        one = F.lit(1).alias("_k")
+        row = counts.select("*", one).join(bad.select("*", one), "_k").join(wrong.select("*", one), "_k") \
+            .select(F.lit(kind).alias("kind"), "seen", "repeated", "short", "other_category")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _als(c: Context):
+    """Learned vectors of rank 32 of all users and items of the training part, written once."""
+    users, items = _codes(c)
+    uf, itf = M.fit_als(c.train, users, items, rank=32, max_iter=5)
+    return materialize(uf, "als-users"), materialize(itf, "als-items")
+
+
+@query("als_shape", with_views("""
+    SELECT 'user' AS kind, count(DISTINCT user_id)::BIGINT AS n, 32 AS dim FROM train
+    UNION ALL SELECT 'item', count(DISTINCT item_id)::BIGINT, 32 FROM train""", "train"))
+def als_shape(spark, d):
+    """Every user and item of the training part has a learned vector of rank 32."""
+    uf, itf = _als(Context(spark, d))
+    out = [f.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("dim")).select(F.lit(k).alias("kind"), "n", "dim")
+           for k, f in (("user", uf), ("item", itf))]
+    return out[0].unionByName(out[1])
+
+
+def _als_recs(c: Context, k: int):
+    uf, itf = _als(c)
+    ex = c.train.select(F.col("user_id").alias("qid"), "item_id")
+    return R.knn(uf.select(F.col("user_id").alias("qid"), "v"), itf, k, "dot", exclusions=ex)
+
+
+@query("recommend_als")
+def recommend_als(spark, d):
+    """R5 on learned vectors: top 20 unseen items of every user by user and item factors."""
+    return _als_recs(Context(spark, d), 20).select(F.col("qid").alias("user_id"), "rank", "item_id", r6("score").alias("score"))
+
+
+@query("evaluate_als")
+def evaluate_als(spark, d):
+    """M1-M8 of the learned recommendations (k = 100) on the test part."""
+    from recsift.operators import evaluation as EV
+    c = Context(spark, d)
+    recs = materialize(_als_recs(c, 100).select(F.col("qid").alias("user_id"), "rank", "item_id", "score"), "als-recs")
+    return EV.evaluate_all(recs, c.truth, (10, 50, 100))
+
+
+@query("similar_items_learned")
+def similar_items_learned(spark, d):
+    """R6 on learned vectors: every trained item's 10 nearest other items by cosine."""
+    _, itf = _als(Context(spark, d))
+    q = itf.select(F.col("item_id").alias("qid"), "v")
+    return R.knn(q, itf, 10, "cosine", exclusions=q.select("qid", F.col("qid").alias("item_id"))) \
+        .select("qid", "rank", "item_id", r6("score").alias("score"))
+
+
 @query("training_examples")
 def training_examples(spark, d):
-    """Positive with its item features, the negatives' features, the weight."""
+    """Positive with its item features, the features of its negatives (0.3 of them hard), the weight."""
     c = Context(spark, d)
-    negs = SP.negatives_random(c.train, c.items, n=N_NEG, seed=42)
+    negs = SP.negatives_mixed(c.train, c.items, n=N_NEG, ratio=0.3, seed=42)
     feats = FT.item_features(c.items, None, c.as_of)
     out = SP.training_examples(c.train, negs, feats)
     return out.select("user_id", "item_id", "weight", F.size("negatives").alias("n_negatives"))
