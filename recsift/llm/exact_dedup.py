@@ -37,7 +37,17 @@ from pyspark.sql import functions as F
 from recsift.session import materialize, scratch_path
 from recsift.sources.tables import read_table
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore."
+#: Keyed state on disk.  A state table has one small store per shuffle partition: without
+#: pre-allocated files, with changes instead of whole snapshots per batch, and with one
+#: memory bound for all stores of an executor.
+STATE_CONF = {
+    _STORE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    _STORE + "rocksdb.allowFAllocate": "false",
+    _STORE + "rocksdb.changelogCheckpointing.enabled": "true",
+    _STORE + "rocksdb.boundedMemoryUsage": "true",
+    _STORE + "rocksdb.maxMemoryUsageMB": "256",
+}
 #: arrival files per micro-batch, and the least number of micro-batches
 BATCHES = 2
 STATE_SCHEMA = "key string, keep_id long, locator long, group_size long, batch long"
@@ -81,9 +91,9 @@ def dedup_stream(records_path: str, state_path: str, spark, schema) -> DataFrame
     """Run all records not yet seen by the state at ``state_path`` through the keyed state;
     returns the state of every key as of now."""
     out, checkpoint = f"{state_path}/keys", f"{state_path}/checkpoint"
-    conf = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(conf, None)
-    spark.conf.set(conf, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", _files_per_batch(spark, records_path)) \
             .parquet(records_path)
@@ -99,7 +109,8 @@ def dedup_stream(records_path: str, state_path: str, spark, schema) -> DataFrame
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     rows = spark.read.schema(STATE_SCHEMA).option("recursiveFileLookup", "true").parquet(out) \
         if _exists(spark, out) else spark.createDataFrame([], STATE_SCHEMA)
     # the state of a key only grows; its last update is the current one
