@@ -328,7 +328,8 @@ def _align_pages(batches):
             held[host] = align(held[host], w) if host in held else w
             if len(held) >= HOSTS_HELD:
                 yield out()
-    yield out()
+    if held:  # a task may have no pages
+        yield out()
 
 
 def _align_partials(pdf: pd.DataFrame) -> pd.DataFrame:

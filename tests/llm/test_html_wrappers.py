@@ -74,6 +74,8 @@ def test_edge_rows(spark):
     assert got[4] == "T\none twothree\nfour\nfive <5>" and got[6] == ("long " * 100_000).strip()
     assert got[7] == "q\nr" and got[None] == "other form"
     assert H.extract_pages(df.limit(0)).count() == 0
+    # tasks without pages
+    assert H.extract_pages(df.repartition(20, "page_id")).count() == len(pages)
 
 
 def test_shuffled_wrappers_give_the_same(spark, small_dir, monkeypatch):
