@@ -1,18 +1,44 @@
-"""Connected components of a link table by alternating star contraction.
+"""Connected components of a link table: local forests, then alternating star contraction.
 
-Each round is two aggregates and two joins on the link table; a vertex with very many
+Tasks of at most ``LINKS_PER_TASK`` links first reduce their links to a forest (each vertex
+below the smallest vertex that the task knows to be connected to it).  A table that fits
+one such task is done.  Larger ones are contracted in rounds; each round is two aggregates and two joins on the link table; a vertex with very many
 links is combined in each input task, so no list of neighbours is ever gathered.  The
 links of a round are written to the shared folder, which also cuts lineage.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recsift.session import materialize
 
 MAX_ROUNDS = 60
+#: links (two 64-bit ids each) that one task reduces by itself
+LINKS_PER_TASK = 1_000_000
+
+
+def _forest(batches):
+    """Union-find over the links of one task; emits (vertex, smallest vertex of its tree)."""
+    above: dict[int, int] = {}
+
+    def root(x):
+        top = x
+        while above.get(top, top) != top:
+            top = above[top]
+        while x != top:
+            above[x], x = top, above.get(x, x)
+        return top
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            a, b = root(u), root(v)
+            above[max(a, b)] = min(a, b)
+    below = [x for x in above if root(x) != x]
+    yield pd.DataFrame({"u": np.array(below, np.int64), "v": np.array([root(x) for x in below], np.int64)})
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -36,6 +62,11 @@ def components(links: DataFrame) -> DataFrame:
     roots themselves have no row.  Self-links and repeated links are ignored."""
     e = materialize(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                     .distinct(), "links")
+    tasks = max(1, -(-e.count() // LINKS_PER_TASK))
+    e = materialize(e.repartition(tasks).mapInPandas(_forest, "u long, v long"), "links")
+    if tasks == 1:
+        return e.select("u", F.col("v").alias("root"))
+    e = e.distinct()
     state = None
     for _ in range(MAX_ROUNDS):
         e = materialize(_small_star(_large_star(e)), "links")

@@ -12,14 +12,16 @@ a Jaccard similarity of at least 75/100 are linked; components of links are grou
    ``BANDS`` bands of ``ROWS`` coordinates: a pair at 0.75 shares no band with
    probability (1 - 0.75^4)^32, about 5 in a million.
 3. Stars: in every band bucket each class is paired with the bucket's smallest class,
-   never with all others.  Pairs whose signatures agree too little for 0.75 (five
+   never with all others.  Pairs whose signatures agree too little for 0.75 (four
    standard deviations) leave; the others are verified on their full sets.
 4. Rest: links that the stars cannot see join two classes of one bucket that are in
    different components so far.  Per bucket, the classes outside its largest component
-   are compared with all others by signature, in blocks of bounded size inside tasks;
-   only pairs that agree enough become rows, and those are verified on full sets.  Pairs
+   are compared with all others by signature, in blocks of bounded size inside tasks.
+   In rounds, each class's best agreeing partner outside its component is verified on full
+   sets, and components are joined; one row per class and round.  When a round finds no
+   link, all remaining pairs across components that agree enough are verified.  Pairs
    inside a component cannot change it and are skipped, so a large group of copies costs
-   one star.
+   a star and a few rounds.
 5. Components of the verified links.  A group's id is its smallest doc_id.
 
 Texts are verified in a stream sorted by star centre: a task holds the centre's set and
@@ -54,8 +56,8 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 DOMAIN_BITS = 20
 DOMAIN = 1 << DOMAIN_BITS
-#: agreeing coordinates of a pair at the threshold, less five standard deviations
-LEAST_AGREEING = int(COORDINATES * 0.75 - 5 * (COORDINATES * 0.75 * 0.25) ** 0.5)
+#: agreeing coordinates of a pair at the threshold, less four standard deviations
+LEAST_AGREEING = int(COORDINATES * 0.75 - 4 * (COORDINATES * 0.75 * 0.25) ** 0.5)
 #: members of one star in one verification group; classes in one block of the rest
 STAR_PART, BLOCK = 256, 1024
 CACHE = 400_000
@@ -169,7 +171,7 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _stars(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members of shared buckets: bucket, cid, center; distinct pairs cid, center)."""
-    rows = classes.select("cid", F.explode("bands").alias("bucket"))
+    rows = classes.select("cid", F.posexplode("bands").alias("band", "bucket"))
     # written before the join: adaptive execution splits a hot key only between plain shuffles
     shared = materialize(rows.groupBy("bucket").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("size"))
                          .filter("size > 1"), "near-buckets")
@@ -185,8 +187,9 @@ def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         .select("cid", "center")
 
 
-def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different components that no star has paired, by signature."""
+def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+    """Pairs of one bucket and different components that no star has paired and whose signatures
+    agree enough: each class's best one, or all of them."""
     named = members.filter("size > 2").join(roots.withColumnRenamed("u", "cid"), "cid", "left") \
         .withColumn("comp", F.coalesce("root", "cid"))
     counts = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -197,37 +200,70 @@ def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
         "bucket", "major", F.ceil(F.col("major_n") / BLOCK).cast("int").alias("a"),
         F.ceil((F.col("all_n") - F.col("major_n")) / BLOCK).cast("int").alias("b")), "near-parts")
     # blocks 0..a-1 hold the largest component, a..a+b-1 the others; a pair of blocks has one of the others
-    j = named.join(parts, "bucket").join(classes.select("cid", "sig"), "cid") \
+    j = named.join(parts, "bucket").join(classes.select("cid", "sig", "n"), "cid") \
         .withColumn("mine", F.when(F.col("comp") == F.col("major"), F.pmod(F.xxhash64("cid"), F.col("a")))
                     .otherwise(F.col("a") + F.pmod(F.xxhash64("cid"), F.col("b"))).cast("int"))
     every = F.sequence(F.lit(0), F.col("a") + F.col("b") - 1)
     outer = F.sequence(F.col("a"), F.col("a") + F.col("b") - 1)
     j = j.withColumn("with", F.explode(F.when(F.col("mine") < F.col("a"), outer).otherwise(every)))
     j = j.select("bucket", F.least("mine", "with").alias("x"), F.greatest("mine", "with").alias("y"), "mine", "cid",
-                 "comp", "center", "sig")
+                 "comp", "center", "sig", "band", "n")
     keyed = j.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "mine", "cid")
-    return keyed.mapInPandas(_compare_blocks, "cid long, center long").distinct()
+    if not best:
+        return keyed.mapInPandas(_all_pairs, "cid long, center long, agree int").select("cid", "center").distinct()
+    found = keyed.mapInPandas(_best_pairs, "cid long, center long, agree int")
+    one = found.groupBy("cid").agg(F.max_by("center", F.col("agree") * F.lit(1 << 50) - F.col("center") % (1 << 49)).alias("center"))
+    return one.select(F.greatest("cid", "center").alias("cid"), F.least("cid", "center").alias("center")).distinct()
 
 
-def _compare_blocks(batches):
+def _all_pairs(batches):
+    return _compare_blocks(batches, False)
+
+
+def _best_pairs(batches):
+    return _compare_blocks(batches, True)
+
+
+def _compare_blocks(batches, best: bool):
+    """Rows (cid, center, agree): all pairs of two blocks, or each class's best one."""
     def found(rows):
         pdf = pd.concat(rows) if len(rows) > 1 else rows[0]
         pdf = pdf.drop_duplicates("cid")
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), COORDINATES)
         cid, comp, mine, center = (pdf[c].to_numpy() for c in ("cid", "comp", "mine", "center"))
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        x, y, band, n_set = pdf["x"].iloc[0], pdf["y"].iloc[0], pdf["band"].iloc[0], pdf["n"].to_numpy()
         right = np.flatnonzero(mine == y)
-        a, b = [], []
+        a, b, n = [], [], []
+        top = np.full(len(pdf), -1)  # best agreement of each class so far, and with whom
+        who = np.zeros(len(pdf), np.int64)
         for i in np.flatnonzero(mine == x):
             # the star has tested the pairs with the bucket's smallest class
             ok = right[(comp[right] != comp[i]) & (cid[right] != center[right]) & (cid[i] != center[i])]
             if x == y:
                 ok = ok[ok > i]
-            if len(ok):
-                ok = ok[(sig[ok] == sig[i]).sum(axis=1) >= LEAST_AGREEING]
-                a.extend([cid[i]] * len(ok)), b.extend(cid[ok])
-        return pd.DataFrame({"cid": np.maximum(a, b).astype(np.int64) if a else np.empty(0, np.int64),
-                             "center": np.minimum(a, b).astype(np.int64) if a else np.empty(0, np.int64)})
+            # sets of too different sizes cannot reach the threshold
+            ok = ok[np.minimum(n_set[ok], n_set[i]) * DENOMINATOR >= np.maximum(n_set[ok], n_set[i]) * NUMERATOR]
+            if not len(ok):
+                continue
+            agree = (sig[ok] == sig[i]).sum(axis=1)
+            ok, agree = ok[agree >= LEAST_AGREEING], agree[agree >= LEAST_AGREEING]
+            if not len(ok):
+                continue
+            if best:
+                better = agree > top[ok]
+                top[ok[better]], who[ok[better]] = agree[better], cid[i]
+                if agree.max() > top[i]:
+                    top[i], who[i] = agree.max(), cid[ok[agree.argmax()]]
+            else:
+                # a pair that shares several buckets is reported by the first of them
+                first = (sig[ok] == sig[i]).reshape(len(ok), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                ok, agree = ok[first], agree[first]
+                a.append(np.full(len(ok), cid[i])), b.append(cid[ok]), n.append(agree)
+        if best:
+            has = top >= 0
+            return pd.DataFrame({"cid": cid[has], "center": who[has], "agree": top[has].astype(np.int32)})
+        a, b, n = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b, n))
+        return pd.DataFrame({"cid": np.maximum(a, b), "center": np.minimum(a, b), "agree": n.astype(np.int32)})
 
     held, key = [], None
     for pdf in batches:
@@ -286,14 +322,22 @@ def groups(docs: DataFrame) -> DataFrame:
                        .select("doc_id", "s.*"), "near-sketch")
     some = rows.filter("n > 0")
     classes = materialize(some.groupBy("words").agg(
-        F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n").alias("n"))
         .withColumn("cid", F.monotonically_increasing_id()), "near-classes")
     members, pairs = _stars(classes)
     links = materialize(_verified(materialize(_similar(pairs, classes), "near-pairs"), classes, docs), "near-links")
     roots = components(links)
-    rest = materialize(_rest(members, classes, roots), "near-rest")
-    if not rest.isEmpty():
-        roots = components(links.union(_verified(rest, classes, docs)))
+    while True:
+        near = materialize(_rest(members, classes, roots, best=True), "near-best")
+        if near.isEmpty():
+            break  # no pair across components is left
+        found = materialize(_verified(near, classes, docs), "near-links")
+        if found.isEmpty():
+            rest = materialize(_rest(members, classes, roots, best=False), "near-rest")
+            roots = components(links.union(_verified(rest, classes, docs)))
+            break
+        links = links.union(found)
+        roots = components(links)
     named = classes.select("words", "cid", "first_id").join(roots.withColumnRenamed("u", "cid"), "cid", "left") \
         .select("words", "first_id", F.coalesce("root", "cid").alias("root"))
     least = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "near-least")

@@ -126,7 +126,9 @@ def test_signature_estimates_similarity():
         assert est == pytest.approx(j, abs=0.15)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [1_000_000, 7])
+def test_components(spark, monkeypatch, per_task):
+    monkeypatch.setattr("recsift.llm.components.LINKS_PER_TASK", per_task)
     links = [(5, 4), (4, 3), (3, 2), (2, 1), (10, 11), (11, 12), (12, 10), (7, 7)] + [(100, 100 + i) for i in range(1, 50)]
     rows = {r["u"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert rows == {**{i: 1 for i in range(2, 6)}, 11: 10, 12: 10, **{100 + i: 100 for i in range(1, 50)}}
