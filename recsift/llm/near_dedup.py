@@ -200,14 +200,16 @@ def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, best: bool)
         "bucket", "major", F.ceil(F.col("major_n") / BLOCK).cast("int").alias("a"),
         F.ceil((F.col("all_n") - F.col("major_n")) / BLOCK).cast("int").alias("b")), "near-parts")
     # blocks 0..a-1 hold the largest component, a..a+b-1 the others; a pair of blocks has one of the others
-    j = named.join(parts, "bucket").join(classes.select("cid", "sig", "n"), "cid") \
+    # only the pass over all pairs needs the band keys: they tell in which bucket a pair is reported
+    sketches = classes.select("cid", "sig", "n", *([] if best else ["bands"]))
+    j = named.join(parts, "bucket").join(sketches, "cid") \
         .withColumn("mine", F.when(F.col("comp") == F.col("major"), F.pmod(F.xxhash64("cid"), F.col("a")))
                     .otherwise(F.col("a") + F.pmod(F.xxhash64("cid"), F.col("b"))).cast("int"))
     every = F.sequence(F.lit(0), F.col("a") + F.col("b") - 1)
     outer = F.sequence(F.col("a"), F.col("a") + F.col("b") - 1)
     j = j.withColumn("with", F.explode(F.when(F.col("mine") < F.col("a"), outer).otherwise(every)))
     j = j.select("bucket", F.least("mine", "with").alias("x"), F.greatest("mine", "with").alias("y"), "mine", "cid",
-                 "comp", "center", "sig", "band", "n")
+                 "comp", "center", "band", *sketches.columns[1:])
     keyed = j.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "mine", "cid")
     if not best:
         return keyed.mapInPandas(_all_pairs, "cid long, center long, agree int").select("cid", "center").distinct()
@@ -232,6 +234,7 @@ def _compare_blocks(batches, best: bool):
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), COORDINATES)
         cid, comp, mine, center = (pdf[c].to_numpy() for c in ("cid", "comp", "mine", "center"))
         x, y, band, n_set = pdf["x"].iloc[0], pdf["y"].iloc[0], pdf["band"].iloc[0], pdf["n"].to_numpy()
+        bands = None if best else np.stack(pdf["bands"].to_list())
         right = np.flatnonzero(mine == y)
         a, b, n = [], [], []
         top = np.full(len(pdf), -1)  # best agreement of each class so far, and with whom
@@ -255,8 +258,9 @@ def _compare_blocks(batches, best: bool):
                 if agree.max() > top[i]:
                     top[i], who[i] = agree.max(), cid[ok[agree.argmax()]]
             else:
-                # a pair that shares several buckets is reported by the first of them
-                first = (sig[ok] == sig[i]).reshape(len(ok), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                # a pair that shares several buckets is reported by the first of them; the signatures are
+                # cut to bytes and may agree in a band that is not shared
+                first = (bands[ok] == bands[i]).argmax(axis=1) == band
                 ok, agree = ok[first], agree[first]
                 a.append(np.full(len(ok), cid[i])), b.append(cid[ok]), n.append(agree)
         if best:

@@ -98,6 +98,22 @@ def test_links_that_stars_cannot_see(spark, monkeypatch):
     assert got(N.groups(table(spark, rows))) == brute(rows)
 
 
+def test_pair_whose_bytes_agree_in_a_band_it_does_not_share(spark):
+    """The last pass reports each pair in the first bucket it really shares, once."""
+    near, far = bytes(range(128)), bytes(128)
+    own = [[100 * cid + b for b in range(N.BANDS)] for cid in range(3)]
+    # classes 1 and 2 agree in every byte; they share the buckets of bands 5 and 9 only
+    for b in (5, 9):
+        for keys in own:
+            keys[b] = -b
+    classes = spark.createDataFrame([(0, far, 50, own[0]), (1, near, 50, own[1]), (2, near, 50, own[2])],
+                                    "cid long, sig binary, n long, bands array<long>")
+    members = spark.createDataFrame([(-b, cid, b, 0, 3) for b in (5, 9) for cid in range(3)],
+                                    "bucket long, cid long, band int, center long, size long")
+    roots = spark.createDataFrame([], "u long, root long")
+    assert [tuple(r) for r in N._rest(members, classes, roots, best=False).collect()] == [(2, 1)]
+
+
 def test_deduplicate(spark):
     rng = random.Random(3)
     same = variants(rng, [f"u{i}" for i in range(150)], 10, 1)
