@@ -12,14 +12,17 @@ streams: tags, constant texts, text slots, optional groups ``( )?`` and repeated
   is one of its members, not template text.)
 
 Alignment has no order, so every task aligns the pages of a host that it holds, and the
-partial wrappers of a host (one per task) are aligned afterwards.  All pages take part; a
-host with a third of all pages costs one partial wrapper per task.
+partial wrappers of a host (one per task) are aligned afterwards.  Every distinct page of a
+host takes part once, however often its row is repeated; a host with a third of all pages
+costs one partial wrapper per task.
 
 The wrapper tells what varies.  Its content region is the article or main element where it
 has one, else the deepest group that holds most of the characters in text slots.  Left out
 are elements that are never content (navigation, headers, footers, asides, forms, scripts,
 styles ...), groups whose class or id says so (menus, adverts, notices, comments ...), and,
-where the region was found by slots alone, texts that are constant over several pages.
+where the region was found by slots alone, texts that are constant over several pages of
+different content.  Where such texts are most of the host's text, its pages are near copies
+and none counts as constant; one that is most of a page's text stays in that page.
 Wrappers are joined to the pages by host, as a broadcast while their checked size allows.
 
 Text: blocks in page order joined by newlines, white space inside a block as one space,
@@ -34,6 +37,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -66,6 +70,7 @@ SAYS = re.compile(r"(?<![a-z])(ads?|advert\w*|banner|breadcrumbs?|comments?|cons
                   r"share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?![a-z])", re.I)
 #: class and id words of content; no other words enter a label, so wrappers have few kinds of groups
 CONTENT = re.compile(r"(?<![a-z])(article|body|content|entry|main|post|story|text)(?![a-z])", re.I)
+#: pages of different content over which a text of the template is constant
 CONSTANT_PAGES = 3
 #: levels of a wrapper; what lies deeper is one text slot
 DEPTH = 40
@@ -128,12 +133,21 @@ def boilerplate(node: Node) -> bool:
 # ---- wrappers --------------------------------------------------------------------
 # A group: [label, how, children, pages, characters in slots]; ``how`` is "1", "?" or "+".
 # A text: [TEXT, how, constant or None, pages, characters].
+# Pages: the smallest ``CONSTANT_PAGES`` digests of the contents of the pages that have it.
 
-def fold(node: Node, level: int = 0) -> list:
+def content_digest(root: Node) -> int:
+    """Digest of a page's texts outside of boilerplate."""
+    text = "\n".join(blocks(root, frozenset()))
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).digest())
+
+
+def fold(node: Node, level: int = 0, page: int | None = None) -> list:
     """The expression of one page's element: equal neighbours become repeated groups."""
+    if page is None:
+        page = content_digest(node)
     if level == DEPTH:
         inside = sum(map(len, blocks(node, frozenset())))
-        return [node.label, "1", [[TEXT, "1", None, 1, inside]] if inside else [], 1, inside]
+        return [node.label, "1", [[TEXT, "1", None, [page], inside]] if inside else [], [page], inside]
     children: list = []
     chars = 0
     for c in node.children:
@@ -141,27 +155,27 @@ def fold(node: Node, level: int = 0) -> list:
             value = " ".join(html.unescape(c).split())
             if not value:
                 continue
-            item = [TEXT, "1", value, 1, len(value)]
+            item = [TEXT, "1", value, [page], len(value)]
         else:
-            item = fold(c, level + 1)
+            item = fold(c, level + 1, page)
         chars += item[4]
         same = next((x for x in reversed(children[-3:]) if x[0] == item[0]), None)
         if same is not None:
-            merged = align(same, item, True)
+            merged = align(same, item)
             merged[1] = "+"
             children[next(i for i, x in enumerate(children) if x is same)] = merged
         else:
             children.append(item)
-    return [node.label, "1", children, 1, chars]
+    return [node.label, "1", children, [page], chars]
 
 
 def _how(a: str, b: str) -> str:
     return "+" if "+" in (a, b) else "?" if "?" in (a, b) else "1"
 
 
-def align(a: list, b: list, same_page: bool = False) -> list:
+def align(a: list, b: list) -> list:
     """The expression that covers both; they have the same label."""
-    pages = max(a[3], b[3]) if same_page else a[3] + b[3]
+    pages = a[3] if a[3] == b[3] else sorted({*a[3], *b[3]})[:CONSTANT_PAGES]
     if a[0] == TEXT:
         return [TEXT, _how(a[1], b[1]), a[2] if a[2] == b[2] else None, pages, a[4] + b[4]]
     x, y = a[2], b[2]
@@ -173,7 +187,7 @@ def align(a: list, b: list, same_page: bool = False) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and x[i][0] == y[j][0]:
-            out.append(align(x[i], y[j], same_page))
+            out.append(align(x[i], y[j]))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append(_optional(x[i]))
@@ -197,7 +211,7 @@ def _compact(children: list) -> list:
         if k is None:
             out.append(c)
         else:
-            merged = align(out[k], c, True)
+            merged = align(out[k], c)
             merged[1] = "+"
             out[k] = merged
     return out
@@ -220,6 +234,17 @@ def region(wrapper: list) -> dict:
     """{path: labels down to the content region, constant: texts that are part of the template}."""
     found: list = []
 
+    def repeated(g) -> bool:
+        return g[2] is not None and len(g[3]) >= CONSTANT_PAGES
+
+    def chars(g, of) -> int:
+        if g[0] == TEXT:
+            return g[4] if of(g) else 0
+        return 0 if boilerplate(_probe(g)) else sum(chars(c, of) for c in g[2])
+
+    # pages that have most of their text in common are near copies, not a template
+    template = 2 * chars(wrapper, repeated) <= chars(wrapper, lambda g: True)
+
     def named(g, path):
         if g[0] == TEXT or (path and boilerplate(_probe(g))):
             return
@@ -230,9 +255,7 @@ def region(wrapper: list) -> dict:
             named(c, path + [g[0]])
 
     def slots(g) -> int:
-        if g[0] == TEXT:
-            return g[4] if g[2] is None or g[3] < CONSTANT_PAGES else 0
-        return 0 if boilerplate(_probe(g)) else sum(map(slots, g[2]))
+        return chars(g, lambda t: not (template and repeated(t)))
 
     named(wrapper, [])
     if found:
@@ -249,7 +272,7 @@ def region(wrapper: list) -> dict:
 
     def texts(g):
         if g[0] == TEXT:
-            if g[2] is not None and g[3] >= CONSTANT_PAGES:
+            if template and repeated(g):
                 constant.append(g[2])
         else:
             for c in g[2]:
@@ -302,8 +325,11 @@ def extract(page: str | None, found: dict | None) -> str:
     if found is None or not (nodes := _at(root, found["path"])):
         found = region(fold(root))
         nodes = _at(root, found["path"])
-    constant = frozenset(found["constant"])
-    return "\n".join(b for n in nodes for b in blocks(n, constant))
+    out = [b for n in nodes for b in blocks(n, frozenset())]
+    if found["constant"]:
+        constant, most = frozenset(found["constant"]), sum(map(len, out)) / 2
+        out = [b for b in out if b not in constant or len(b) > most]
+    return "\n".join(out)
 
 
 # ---- tables ----------------------------------------------------------------------
@@ -313,6 +339,17 @@ def host_column(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _distinct_pages(batches):
+    """Each page of a host once per task, so that copies are not dealt to one task."""
+    seen = set()
+    for pdf in batches:
+        new = []
+        for host, key in zip(pdf["host"], pdf["key"], strict=True):
+            new.append((host, key) not in seen)
+            seen.add((host, key))
+        yield pdf[new]
+
+
 def _align_pages(batches):
     """Partial wrappers: one per host and task (more where a task holds very many hosts)."""
     held: dict[str, list] = {}
@@ -322,7 +359,7 @@ def _align_pages(batches):
         held.clear()
         return rows
 
-    for pdf in batches:
+    for pdf in _distinct_pages(batches):
         for host, page in zip(pdf["host"], pdf["html"], strict=True):
             w = fold(parse(page))
             held[host] = align(held[host], w) if host in held else w
@@ -342,7 +379,10 @@ def _align_partials(pdf: pd.DataFrame) -> pd.DataFrame:
 def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """host and wrapper (JSON) of every host."""
     rows = pages.select(host_column(F.col(url)).alias("host"), F.col(page).alias("html"))
-    partial = rows.mapInPandas(_align_pages, "host string, wrapper string") \
+    rows = rows.withColumn("key", F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256)))
+    # equal pages of a host come to one task, which takes them once
+    once = rows.mapInPandas(_distinct_pages, rows.schema).repartition("host", "key")
+    partial = once.mapInPandas(_align_pages, "host string, wrapper string") \
         .withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32)))
     some = partial.groupBy("host", "part").applyInPandas(lambda pdf: _align_partials(pdf), "host string, wrapper string")
     return some.groupBy("host").applyInPandas(lambda pdf: _align_partials(pdf), "host string, wrapper string")

@@ -49,6 +49,28 @@ def test_region_from_slots(spark):
     assert "(<p>" in text and ")+" in text and "Tagline of the site" in text
 
 
+def test_copies_are_no_evidence(spark):
+    """Hosts of nothing but copies or near copies keep their text; copies do not change other pages' texts."""
+    copy = "<html><body><div><h2>Title of all copies</h2></div><div><p>The one paragraph that all copies have.</p></div></body></html>"
+    near = "<html><body><div><p>A paragraph that is the same in all pages of the host.</p></div><div>Seen {n} times</div><script>{n}</script></body></html>"
+    mixed = [site(random.Random(n), n)[1] for n in range(12)]
+    special = SITE.format(n=99, paragraphs="<h4>Heading of the copies only</h4><p>some words that stand in the copies and on no other page</p>")
+    rows = [(n, "https://copies.example/", copy) for n in range(6)]
+    rows += [(10 + n, "https://near.example/", near.format(n=n)) for n in range(6)]
+    rows += [(20 + n, "https://mixed.example/", p) for n, p in enumerate(mixed)] + [(50 + n, "https://mixed.example/", special) for n in range(9)]
+
+    def texts(some):
+        df = spark.createDataFrame(some, "page_id long, url string, html string").repartition(4)
+        return {r["page_id"]: r["text"] for r in H.extract_pages(df).collect()}
+
+    got = texts(rows)
+    assert {got[n] for n in range(6)} == {"Title of all copies\nThe one paragraph that all copies have."}
+    assert [got[10 + n] for n in range(6)] == [f"A paragraph that is the same in all pages of the host.\nSeen {n} times" for n in range(6)]
+    assert {got[50 + n] for n in range(9)} == {"Heading of the copies only\nsome words that stand in the copies and on no other page"}
+    once = texts([x for x in rows if x[0] <= 50])
+    assert all(got[n] == t for n, t in once.items())
+
+
 def test_alignment():
     a, b, c = (H.fold(H.parse(x)) for x in (
         "<div><h1>A</h1><p>x</p><p>y</p><i>k</i></div>", "<div><h1>B</h1><p>z</p></div>", "<div><h1>B</h1><ul><li>1</li><li>2</li></ul></div>"))
