@@ -6,22 +6,24 @@ checks; they are always reported.  Further spans come from candidate boosting:
 1. every generator (the base patterns without their checks, and wider formats such as
    local phone numbers, identity numbers, account numbers and spelled-out addresses)
    proposes spans, which may overlap;
-2. a sample of at most ``SAMPLE`` candidates, those with the smallest hash over the
-   whole table, is labelled by strict checks per kind and fits gradient-boosted trees
+2. distinct candidates (kind, value and context; copies count once) are labelled by strict
+   checks per kind.  Of a sample of at most ``SAMPLE``, dealt to the kinds as evenly as their
+   numbers allow and inside a kind by the smallest hash, one half fits gradient-boosted trees
    on format features (lengths, digits, separators, check digits) and context features
    (words and characters around the span);
-3. the half of the sample that the trees have not seen sets one threshold per kind:
-   the lowest score above which ``PRECISION`` of at least ``SUPPORT`` candidates are
-   right.  A kind without such a score adds nothing;
+3. all distinct candidates of the table that the trees have not been fitted on set one
+   threshold per kind: the lowest score above which ``PRECISION`` of at least ``SUPPORT``
+   candidates are right.  A kind without such a score adds nothing.  A kind with fewer than
+   ``SUPPORT`` such candidates is too rare for a threshold: its strict check decides;
 4. the trees become one SQL expression that scores all candidates of all rows in place.
 
-The sample bounds the fitting alone; candidates, scores and spans cover every row.
-Main path: DataFrame and ML functions on the JVM only, no shuffle of texts.
+The sample bounds the fitting alone; candidates, thresholds, scores and spans cover every
+row.  Main path: DataFrame and ML functions on the JVM only, no shuffle of texts.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned each on
 their own; a null doc_id stays null; extra columns are ignored; without candidates of
-both labels no trees are fitted and only base spans are reported; an empty table gives
-an empty result.
+both labels no trees are fitted and the strict check of each kind decides; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -167,31 +169,52 @@ def score_expression(model):
     return score
 
 
+def _quotas(counts: dict[int, int]) -> dict[int, int]:
+    """Rows of each kind in a sample of at most ``SAMPLE``: small kinds whole, the others in equal parts."""
+    quotas, left = {}, SAMPLE
+    for k, n in enumerate(sorted(counts, key=lambda n: (counts[n], n))):
+        quotas[n] = min(counts[n], left // (len(counts) - k))
+        left -= quotas[n]
+    return quotas
+
+
 def fit(found: DataFrame):
-    """(score function, {kind number: threshold}) from the ``c`` candidates of ``found``, or (None, {})."""
-    order = F.xxhash64("c.value", "c.before", "c.after", "c.n")
-    sample = found.select(order.alias("h"), "c").orderBy("h", "c.n", "c.start").limit(SAMPLE)
-    c = F.col("c")
-    rows = materialize(sample.select(
-        "h", c["n"].alias("n"), strict_check(c).cast("double").alias("label"),
-        *[f.alias(f"f{i}") for i, f in enumerate(features(c))]), "pii-sample")
+    """(score function, {kind number: threshold}, rare kinds) from the ``c`` candidates of ``found``;
+    without both labels (None, {}, all kinds)."""
+    once = materialize(found.select("c.n", "c.value", "c.before", "c.after").distinct()
+                       .withColumn("h", F.xxhash64("value", "before", "after", "n")), "pii-distinct")
+    counts = {r["n"]: r["count"] for r in once.groupBy("n").count().collect()}
+    fitting = F.lit(False)
+    for n, quota in _quotas(counts).items():
+        mine = F.col("n") == n
+        if quota < counts[n]:
+            cut = once.filter(mine).select("h").orderBy("h").limit(quota).agg(F.max("h")).first()[0]
+            mine = mine & (F.col("h") <= cut)
+        fitting = fitting | mine
+    fitting = fitting & (F.col("h") % 2 == 0)
+    c = F.struct("n", "value", "before", "after")
+    rows = lambda some: some.select("n", let(c, strict_check).cast("double").alias("label"),
+                                    let(c, lambda x: F.array(*features(x))).alias("x"))
     names = [f"f{i}" for i in range(N_FEATURES)]
-    train, held = rows.filter(F.col("h") % 2 == 0), rows.filter(F.col("h") % 2 != 0)
+    train = materialize(rows(once.filter(fitting)).select("label", *[F.col("x")[i].alias(f) for i, f in enumerate(names)]),
+                        "pii-sample")
     if train.agg(F.countDistinct("label")).first()[0] < 2:
-        return None, {}
+        return None, {}, set(range(len(GENERATORS)))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(
         VectorAssembler(inputCols=names, outputCol="features").transform(train).select("features", "label"))
     score = score_expression(model)
-    bins = held.select("n", "label", F.floor(let(F.array(*names), score) * 100).cast("int").alias("bin")) \
+    bins = rows(once.filter(~fitting)).select("n", "label", F.floor(let(F.col("x"), score) * 100).cast("int").alias("bin")) \
         .groupBy("n", "bin").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("all")).collect()
-    thresholds = {}
-    for n in {b["n"] for b in bins}:
+    thresholds, rare = {}, set()
+    for n in range(len(GENERATORS)):
         right = total = 0
         for b in sorted((b for b in bins if b["n"] == n), key=lambda b: -b["bin"]):
             right, total = right + b["right"], total + b["all"]
             if total >= SUPPORT and right >= PRECISION * total:
                 thresholds[n] = b["bin"] / 100
-    return score, thresholds
+        if total < SUPPORT:
+            rare.add(n)
+    return score, thresholds, rare
 
 
 def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -199,15 +222,18 @@ def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     each by kind as listed and then by start."""
     wide = docs.select(*keep, candidates(F.coalesce(F.col(text), F.lit(""))).alias("cands"))
     wide = materialize(wide, "pii-candidates")
-    score, thresholds = fit(wide.select(F.explode("cands").alias("c")))
+    score, thresholds, rare = fit(wide.select(F.explode("cands").alias("c")))
 
     def scored(c):
         base = base_check(c)
+        chosen = base
+        if rare:
+            chosen = chosen | (c["n"].isin(*sorted(rare)) & strict_check(c))
         if score is None or not thresholds:
-            return F.struct(c.alias("c"), base.alias("base"), F.lit(None).cast("double").alias("score"), base.alias("chosen"))
+            return F.struct(c.alias("c"), base.alias("base"), F.lit(None).cast("double").alias("score"), chosen.alias("chosen"))
         least = F.element_at(F.array(*[F.lit(thresholds.get(n, 2.0)) for n in range(len(GENERATORS))]), c["n"] + 1)
         return let(let(F.array(*features(c)), score), lambda s: F.struct(
-            c.alias("c"), base.alias("base"), s.alias("score"), (base | (s >= least)).alias("chosen")))
+            c.alias("c"), base.alias("base"), s.alias("score"), (chosen | (s >= least)).alias("chosen")))
 
     names = F.array(*[F.lit(g.kind) for g in GENERATORS])
 

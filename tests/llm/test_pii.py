@@ -69,6 +69,23 @@ def test_boosting_adds_spans_like_the_ones_it_learned(spark):
     assert good > 350 and bad <= 8 and out[5000] == []
 
 
+def test_rare_kinds_and_copies(spark, monkeypatch):
+    """A few identity numbers among very many digits and copies are reported where their strict check holds."""
+    monkeypatch.setattr(P, "SAMPLE", 200)
+    rows = [(i, f"page {i} of {i * 7919} parts, mail u{i}@example.org") for i in range(600)]
+    rows += [(1000 + i, "the same 4111 1111 1111 1112 in all copies") for i in range(600)]
+    rows += [(2000 + i, f"ssn {100 + i}-45-{6000 + i}") for i in range(6)] + [(2100, "ssn 000-45-6789")]
+    out = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in
+           P.detect(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(out) == len(rows)
+    assert all("ssn" in out[2000 + i] for i in range(6)) and "ssn" not in out[2100]
+
+
+def test_quotas():
+    assert P._quotas({0: 30_000, 1: 5, 2: 9_000}) == {1: 5, 2: 9_000, 0: 10_995}
+    assert sum(P._quotas({n: 10**6 for n in range(10)}).values()) == P.SAMPLE
+
+
 def test_tree_expression_equals_the_model(spark):
     df = spark.range(300).select(*[(F.xxhash64("id", F.lit(i)) % 100 / 10.0).alias(f"f{i}") for i in range(4)])
     df = df.withColumn("label", ((F.col("f0") > 1) & (F.col("f1") + F.col("f2") < 3)).cast("double"))
