@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from recsift.llm import (
-    bounded_batches, decontaminate, exact_dedup, html_wrappers, licenses, near_dedup, packing, pii, quality, secrets, sharding)
+    bounded_batches, cross_polytope, decontaminate, exact_dedup, hard_negatives, html_wrappers, lexical, licenses, near_dedup, packing, pii,
+    quality, secrets, sharding)
 
-MODULES = [licenses, sharding, packing, quality, secrets, near_dedup, exact_dedup, decontaminate, html_wrappers, pii]
+MODULES = [licenses, sharding, packing, quality, secrets, near_dedup, exact_dedup, decontaminate, html_wrappers, pii, cross_polytope,
+           hard_negatives, lexical]
 
 
 def _wrap(fn):
