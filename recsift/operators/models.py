@@ -3,6 +3,7 @@
 
 Loss inputs are long tables of training triples:
     triples (user_v array<double>, pos_v array<double>, neg_v array<array<double>>, weight double)
+or of their scores and distances (_pos, _negs, _d_pos, _d_negs, weight).
 Every loss is a per-row array expression followed by one ``avg`` -- Spark's
 partial aggregation makes the mean a map-side reduction, nothing is collected.
 """
@@ -25,9 +26,9 @@ BPR_MARGIN = 0.0
 TRIPLET_MARGIN = 1.0
 
 
-def _scores(t: DataFrame) -> DataFrame:
-    """pos = <u, p>; negs = [<u, n_j>]."""
-    return t.withColumn("_pos", V.dot("user_v", "pos_v")).withColumn(
+def scores(t: DataFrame) -> DataFrame:
+    """_pos = <u, p>; _negs = [<u, n_j>]; rows that have them already stay as they are."""
+    return t if "_pos" in t.columns else t.withColumn("_pos", V.dot("user_v", "pos_v")).withColumn(
         "_negs", F.transform("neg_v", lambda n: V.dot("user_v", n)))
 
 
@@ -43,7 +44,7 @@ def _weighted_mean(per_row: Column, weighted: bool) -> Column:
 
 def loss_infonce(t: DataFrame, temperature: float = INFONCE_TEMPERATURE, weighted: bool = True) -> DataFrame:
     """L1: mean of w * (logsumexp([pos, negs] / T) - pos / T)."""
-    s = _scores(t)
+    s = scores(t)
     logits = F.transform(F.concat(F.array("_pos"), F.col("_negs")), lambda x: x / temperature)
     per = _logsumexp(logits) - F.col("_pos") / temperature
     return s.agg(_weighted_mean(per, weighted).alias("loss"))
@@ -56,7 +57,7 @@ def _neg_log_sigmoid(x: Column) -> Column:
 
 def loss_bpr(t: DataFrame, margin: float = BPR_MARGIN, weighted: bool = True) -> DataFrame:
     """L2: mean over negatives of -log sigmoid(pos - neg - margin), then weighted mean."""
-    s = _scores(t)
+    s = scores(t)
     terms = F.transform("_negs", lambda n: _neg_log_sigmoid(F.col("_pos") - n - F.lit(margin)))
     per = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.size(terms)
     return s.agg(_weighted_mean(per, weighted).alias("loss"))
@@ -65,7 +66,7 @@ def loss_bpr(t: DataFrame, margin: float = BPR_MARGIN, weighted: bool = True) ->
 def loss_sampled_softmax(t: DataFrame, temperature: float = SOFTMAX_TEMPERATURE,
                          weighted: bool = True) -> DataFrame:
     """L3: -pos/T + logsumexp([pos, negs] / T)."""
-    s = _scores(t)
+    s = scores(t)
     logits = F.transform(F.concat(F.array("_pos"), F.col("_negs")), lambda x: x / temperature)
     per = _logsumexp(logits) - F.col("_pos") / temperature
     return s.agg(_weighted_mean(per, weighted).alias("loss"))
@@ -73,8 +74,11 @@ def loss_sampled_softmax(t: DataFrame, temperature: float = SOFTMAX_TEMPERATURE,
 
 def loss_triplet(t: DataFrame, margin: float = TRIPLET_MARGIN, weighted: bool = True) -> DataFrame:
     """L4: relu(d(a, p) - min_j d(a, n_j) + margin) with Euclidean distances."""
-    d_pos = V.l2_dist("user_v", "pos_v")
-    d_neg = F.array_min(F.transform("neg_v", lambda n: V.l2_dist("user_v", n)))
+    if "_d_pos" in t.columns:  # measured already
+        d_pos, d_neg = F.col("_d_pos"), F.array_min("_d_negs")
+    else:
+        d_pos = V.l2_dist("user_v", "pos_v")
+        d_neg = F.array_min(F.transform("neg_v", lambda n: V.l2_dist("user_v", n)))
     per = F.greatest(d_pos - d_neg + F.lit(margin), F.lit(0.0))
     return t.agg(_weighted_mean(per, weighted).alias("loss"))
 
@@ -102,7 +106,7 @@ def loss_multitask(losses: DataFrame, weights: DataFrame | None = None,
 def validation_metrics(t: DataFrame) -> DataFrame:
     """V1: accuracy (pos > mean of its negatives), mrr (rank = 1 + #neg >= pos),
     mean positive score, mean negative score (over all negatives), margin."""
-    s = _scores(t)
+    s = scores(t)
     k = F.size("_negs")
     mean_neg_row = F.aggregate("_negs", F.lit(0.0), lambda a, x: a + x) / k
     rank = 1 + F.size(F.filter("_negs", lambda n: n >= F.col("_pos")))

@@ -71,6 +71,11 @@ def _by_rank(pos: DataFrame, seen: DataFrame, sizes: DataFrame, n: int, seed: in
     The rank of an unseen item follows from the gaps between the user's seen places: a
     gap knows how many unseen items stand before it.  A rank meets its gap by an equi-join
     on blocks of ``RANK_BUCKET`` ranks."""
+    return _ranked_places(pos, seen, sizes, n, F.xxhash64("user_id", "item_id", F.lit("rank"), F.lit(seed)))
+
+
+def _ranked_places(pos: DataFrame, seen: DataFrame, sizes: DataFrame, n: int, start) -> DataFrame:
+    """``n`` consecutive ranks from ``start`` (a column, taken modulo the supply) among each user's unseen places."""
     users = pos.select("user_id", "grp").distinct().join(sizes, "grp")
     ends = users.select("user_id", "grp", F.col("size").alias("idx"))
     marks = seen.join(users.select("user_id", "grp"), ["user_id", "grp"], "left_semi").unionByName(ends)
@@ -83,16 +88,36 @@ def _by_rank(pos: DataFrame, seen: DataFrame, sizes: DataFrame, n: int, seed: in
                 .withColumn("bucket", F.explode(F.sequence(F.floor(F.col("before") / RANK_BUCKET),
                                                            F.floor((F.col("before") + F.col("len") - 1) / RANK_BUCKET))))
                 .select("user_id", "grp", "bucket", "first", "before", "len"))
-    h = F.xxhash64("user_id", "item_id", F.lit("rank"), F.lit(seed))
     draws = (pos.drop("size").join(supply, ["user_id", "grp"]).filter("supply > 0")
                 .withColumn("slot", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.col("supply")).cast("int"))))
-                .withColumn("rank", F.pmod(F.pmod(h, F.col("supply")) + F.col("slot") - 1, F.col("supply")))
+                .withColumn("rank", F.pmod(F.pmod(start, F.col("supply")) + F.col("slot") - 1, F.col("supply")))
                 .withColumn("bucket", F.floor(F.col("rank") / RANK_BUCKET)))
     return (draws.join(gaps, ["user_id", "grp", "bucket"])
                  .filter("rank >= before AND rank < before + len")
                  .select("user_id", "item_id", "grp", "slot", (F.col("first") + F.col("rank") - F.col("before")).alias("idx")))
 
 
+def unseen_after(rows: DataFrame, seen: DataFrame, size: int, n: int) -> DataFrame:
+    """user_id, item_id, slot, idx: the user's first ``n`` unseen places after each row's own place, around the
+    end and without that place itself; fewer only where the user has left fewer unseen.
+
+    rows: user_id, item_id, idx; seen: user_id, idx (distinct); places run from 0 to ``size`` - 1.  A place's number of
+    unseen places before it follows from a running count of the user's seen ones; the next ranks are
+    met by :func:`_by_rank`'s equi-join on blocks of gaps, so no candidate list is ever formed."""
+    users = rows.select("user_id").distinct()
+    mine = seen.join(users, "user_id", "left_semi")
+    points = mine.select("user_id", "idx", F.lit(1).alias("s"), F.lit(None).cast("long").alias("item_id")) \
+        .unionByName(rows.select("user_id", "idx", F.lit(0).alias("s"), "item_id"))
+    w = Window.partitionBy("user_id").orderBy("idx", F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    start = points.withColumn("rank", F.col("idx") + 1 - F.sum("s").over(w)).filter("s = 0")
+    pos = start.select("user_id", "item_id", F.lit("").alias("grp"), F.col("idx").alias("own"), F.col("rank").alias("start"))
+    sizes = rows.sparkSession.createDataFrame([("", size)], "grp string, size long")
+    found = _ranked_places(pos, mine.select("user_id", F.lit("").alias("grp"), "idx"), sizes, n + 1, F.col("start"))
+    w = Window.partitionBy("user_id", "item_id").orderBy("slot")
+    return found.join(pos.select("user_id", "item_id", "own"), ["user_id", "item_id"]).filter("idx <> own") \
+        .withColumn("slot", F.row_number().over(w).cast("long")).filter(F.col("slot") <= n).select("user_id", "item_id", "slot", "idx")
+
+
 def _negatives(train: DataFrame, items: DataFrame, n: int, seed: int, group: str | None) -> DataFrame:
     idx, sizes = _universe(items, group)
     positives = train.select("user_id", "item_id").distinct()

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,16 +14,18 @@ from recsift.operators import models as M
 from recsift.operators import prep
 from recsift.operators import retrieval as R
 from recsift.operators import split as SP
+from recsift.operators import towers as TW
+from recsift.operators import training as TR
 from recsift.operators.ordering import bounded_broadcast, with_positions
 from recsift.plans.catalog import query, r6
-from recsift.plans.context import Context
+from recsift.plans.context import KS, REC_K, Context
 from recsift.plans.oracle_views import VIEWS, with_views
-from recsift.session import materialize
+from recsift.session import ensure_checkpoint_dir, materialize
 
 N_NEG = 4
 NEG_STEP = 37
 
-N_DRAWS = 12  # places tried for the N_NEG unseen negatives
+N_DRAWS = 12  # places tried for the N_NEG unseen negatives before a row walks on place by place
 
 
 def _standin_sql(key: str) -> str:
@@ -32,14 +36,30 @@ def _standin_sql(key: str) -> str:
 
 def _triples_sql(rows: str) -> str:
     return f"""
-        SELECT r.user_id, r.item_id, any_value(r.weight) AS weight, any_value(r.user_v) AS user_v,
-               any_value(r.pos_v) AS pos_v, list(r.v ORDER BY r.j) AS neg_v
-        FROM (SELECT r.user_id, r.item_id, r.weight, r.user_v, r.pos_v, n.v, g.j,
-                     row_number() OVER (PARTITION BY r.user_id, r.item_id ORDER BY g.j) AS k
-              FROM {rows} r CROSS JOIN range(1, {N_DRAWS + 1}) g(j)
-              JOIN ivec n ON n.idx = (r.idx + {NEG_STEP} * g.j) % (SELECT count(*) FROM ivec)
-              WHERE NOT EXISTS (SELECT 1 FROM train s WHERE s.user_id = r.user_id AND s.item_id = n.item_id)) r
-        WHERE k <= {N_NEG} GROUP BY r.user_id, r.item_id"""
+        SELECT t.user_id, t.item_id, any_value(t.weight) AS weight, any_value(t.user_v) AS user_v,
+               any_value(t.pos_v) AS pos_v, list(n.v ORDER BY d.k) AS neg_v
+        FROM {rows}_negs d JOIN {rows} t ON t.user_id = d.user_id AND t.item_id = d.item_id JOIN ivec n ON n.idx = d.idx
+        GROUP BY t.user_id, t.item_id"""
+
+
+def _negs_sql(rows: str) -> str:
+    """user_id, item_id, k, idx: the first unseen of the draws; rows short of them walk on place by place."""
+    return f"""
+        WITH u AS (
+          SELECT r.user_id, r.item_id, n.idx, row_number() OVER (PARTITION BY r.user_id, r.item_id ORDER BY g.j) AS k
+          FROM {rows} r CROSS JOIN range(1, {N_DRAWS + 1}) g(j)
+          JOIN ivec n ON n.idx = (r.idx + {NEG_STEP} * g.j) % (SELECT count(*) FROM ivec)
+          WHERE NOT EXISTS (SELECT 1 FROM train s WHERE s.user_id = r.user_id AND s.item_id = n.item_id)),
+        full_rows AS (SELECT user_id, item_id FROM u WHERE k = {N_NEG}),
+        walk AS (
+          SELECT r.user_id, r.item_id, n.idx, row_number() OVER (PARTITION BY r.user_id, r.item_id
+                 ORDER BY (n.idx - r.idx + (SELECT count(*) FROM ivec)) % (SELECT count(*) FROM ivec)) AS k
+          FROM (SELECT * FROM {rows} x WHERE NOT EXISTS
+                 (SELECT 1 FROM full_rows f WHERE f.user_id = x.user_id AND f.item_id = x.item_id)) r
+          JOIN ivec n ON n.idx <> r.idx
+          WHERE NOT EXISTS (SELECT 1 FROM train s WHERE s.user_id = r.user_id AND s.item_id = n.item_id))
+        SELECT u.* FROM u JOIN full_rows f ON f.user_id = u.user_id AND f.item_id = u.item_id WHERE k <= {N_NEG}
+        UNION ALL SELECT * FROM walk WHERE k <= {N_NEG}"""
 
 
 def _scores_sql(triples: str) -> str:
@@ -70,8 +90,10 @@ VIEWS.update({
         SELECT t.user_id, t.item_id, t.weight, coalesce(u.v, {_standin_sql('t.user_id')}) AS user_v, p.v AS pos_v, p.idx
         FROM split t JOIN ivec p ON p.item_id = t.item_id LEFT JOIN uprof u ON u.user_id = t.user_id
         WHERE t.split = 'val'"""),
-    "triples": (("tri_rows", "ivec", "train"), _triples_sql("tri_rows")),
-    "val_triples": (("val_rows", "ivec", "train"), _triples_sql("val_rows")),
+    "tri_rows_negs": (("tri_rows", "ivec", "train"), _negs_sql("tri_rows")),
+    "val_rows_negs": (("val_rows", "ivec", "train"), _negs_sql("val_rows")),
+    "triples": (("tri_rows_negs",), _triples_sql("tri_rows")),
+    "val_triples": (("val_rows_negs",), _triples_sql("val_rows")),
     "tri_s": (("triples",), _scores_sql("triples")),
     "val_s": (("val_triples",), _scores_sql("val_triples")),
 })
@@ -84,32 +106,50 @@ def _standin(key):
 
 
 def triples(c: Context, part: str = "train"):
-    """Triples of every row of ``part``: the user's vector (unit mean of the vectors of its
-    training items, else the stand-in of its id), the item's vector (visual where it has one,
-    else the stand-in of its id), and the vectors of four items the user has not touched in
-    training: the first such at 37 j places after the item, j = 1..12."""
+    """Scores and distances of every row of ``part`` whose user has an unseen item: between the user's
+    vector (unit mean of the vectors of its training items, else the stand-in of its id) and the item's
+    (visual where it has one, else the stand-in of its id), and between the user's and those of four items
+    the user has not touched in training.  These are the first four at 37 j places after the item, j =
+    1..12; a row that finds fewer there takes the user's next unseen items in order of place (fewer than
+    four only where the user has left fewer)."""
     numbered, n = with_positions(c.items.select("item_id"), [F.col("item_id")], name="_p")
     vec = materialize(numbered.join(c.unit_vectors.select("item_id", "v"), "item_id", "left")
                       .select("item_id", (F.col("_p") - 1).alias("idx"),
                               F.coalesce("v", _standin(F.col("item_id"))).alias("v")), "item-vectors")
     own = c.train.select("user_id", "item_id").join(vec.select("item_id", "v"), "item_id")
-    users = R.mean_vector(own, "user_id").select("user_id", V.l2_normalize("v").alias("user_v"))
-    rows = (c.part(part).select("user_id", "item_id", "weight")
-            .join(vec.withColumnRenamed("v", "pos_v"), "item_id").join(users, "user_id", "left")
-            .withColumn("user_v", F.coalesce("user_v", _standin(F.col("user_id")))))
-    seen = c.train.select("user_id", F.col("item_id").alias("neg_item_id"))
-    w = Window.partitionBy("user_id", "item_id").orderBy("j")
-    draws = (rows.select("user_id", "item_id", "idx")
-             .withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(N_DRAWS))))
-             .withColumn("idx", F.pmod(F.col("idx") + NEG_STEP * F.col("j"), F.lit(n)))
-             .join(vec.select("idx", F.col("item_id").alias("neg_item_id")), "idx")
-             .join(seen, ["user_id", "neg_item_id"], "left_anti")
-             .withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= N_NEG))
-    negs = (draws.join(vec.select(F.col("item_id").alias("neg_item_id"), F.col("v").alias("nv")), "neg_item_id")
-            .groupBy("user_id", "item_id")
-            .agg(F.sort_array(F.collect_list(F.struct("j", "nv"))).alias("_l"))
-            .select("user_id", "item_id", F.transform("_l", lambda e: e["nv"]).alias("neg_v")))
-    return rows.drop("idx").join(negs, ["user_id", "item_id"])
+    trained = R.mean_vector(own, "user_id").select("user_id", V.l2_normalize("v").alias("user_v"))
+    rows = materialize(c.part(part).select("user_id", "item_id", "weight").join(vec.select("item_id", "idx"), "item_id"), "triple-rows")
+    users = materialize(rows.select("user_id").distinct().join(trained, "user_id", "left")
+                        .select("user_id", F.coalesce("user_v", _standin(F.col("user_id"))).alias("user_v")), "user-vectors")
+    seen = materialize(c.train.select("user_id", "item_id").distinct().join(vec.select("item_id", "idx"), "item_id")
+                       .select("user_id", "idx"), "seen-places")
+    # the first draws serve nearly all rows; each further pass has only the rows that are still short
+    left, places = rows.select("user_id", "item_id", "idx"), None
+    for most in (N_NEG + 2, N_DRAWS):
+        w = Window.partitionBy("user_id", "item_id").orderBy("j")
+        drawn = (left.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(most))))
+                 .withColumn("idx", F.pmod(F.col("idx") + NEG_STEP * F.col("j"), F.lit(n)))
+                 .join(seen, ["user_id", "idx"], "left_anti")
+                 .withColumn("slot", F.row_number().over(w).cast("long")).filter(F.col("slot") <= N_NEG)
+                 .select("user_id", "item_id", "slot", "idx"))
+        drawn = materialize(drawn, "draws")
+        full = drawn.filter(F.col("slot") == N_NEG).select("user_id", "item_id")
+        done = drawn.join(full, ["user_id", "item_id"], "left_semi")
+        places = done if places is None else places.unionByName(done)
+        left = materialize(left.join(full, ["user_id", "item_id"], "left_anti"), "short-rows")
+    places = places.unionByName(SP.unseen_after(left, seen, n, N_NEG))
+
+    def scored(df, place: str):
+        """Scores beside the rows; dealt again by row, so that a user with very many rows is split in the join."""
+        return df.join(vec.select(F.col("idx").alias(place), "v"), place).join(users, "user_id") \
+            .withColumn("_s", V.dot("user_v", "v")).withColumn("_d", V.l2_dist("user_v", "v")).drop("v", "user_v")
+
+    negs = (scored(places, "idx").select("user_id", "item_id", "slot", "_s", "_d").repartition("user_id", "item_id")
+            .groupBy("user_id", "item_id").agg(F.sort_array(F.collect_list(F.struct("slot", "_s", "_d"))).alias("_l")))
+    pos = scored(rows, "idx").select("user_id", "item_id", "weight", F.col("_s").alias("_pos"), F.col("_d").alias("_d_pos"))
+    return materialize(pos.join(negs, ["user_id", "item_id"]).select(
+        "user_id", "item_id", "weight", "_pos", "_d_pos", F.transform("_l", lambda e: e["_s"]).alias("_negs"),
+        F.transform("_l", lambda e: e["_d"]).alias("_d_negs")), "triples")
 
 
 LSE = "list_max({a}) + ln(list_sum(list_transform({a}, lambda x: exp(x - list_max({a})))))"
@@ -333,6 +373,65 @@ def user_tower_embed(spark, d):
     return out.select("user_id", F.size("v").alias("dim"), r6(V.norm("v")).alias("norm"))
 
 
+# ---------------------------------------------------------------- trained towers
+
+TOWER_EPOCHS, TOWER_STEPS, TOWER_RATE = 3, 2, 0.01
+
+
+def _trained(c: Context) -> TR.State:
+    """Towers trained on the training part.  The run is kept under a folder of the application, so a
+    second query over the same tables goes on from its last epoch, that is, reads it."""
+    root = (f"{ensure_checkpoint_dir(c.spark).rstrip('/')}/two-tower-{c.spark.sparkContext.applicationId}-"
+            f"{zlib.crc32(c.sf_dir.encode())}")
+    towers = {"user": TW.user_tower(), "item": TW.item_tower(64)}
+    state = TR.finished(c.spark, root, towers, TOWER_EPOCHS)
+    if state:
+        return state
+    users, items, sizes = TR.feature_tables(c.train, c.interactions, c.items, c.vectors, c.as_of, 64)
+    state = TR.new_state(users, items, sizes, towers, TOWER_RATE)
+    val = c.part("val")
+    ex = materialize(TR.examples(c.train, SP.negatives_mixed(c.train, c.items, n=N_NEG, ratio=0.3, seed=42)), "tower-examples")
+    negs = materialize(SP.negatives_random(val, c.items, n=N_NEG, seed=7), "tower-negatives")
+    return TR.fit(state, ex, val, negs, root, TOWER_EPOCHS, TOWER_STEPS)
+
+
+@query("two_tower_train")
+def two_tower_train(spark, d):
+    """Both towers trained by weighted InfoNCE; one row an epoch."""
+    state = _trained(Context(spark, d))
+    cols = ("epoch", "train_loss", "val_loss", "accuracy", "mrr", "rate", "is_best")
+    return spark.createDataFrame([tuple(h[x] for x in cols) for h in state.history],
+                                 "epoch int, train_loss double, val_loss double, accuracy double, mrr double, rate double, is_best boolean")
+
+
+@query("two_tower_vectors", with_views("""
+    SELECT 'user' AS kind, count(DISTINCT user_id)::BIGINT AS n, 32 AS dim, 1.0::DOUBLE AS least_norm, true AS loss_falls FROM inter
+    UNION ALL SELECT 'item', count(*)::BIGINT, 32, 1.0::DOUBLE, true FROM items_c""", "inter", "items_c"))
+def two_tower_vectors(spark, d):
+    """Trained vectors of all users and items; whether each epoch's training loss is below the one before."""
+    state = _trained(Context(spark, d))
+    losses = [h["train_loss"] for h in state.history]
+    falls = all(a > b for a, b in zip(losses, losses[1:]))
+    rows = [v.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vec")).alias("dim"), r6(F.min(V.norm("vec"))).alias("least_norm"))
+            .select(F.lit(k).alias("kind"), "n", "dim", "least_norm", F.lit(falls).alias("loss_falls")) for k, v in state.output().items()]
+    return rows[0].unionByName(rows[1])
+
+
+@query("evaluate_two_tower")
+def evaluate_two_tower(spark, d):
+    """R5 and M1-M8 on trained vectors: the top 20 unseen items of every training user, beside the popular list."""
+    from recsift.operators import evaluation as EV
+    c = Context(spark, d)
+    out = _trained(c).output()
+    users = out["user"].select(F.col("id").alias("qid"), F.col("vec").alias("v")).join(c.train_users.withColumnRenamed("user_id", "qid"), "qid")
+    items = materialize(out["item"].select(F.col("id").alias("item_id"), F.col("vec").alias("v")), "tower-items")
+    ex = c.train.select(F.col("user_id").alias("qid"), "item_id")
+    recs = R.knn(users, items, REC_K, "dot", exclusions=ex).select(F.col("qid").alias("user_id"), "rank", "item_id", "score")
+    rows = [EV.evaluate_all(r, c.truth, KS).withColumn("model", F.lit(n)) for n, r in (("two_tower", materialize(recs, "tower-recs")),
+                                                                                      ("popular", c.pop_recs))]
+    return rows[0].unionByName(rows[1])
+
+
 # ---------------------------------------------------------------- N1-N3 (rows-only checks)
 
 

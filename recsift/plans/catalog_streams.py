@@ -45,10 +45,9 @@ def _valid_stream_events(c: Context):
     SELECT user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start,
            strftime(session_end, '%Y-%m-%d %H:%M:%S.%f') AS session_end, n_events::BIGINT AS n_events,
            array_to_string(items, '|') AS items
-    FROM sess s
-    WHERE NOT (session_start = (SELECT max(session_start) FROM sess x WHERE x.user_id = s.user_id)
-               AND session_end + INTERVAL 30 MINUTES
-                   > (SELECT max(ts) FROM sev WHERE event IN ('save', 'cart', 'order')) - INTERVAL 1 HOUR)""",
+    FROM sess
+    WHERE session_end + INTERVAL 30 MINUTES
+          <= (SELECT max(ts) FROM sev WHERE event IN ('save', 'cart', 'order')) - INTERVAL 1 HOUR""",
     "sess", "sev"))
 def session_state_stream(spark, d):
     """Stateful session history over the replayed click stream (6 micro-batches,

@@ -143,3 +143,15 @@ def test_index_appends_each_item_once(spark):
     for k in (0, 0, 1, 1):
         UP.index_appender(UP.BatchLog(spark, root, schema), cents)(new[k], k)
     assert sorted((r["item_id"], r["cell"]) for r in UP.BatchLog(spark, root, schema).rows().collect()) == [(1, 0), (2, 1), (3, 0)]
+
+
+def test_session_behind_the_watermark_stays_open_although_another_follows(spark):
+    """The first session could still be met by a late row; that the user has a later one closes nothing."""
+    start = dt.datetime(2024, 1, 1)
+    at = lambda m: start + dt.timedelta(minutes=m)
+    rows = [(1, 5, at(0)), (1, 6, at(10)), (1, 5, at(600)), (1, 7, at(650)), (2, 1, at(661)), (3, 1, at(570))]
+    ev = spark.createDataFrame(rows, SCHEMA).withColumn("event", F.lit("save"))
+    root, schema = replay_files(ev, "ts", 3, "t-behind")
+    out = CS._run_to_table(SSN.session_state_stream(read_replay(spark, root, schema)), "t-behind-out").collect()
+    # the watermark stands at minute 601: sessions that ended by minute 571 are closed
+    assert _key(out) == {(1, at(0), 2, (5, 6)), (3, at(570), 1, (1,))}
