@@ -15,16 +15,15 @@ a Jaccard similarity of at least 75/100 are linked; components of links are grou
    never with all others.  Pairs whose signatures agree too little for 0.75 (four
    standard deviations) leave; the others are verified on their full sets.
 4. Rest: links that the stars cannot see join two classes of one bucket that are in
-   different components so far.  Per bucket, the classes outside its largest component
-   are compared with all others by signature, in blocks of bounded size inside tasks.
-   In rounds, each class's best agreeing partner outside its component is verified on full
-   sets, and components are joined; one row per class and round.  When a round finds no
-   link, all remaining pairs across components that agree enough are verified.  Pairs
-   inside a component cannot change it and are skipped, so a large group of copies costs
-   a star and a few rounds.
+   different components so far.  Buckets with the same classes are one bucket; those of one component
+   are settled.  The sets of the classes of all others are brought to them once, the classes outside
+   a bucket's largest component against all others, in blocks of bounded size.  Inside a block
+   no pair is a row: a pair that the block's own links have not joined, that no earlier band
+   shares and whose signatures agree enough is verified on the full sets at once, and each link
+   found joins two components of the block, so a block reports fewer links than it has classes.
 5. Components of the verified links.  A group's id is its smallest doc_id.
 
-Texts are verified in a stream sorted by star centre: a task holds the centre's set and
+Stars are verified in a stream sorted by star centre: a task holds the centre's set and
 one batch.  Stars with many members are split over tasks, each with its own copy of the
 centre.
 
@@ -37,6 +36,7 @@ through ``deduplicate``; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -58,8 +58,10 @@ DOMAIN_BITS = 20
 DOMAIN = 1 << DOMAIN_BITS
 #: agreeing coordinates of a pair at the threshold, less four standard deviations
 LEAST_AGREEING = int(COORDINATES * 0.75 - 4 * (COORDINATES * 0.75 * 0.25) ** 0.5)
-#: members of one star in one verification group; classes in one block of the rest
-STAR_PART, BLOCK = 256, 1024
+#: members of one star in one verification group; classes and shingles in one block of the rest
+STAR_PART, BLOCK, BLOCK_SHINGLES = 256, 1024, 1 << 20
+#: sets verified at a time against one set
+CHUNK = 64
 CACHE = 400_000
 SKETCH = T.StructType([T.StructField("words", T.BinaryType()), T.StructField("n", T.LongType()),
                        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
@@ -140,19 +142,21 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 @F.pandas_udf(SKETCH)
-def sketch(texts: pd.Series) -> pd.DataFrame:
+def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Digest of the word sequence, set size, band keys and one byte per coordinate."""
-    out = []
-    for t in texts:
-        words = words_of(t)
-        s = shingle_set(words)
-        if not len(s):
-            out.append((b"", 0, None, None))
-            continue
-        sig = signature(s)
-        out.append((hashlib.blake2b(b" ".join(words), digest_size=16).digest(), len(s), band_keys(sig),
-                    sig.astype(np.uint8).tobytes()))
-    return pd.DataFrame(out, columns=["words", "n", "bands", "sig"])
+    for texts in batches:
+        out = []
+        for t in texts:
+            words = words_of(t)
+            s = shingle_set(words)
+            if not len(s):
+                out.append((b"", 0, None, None))
+                continue
+            sig = signature(s)
+            out.append((hashlib.blake2b(b" ".join(words), digest_size=16).digest(), len(s), band_keys(sig),
+                        sig.astype(np.uint8).tobytes()))
+        yield pd.DataFrame(out, columns=["words", "n", "bands", "sig"])
+    _HASHES.clear()  # workers live on for other stages
 
 
 @F.pandas_udf(T.BinaryType())
@@ -170,8 +174,8 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
 # ---- candidate pairs -------------------------------------------------------------
 
 def _stars(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members of shared buckets: bucket, cid, center; distinct pairs cid, center)."""
-    rows = classes.select("cid", F.posexplode("bands").alias("band", "bucket"))
+    """(members of shared buckets: bucket, band, cid, n, center, size; distinct pairs cid, center)."""
+    rows = classes.select("cid", "n", F.posexplode("bands").alias("band", "bucket"))
     # written before the join: adaptive execution splits a hot key only between plain shuffles
     shared = materialize(rows.groupBy("bucket").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("size"))
                          .filter("size > 1"), "near-buckets")
@@ -187,116 +191,128 @@ def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         .select("cid", "center")
 
 
-def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
-    """Pairs of one bucket and different components that no star has paired and whose signatures
-    agree enough: each class's best one, or all of them."""
-    named = members.filter("size > 2").join(roots.withColumnRenamed("u", "cid"), "cid", "left") \
-        .withColumn("comp", F.coalesce("root", "cid"))
-    counts = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_buckets = counts.groupBy("bucket").agg(
-        F.max_by("comp", "n").alias("major"), F.max("n").alias("major_n"), F.sum("n").alias("all_n"),
-        F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    parts = materialize(open_buckets.select(
-        "bucket", "major", F.ceil(F.col("major_n") / BLOCK).cast("int").alias("a"),
-        F.ceil((F.col("all_n") - F.col("major_n")) / BLOCK).cast("int").alias("b")), "near-parts")
+def _open_buckets(named: DataFrame) -> DataFrame:
+    """bucket, major (the largest component), a, b (blocks of it and of the others): buckets whose classes are in several
+    components, one of each set of equal buckets (the one of the first band)."""
+    of = named.groupBy("bucket").agg(F.first("band").alias("band"), F.count(F.lit(1)).alias("all_n"), F.sum("n").alias("all_s"),
+                                     F.bit_xor(F.xxhash64("cid")).alias("h1"), F.sum(F.hash("cid").cast("long")).alias("h2"))
+    first = of.groupBy("all_n", "h1", "h2").agg(F.min(F.struct("band", "bucket")).alias("k")).select(F.col("k.bucket").alias("bucket"))
+    counts = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    comps = counts.groupBy("bucket").agg(F.max(F.struct("c", "s", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    j = comps.join(first, "bucket").join(of.select("bucket", "all_n", "all_s"), "bucket")
+    one = blocks(F.col("all_n"), F.col("all_s")) == 1
+    return j.select("bucket", "m.comp", F.when(one, 0).otherwise(blocks(F.col("m.c"), F.col("m.s"))).alias("a"),
+                    F.when(one, 1).otherwise(blocks(F.col("all_n") - F.col("m.c"), F.col("all_s") - F.col("m.s"))).alias("b")) \
+        .withColumnRenamed("comp", "major")
+
+
+def _rest(members: DataFrame, classes: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links u, v between classes of one bucket and different components that no star has paired."""
+    named = materialize(members.filter("size > 2").join(roots.withColumnRenamed("u", "cid"), "cid", "left").select(
+        "bucket", "band", "cid", "n", "center", F.coalesce("root", "cid").alias("comp")), "near-named")
+    # written before the joins: adaptive execution splits a hot key only between plain shuffles
+    parts = materialize(_open_buckets(named), "near-parts")
+    mine = F.when((F.col("comp") == F.col("major")) & (F.col("a") > 0), F.pmod(F.xxhash64("cid"), F.col("a"))) \
+        .otherwise(F.col("a") + F.pmod(F.xxhash64("cid"), F.col("b"))).cast("int")
+    here = materialize(named.join(parts, "bucket").withColumn("mine", mine), "near-open")
+    sets = materialize(_sets(here.select("cid").distinct().join(classes, "cid"), docs), "near-sets")
     # blocks 0..a-1 hold the largest component, a..a+b-1 the others; a pair of blocks has one of the others
-    # only the pass over all pairs needs the band keys: they tell in which bucket a pair is reported
-    sketches = classes.select("cid", "sig", "n", *([] if best else ["bands"]))
-    j = named.join(parts, "bucket").join(sketches, "cid") \
-        .withColumn("mine", F.when(F.col("comp") == F.col("major"), F.pmod(F.xxhash64("cid"), F.col("a")))
-                    .otherwise(F.col("a") + F.pmod(F.xxhash64("cid"), F.col("b"))).cast("int"))
     every = F.sequence(F.lit(0), F.col("a") + F.col("b") - 1)
     outer = F.sequence(F.col("a"), F.col("a") + F.col("b") - 1)
-    j = j.withColumn("with", F.explode(F.when(F.col("mine") < F.col("a"), outer).otherwise(every)))
-    j = j.select("bucket", F.least("mine", "with").alias("x"), F.greatest("mine", "with").alias("y"), "mine", "cid",
-                 "comp", "center", "band", *sketches.columns[1:])
-    keyed = j.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "mine", "cid")
-    if not best:
-        return keyed.mapInPandas(_all_pairs, "cid long, center long, agree int").select("cid", "center").distinct()
-    found = keyed.mapInPandas(_best_pairs, "cid long, center long, agree int")
-    one = found.groupBy("cid").agg(F.max_by("center", F.col("agree") * F.lit(1 << 50) - F.col("center") % (1 << 49)).alias("center"))
-    return one.select(F.greatest("cid", "center").alias("cid"), F.least("cid", "center").alias("center")).distinct()
-
-
-def _all_pairs(batches):
-    return _compare_blocks(batches, False)
-
-
-def _best_pairs(batches):
-    return _compare_blocks(batches, True)
-
-
-def _compare_blocks(batches, best: bool):
-    """Rows (cid, center, agree): all pairs of two blocks, or each class's best one."""
-    def found(rows):
-        pdf = pd.concat(rows) if len(rows) > 1 else rows[0]
-        pdf = pdf.drop_duplicates("cid")
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), COORDINATES)
-        cid, comp, mine, center = (pdf[c].to_numpy() for c in ("cid", "comp", "mine", "center"))
-        x, y, band, n_set = pdf["x"].iloc[0], pdf["y"].iloc[0], pdf["band"].iloc[0], pdf["n"].to_numpy()
-        bands = None if best else np.stack(pdf["bands"].to_list())
-        right = np.flatnonzero(mine == y)
-        a, b, n = [], [], []
-        top = np.full(len(pdf), -1)  # best agreement of each class so far, and with whom
-        who = np.zeros(len(pdf), np.int64)
-        for i in np.flatnonzero(mine == x):
-            # the star has tested the pairs with the bucket's smallest class
-            ok = right[(comp[right] != comp[i]) & (cid[right] != center[right]) & (cid[i] != center[i])]
-            if x == y:
-                ok = ok[ok > i]
-            # sets of too different sizes cannot reach the threshold
-            ok = ok[np.minimum(n_set[ok], n_set[i]) * DENOMINATOR >= np.maximum(n_set[ok], n_set[i]) * NUMERATOR]
-            if not len(ok):
-                continue
-            agree = (sig[ok] == sig[i]).sum(axis=1)
-            ok, agree = ok[agree >= LEAST_AGREEING], agree[agree >= LEAST_AGREEING]
-            if not len(ok):
-                continue
-            if best:
-                better = agree > top[ok]
-                top[ok[better]], who[ok[better]] = agree[better], cid[i]
-                if agree.max() > top[i]:
-                    top[i], who[i] = agree.max(), cid[ok[agree.argmax()]]
-            else:
-                # a pair that shares several buckets is reported by the first of them; the signatures are
-                # cut to bytes and may agree in a band that is not shared
-                first = (bands[ok] == bands[i]).argmax(axis=1) == band
-                ok, agree = ok[first], agree[first]
-                a.append(np.full(len(ok), cid[i])), b.append(cid[ok]), n.append(agree)
-        if best:
-            has = top >= 0
-            return pd.DataFrame({"cid": cid[has], "center": who[has], "agree": top[has].astype(np.int32)})
-        a, b, n = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b, n))
-        return pd.DataFrame({"cid": np.maximum(a, b), "center": np.minimum(a, b), "agree": n.astype(np.int32)})
+    j = here.withColumn("with", F.explode(F.when(F.col("mine") < F.col("a"), outer).otherwise(every)))
+    j = j.select("bucket", F.least("mine", "with").alias("x"), F.greatest("mine", "with").alias("y"), "mine", "cid", "comp", "center", "band") \
+        .join(sets, "cid")
+    return j.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "mine", "cid").mapInPandas(_linked_blocks, "u long, v long")
 
+
+def _linked_blocks(batches):
+    """Rows come by pair of blocks; each is held until it is whole."""
     held, key = [], None
     for pdf in batches:
         for k, g in pdf.groupby(["bucket", "x", "y"], sort=False):
             if k != key and held:
-                yield found(held)
+                yield _block_links(held)
                 held = []
             key = k
             held.append(g)
     if held:
-        yield found(held)
+        yield _block_links(held)
+
+
+def _block_links(rows: list[pd.DataFrame]) -> pd.DataFrame:
+    pdf = (pd.concat(rows) if len(rows) > 1 else rows[0]).drop_duplicates("cid")
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), COORDINATES)
+    cid, comp, mine, center = (pdf[c].to_numpy().copy() for c in ("cid", "comp", "mine", "center"))
+    x, y, band = pdf["x"].iloc[0], pdf["y"].iloc[0], pdf["band"].iloc[0]
+    bands = np.stack(pdf["bands"].to_list())
+    sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    right, u, v = np.flatnonzero(mine == y), [], []
+    for i in np.flatnonzero(mine == x):
+        ok = right[right > i] if x == y else right
+        # the star has tested the pairs with the bucket's smallest class
+        ok = ok[(comp[ok] != comp[i]) & (cid[ok] != center[ok]) & (cid[i] != center[i])]
+        # sets of too different sizes cannot reach the threshold
+        ok = ok[np.minimum(n[ok], n[i]) * DENOMINATOR >= np.maximum(n[ok], n[i]) * NUMERATOR]
+        ok = ok[(sig[ok] == sig[i]).sum(axis=1) >= LEAST_AGREEING]
+        # a pair that shares several buckets is verified in the first of them
+        ok = ok[(bands[ok] == bands[i]).argmax(axis=1) == band]
+        for k in range(0, len(ok), CHUNK):
+            part = ok[k:k + CHUNK]
+            part = part[comp[part] != comp[i]]
+            if not len(part):
+                continue
+            flat = np.concatenate([sets[j] for j in part])
+            at = np.minimum(np.searchsorted(sets[i], flat), n[i] - 1)
+            both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(n[part]) - n[part])
+            for j in part[both * DENOMINATOR >= NUMERATOR * (n[part] + n[i] - both)]:
+                if comp[j] != comp[i]:
+                    u.append(max(cid[i], cid[j])), v.append(min(cid[i], cid[j]))
+                    comp[comp == comp[j]] = comp[i]
+    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
 
 # ---- verification ----------------------------------------------------------------
 
+def _with_text(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``wanted`` (first_id, words, ...) with the text of each class; rows of other texts under the same id come along."""
+    text = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text"))
+    # null ids do not join; rows without an id are found by their words
+    rows = wanted.filter("first_id IS NOT NULL").join(text.filter("first_id IS NOT NULL"), "first_id")
+    if not docs.filter("doc_id IS NULL").isEmpty():
+        nameless = text.filter("first_id IS NULL").withColumn("words", word_digest("text"))
+        rows = rows.unionByName(wanted.filter("first_id IS NULL").drop("first_id").join(nameless, "words").select(*rows.columns))
+    return rows
+
+
+@F.pandas_udf(T.StructType([T.StructField("own", T.BooleanType()), T.StructField("shingles", T.BinaryType())]))
+def own_shingles(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Whether the text is the class's own, and its shingle hashes."""
+    for texts, digests in batches:
+        out = []
+        for t, d in zip(texts, digests, strict=True):
+            words = words_of(t)
+            own = hashlib.blake2b(b" ".join(words), digest_size=16).digest() == d
+            out.append((own, shingle_set(words).tobytes() if own else b""))
+        yield pd.DataFrame(out, columns=["own", "shingles"])
+    _HASHES.clear()
+
+
+def _sets(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, sig, bands, shingles: the full sets of ``classes``."""
+    rows = _with_text(classes.select("cid", "first_id", "words", "sig", "bands"), docs)
+    return rows.select("cid", "sig", "bands", own_shingles("text", "words").alias("s")).filter("s.own") \
+        .select("cid", "sig", "bands", "s.shingles").dropDuplicates(["cid"])
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold, as links u, v."""
     sizes = materialize(pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / STAR_PART).cast("int").alias("parts")), "near-stars")
     split = pairs.join(sizes, "center").select("cid", "center", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"))
     own = sizes.select(F.col("center").alias("cid"), "center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     wanted = split.union(own).join(classes.select("cid", "first_id", "words"), "cid")
-    text = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text"))
-    # null ids do not join; rows without an id are found by their words
-    named = wanted.filter("first_id IS NOT NULL").join(text.filter("first_id IS NOT NULL"), "first_id")
-    rows = named.select("center", "part", "cid", "words", "text")
-    if not docs.filter("doc_id IS NULL").isEmpty():
-        nameless = text.filter("first_id IS NULL").withColumn("words", word_digest("text"))
-        rows = rows.union(wanted.filter("first_id IS NULL").drop("first_id").join(nameless, "words")
-                          .select("center", "part", "cid", "words", "text"))
+    rows = _with_text(wanted, docs).select("center", "part", "cid", "words", "text")
     order = ["center", "part", F.col("cid") != F.col("center"), "cid"]
     return rows.repartition("center", "part").sortWithinPartitions(*order).mapInPandas(_verify, "u long, v long")
 
@@ -318,6 +334,7 @@ def _verify(batches):
             elif key == (center, part) and linked(mine, shingle_set(words)):
                 u.append(cid), v.append(center)
         yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+    _HASHES.clear()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -331,17 +348,8 @@ def groups(docs: DataFrame) -> DataFrame:
     members, pairs = _stars(classes)
     links = materialize(_verified(materialize(_similar(pairs, classes), "near-pairs"), classes, docs), "near-links")
     roots = components(links)
-    while True:
-        near = materialize(_rest(members, classes, roots, best=True), "near-best")
-        if near.isEmpty():
-            break  # no pair across components is left
-        found = materialize(_verified(near, classes, docs), "near-links")
-        if found.isEmpty():
-            rest = materialize(_rest(members, classes, roots, best=False), "near-rest")
-            roots = components(links.union(_verified(rest, classes, docs)))
-            break
-        links = links.union(found)
-        roots = components(links)
+    links = links.union(materialize(_rest(members, classes, docs, roots), "near-links"))
+    roots = components(links)
     named = classes.select("words", "cid", "first_id").join(roots.withColumnRenamed("u", "cid"), "cid", "left") \
         .select("words", "first_id", F.coalesce("root", "cid").alias("root"))
     least = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "near-least")

@@ -272,9 +272,10 @@ class _Stream:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False, keep_cache: bool = True) -> DataFrame:
     """One row per piece: where it comes from (doc_id, start, length), its checksum, and where it goes
-    (sequence_id, offset); with ``with_ids`` also its ids."""
+    (sequence_id, offset); with ``with_ids`` also its ids.  ``keep_cache``: a worker keeps its chunks for its next
+    partition; otherwise it frees them, for jobs in which other stages need its memory."""
     path = tokenizer or default_tokenizer()
 
     def packed(batches):
@@ -289,6 +290,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
                     yield stream.settle(False)
         if stream.size:
             yield stream.settle(True)
+        if not keep_cache:
+            enc._clear()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInPandas(packed, PIECES + (", ids array<long>" if with_ids else ""))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from recsift.llm import near_dedup as N
@@ -98,20 +99,48 @@ def test_links_that_stars_cannot_see(spark, monkeypatch):
     assert got(N.groups(table(spark, rows))) == brute(rows)
 
 
-def test_pair_whose_bytes_agree_in_a_band_it_does_not_share(spark):
-    """The last pass reports each pair in the first bucket it really shares, once."""
-    near, far = bytes(range(128)), bytes(128)
-    own = [[100 * cid + b for b in range(N.BANDS)] for cid in range(3)]
-    # classes 1 and 2 agree in every byte; they share the buckets of bands 5 and 9 only
+def block(band, sigs, bands, sets, comps, x=0, y=0, mine=None):
+    return pd.DataFrame({"bucket": 1, "x": x, "y": y, "mine": mine or [0] * len(sigs), "cid": range(10, 10 + len(sigs)), "comp": comps,
+                         "center": 0, "band": band, "sig": sigs, "bands": bands,
+                         "shingles": [np.array(sorted(s), np.uint64).tobytes() for s in sets]})
+
+
+def test_a_pair_is_verified_in_the_first_band_it_really_shares():
+    """Two classes agree in every byte of their signatures but share the bands 5 and 9 only."""
+    own = [[100 * k + b for b in range(N.BANDS)] for k in range(2)]
     for b in (5, 9):
         for keys in own:
             keys[b] = -b
-    classes = spark.createDataFrame([(0, far, 50, own[0]), (1, near, 50, own[1]), (2, near, 50, own[2])],
-                                    "cid long, sig binary, n long, bands array<long>")
-    members = spark.createDataFrame([(-b, cid, b, 0, 3) for b in (5, 9) for cid in range(3)],
-                                    "bucket long, cid long, band int, center long, size long")
-    roots = spark.createDataFrame([], "u long, root long")
-    assert [tuple(r) for r in N._rest(members, classes, roots, best=False).collect()] == [(2, 1)]
+    sets = [set(range(100)), set(range(5, 105))]
+    links = {b: N._block_links([block(b, [bytes(128)] * 2, own, sets, [1, 2])]).values.tolist() for b in (5, 9)}
+    assert links == {5: [[11, 10]], 9: []}
+
+
+def test_a_block_reports_fewer_links_than_classes():
+    n = 50
+    links = N._block_links([block(0, [bytes(128)] * n, [[7] * N.BANDS] * n, [set(range(100))] * n, list(range(n)))])
+    assert len(links) == n - 1
+    # two components that are joined already, and one apart
+    links = N._block_links([block(0, [bytes(128)] * 6, [[7] * N.BANDS] * 6, [set(range(100))] * 4 + [set(range(60, 160))] * 2, [1, 1, 2, 2, 3, 3])])
+    assert len(links) == 1
+
+
+def test_many_near_copies_below_the_threshold(spark, monkeypatch):
+    """Copies of one text, most of whose pairs share a band but are no links: the links stay fewer than the classes."""
+    monkeypatch.setattr(N, "BLOCK", 64)
+    counts, write = {}, N.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(N, "materialize", counted)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(260)]
+    rows = [(i, t) for i, t in enumerate(variants(rng, base, 250, 9))]
+    assert got(N.groups(table(spark, rows))) == brute(rows)
+    assert counts["near-links"] <= 32 * 250 and counts["near-open"] <= 32 * 250
 
 
 def test_deduplicate(spark):
