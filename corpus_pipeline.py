@@ -44,7 +44,7 @@ def benchmark_decontamination(spark, docs, sf_dir):
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of the training sequences."""
     bounded_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, keep_cache=False)
 
 
 STAGES = [
