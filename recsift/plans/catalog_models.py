@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recsift.functions import vectors as V
+from recsift.operators import bounded as B
 from recsift.operators import features as FT
 from recsift.operators import models as M
 from recsift.operators import prep
@@ -509,7 +510,8 @@ def als_shape(spark, d):
 def _als_recs(c: Context, k: int):
     uf, itf = _als(c)
     ex = c.train.select(F.col("user_id").alias("qid"), "item_id")
-    return R.knn(uf.select(F.col("user_id").alias("qid"), "v"), itf, k, "dot", exclusions=ex)
+    # learned vectors differ in norm: most blocks are out of reach
+    return B.search(uf.select(F.col("user_id").alias("qid"), "v"), B.build_blocks(itf), k, ex)[0]
 
 
 @query("recommend_als")

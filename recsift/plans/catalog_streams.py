@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recsift.functions import vectors as V
 from recsift.operators import ann
+from recsift.operators import graph as GR
 from recsift.operators import lists as L
 from recsift.operators import retrieval as R
 from recsift.operators import text as TX
@@ -202,6 +203,27 @@ def knn_lsh(spark, d):
     return ann.search_lsh(q, c.vectors, KNN_K).select("qid", "rank", "item_id", r6("score").alias("score"))
 
 
+@query("knn_graph", with_views("""
+    SELECT (SELECT count(*) FROM uvec)::BIGINT AS queries, (SELECT count(*) * 10 FROM uvec)::BIGINT AS n_rows, true AS recall_at_10_is_090,
+           true AS distances_below_all""", "uvec"))
+def knn_graph(spark, d):
+    """The neighbour graph of all vectors, walked by every item for its cosine top 10, beside the exact search;
+    ``ef`` as calibrated."""
+    c = Context(spark, d)
+    graph = GR.build_graph(c.vectors)
+    q = c.vectors.select(F.col("item_id").alias("qid"), "v")
+    found, work = GR.search_graph(q, graph, KNN_K, GR.calibrate_ef(q, graph, KNN_K))
+    found = materialize(found, "graph-found")
+    exact = R.knn(q, c.vectors, KNN_K, "cosine")
+    one = F.lit(1).alias("k")
+    n = found.agg(F.countDistinct("qid").alias("queries"), F.count(F.lit(1)).alias("n_rows")).select("*", one)
+    mean = work.agg(F.avg("distances").alias("mean")).select("*", one)
+    n_items = graph.items.count()
+    # one-row results side by side
+    return ann.recall_at_k(found, exact).select("recall", one).join(n, "k").join(mean, "k").select(
+        "queries", "n_rows", (F.col("recall") >= 0.9).alias("recall_at_10_is_090"), (F.col("mean") < n_items).alias("distances_below_all"))
+
+
 @query("ann_recall", with_views("""
     SELECT m.method, (SELECT count(*) FROM uvec)::BIGINT AS queries, (SELECT count(*) * 10 FROM uvec)::BIGINT AS n_rows,
            true AS recall_at_10_is_090

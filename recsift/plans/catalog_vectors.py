@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recsift.functions import vectors as V
+from recsift.operators import bounded as B
 from recsift.operators import retrieval as R
 from recsift.operators import sessions as SS
-from recsift.plans.catalog import URL_RE, query, r6
+from recsift.plans.catalog import ORACLE, URL_RE, query, r6
 from recsift.plans.context import REC_K, Context
 from recsift.plans.oracle_views import VIEWS, with_views
 from recsift.session import materialize
@@ -226,6 +227,16 @@ def recommend_users(spark, d):
     return _out(R.knn(q, c.vectors, REC_K, "dot", exclusions=ex))
 
 
+@query("recommend_users_bounded", ORACLE["recommend_users"])
+def recommend_users_bounded(spark, d):
+    """R5 by blocks with upper bounds: the same rows as ``recommend_users``; a user reads only the blocks that can
+    hold one of the user's best."""
+    c = Context(spark, d)
+    q = c.user_vectors.select(F.col("user_id").alias("qid"), "v")
+    ex = c.train.select(F.col("user_id").alias("qid"), "item_id")
+    return _out(B.search(q, B.build_blocks(c.vectors), REC_K, ex)[0])
+
+
 @query("similar_items", with_views(_knn_sql("uvec", "q.item_id", "uvec", "list_dot_product(q.v, i.v)", KNN_K,
                                             where="WHERE i.item_id <> q.item_id"), "uvec"))
 def similar_items(spark, d):
