@@ -50,11 +50,15 @@ from pyspark.sql import types as T
 from recsift.session import materialize
 from recsift.sources.tables import read_table
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|math|object)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[a-zA-Z/][^>]*>|([^<]+|<)",
-    re.S | re.I)
+#: Tokens of a page up to its last ">".  Repeats are possessive, so no place is read again when a tag fails; a
+#: raw element or comment that never ends takes the rest (group "cut").
+_TOKEN = (r"<!--.*?(?:-->|(?P<cut1>\Z))"
+          r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select|math|object)\b[^>]*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*+>|(?P<cut2>\Z)))"
+          r"|<[!?][^>]*+>|</(?P<close>[a-zA-Z][^\s/>]*+)[^>]*+>|<(?P<open>[a-zA-Z][^\s/>]*+)(?P<marks>%s)>"
+          r"|(?P<broken><[a-zA-Z])|</[^>]*+>|(?P<text>[^<]++|<)")
+TOKEN = re.compile(_TOKEN % r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+", re.S | re.I)
+#: the same where a quote of a tag never ends: tags end at their first ">"
+UNQUOTED = re.compile(_TOKEN % "[^>]*+", re.S | re.I)
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements that are part of a line; all others begin and end a block
@@ -74,6 +78,8 @@ CONTENT = re.compile(r"(?<![a-z])(article|body|content|entry|main|post|story|tex
 CONSTANT_PAGES = 3
 #: levels of a wrapper; what lies deeper is one text slot
 DEPTH = 40
+#: children of a group that are told apart by their order; more of them are told apart by label
+KINDS = 64
 #: partial wrappers kept in a task, and bytes up to which wrappers are broadcast
 HOSTS_HELD, BROADCAST_BYTES = 500, 16 << 20
 TEXT = "#"
@@ -89,39 +95,58 @@ class Node:
         self.tag, self.label, self.children = tag, label, []
 
 
+def tokens(page: str):
+    """(tag that closes, tag that opens, its attributes, text) in page order, in time proportional to the page."""
+    stop = page.rfind(">") + 1
+    at, pattern, cut = 0, TOKEN, False
+    while at < stop:
+        for m in pattern.finditer(page, at, stop):
+            if m["broken"] and pattern is TOKEN:
+                at, pattern = m.start(), UNQUOTED
+                break
+            cut = m["cut1"] is not None or m["cut2"] is not None
+            if m["close"] or m["open"] or m["text"] or m["broken"]:
+                yield m["close"], m["open"], m["marks"], m["text"] or m["broken"]
+        else:
+            at = stop
+    if not cut and stop < len(page):
+        yield None, None, None, page[stop:].split("<!--", 1)[0]
+
+
 def parse(page: str | None) -> Node:
     """The element tree of a page; broken nesting is closed, never dropped."""
     root = Node("", "")
-    stack = [root]
-    for raw, close, opened, attributes, text in (m.groups() for m in TOKEN.finditer(page or "")):
+    stack, block = [root], [0]  # block: for each open element, the nearest one at or above it that is no part of a line
+    opens: dict[str, int] = {}
+
+    def close_from(k: int) -> None:
+        for n in stack[k:]:
+            opens[n.tag] -= 1
+        del stack[k:], block[k:]
+
+    for close, opened, attributes, text in tokens(page or ""):
         if text:
             stack[-1].children.append(text)
         elif opened:
             tag = opened.lower()
-            if tag in PARAGRAPH_ENDS and any(n.tag == "p" for n in stack):
+            if tag in PARAGRAPH_ENDS and stack[block[-1]].tag == "p":
                 # an open paragraph ends, with what is open inside it, unless a container was opened in it
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        del stack[k:]
-                        break
-                    if stack[k].tag not in INLINE:
-                        break
+                close_from(block[-1])
             elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1].tag == tag:
-                stack.pop()
+                close_from(len(stack) - 1)
             marks = " ".join(x for m in MARK.findall(attributes or "") for x in m if x)
             says = sorted({x.lower() for x in SAYS.findall(marks) + CONTENT.findall(marks)}) if marks else None
             node = Node(tag, f"{tag}.{' '.join(says)}" if says else tag)
             stack[-1].children.append(node)
             if tag not in VOID and not (attributes or "").endswith("/"):
                 stack.append(node)
-        elif close:
-            tag = close.lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-        elif raw:
-            pass  # scripts, styles and the like hold no text
+                block.append(block[-1] if tag in INLINE else len(stack) - 1)
+                opens[tag] = opens.get(tag, 0) + 1
+        elif close and opens.get(close.lower()):
+            k, tag = len(stack) - 1, close.lower()
+            while stack[k].tag != tag:
+                k -= 1
+            close_from(k)
     return root
 
 
@@ -159,14 +184,26 @@ def fold(node: Node, level: int = 0, page: int | None = None) -> list:
         else:
             item = fold(c, level + 1, page)
         chars += item[4]
-        same = next((x for x in reversed(children[-3:]) if x[0] == item[0]), None)
-        if same is not None:
-            merged = align(same, item)
-            merged[1] = "+"
-            children[next(i for i, x in enumerate(children) if x is same)] = merged
+        k = next((k for k in range(len(children) - 1, max(-1, len(children) - 4), -1) if children[k][0] == item[0]), None)
+        if k is not None:
+            children[k] = _repeated(children[k], item)
         else:
             children.append(item)
-    return [node.label, "1", children, [page], chars]
+    return [node.label, "1", children if len(children) <= KINDS else _kinds(children), [page], chars]
+
+
+def _repeated(a: list, b: list) -> list:
+    merged = align(a, b)
+    merged[1] = "+"
+    return merged
+
+
+def _kinds(children: list) -> list:
+    """One group of each label, in the order of their first places."""
+    out: dict = {}
+    for c in children:
+        out[c[0]] = _repeated(out[c[0]], c) if c[0] in out else c
+    return list(out.values())
 
 
 def _how(a: str, b: str) -> str:
@@ -180,6 +217,10 @@ def align(a: list, b: list) -> list:
         return [TEXT, _how(a[1], b[1]), a[2] if a[2] == b[2] else None, pages, a[4] + b[4]]
     x, y = a[2], b[2]
     n, m = len(x), len(y)
+    if n * m > KINDS * KINDS:  # too many kinds of groups for their order to matter
+        both, mine = {c[0]: c for c in _kinds(y)}, _kinds(x)
+        out = [align(c, both.pop(c[0])) if c[0] in both else _optional(c) for c in mine] + [_optional(c) for c in both.values()]
+        return [a[0], _how(a[1], b[1]), out, pages, a[4] + b[4]]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -211,9 +252,7 @@ def _compact(children: list) -> list:
         if k is None:
             out.append(c)
         else:
-            merged = align(out[k], c)
-            merged[1] = "+"
-            out[k] = merged
+            out[k] = _repeated(out[k], c)
     return out
 
 

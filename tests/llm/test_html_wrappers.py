@@ -4,6 +4,8 @@ import html
 import random
 import re
 
+import pytest
+
 from recsift.llm import html_wrappers as H
 
 
@@ -106,3 +108,32 @@ def test_shuffled_wrappers_give_the_same(spark, small_dir, monkeypatch):
     monkeypatch.setattr(H, "BROADCAST_BYTES", 0)
     again = {r["page_id"]: r["text"] for r in H.extract_pages(pages.repartition(7)).collect()}
     assert first == again
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>", "<div>x</b>", "<a \">\" ", "<a href='x ", "<script ", "<script>", "<!-- ", "<p><b>", "<b><ul></ul>",
+                                  "</div", "<!", "<li><i>", "<x1><y1></x1>", "< ", "<a class='menu", "class=\"<p class=\"", "<h1>t</h1><p>x</p><ul></ul><ol></ol><hr>"])
+def test_a_page_of_one_megabyte_takes_time_in_proportion(unit):
+    import time
+    page = "<article><p>start</p></article>" + unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    text = H.extract(page, None)
+    assert time.process_time() - began < 20
+    assert text.split("\n")[0].startswith("start")
+
+
+def test_many_kinds_of_elements():
+    import time
+    page = "".join(f"<x{i}>t{i}</x{i}>" for i in range(20_000))
+    began = time.process_time()
+    a, b = H.fold(H.parse(page)), H.fold(H.parse(page + "<p>more</p>"))
+    H.align(a, b)
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<p>a<p>b", "a\nb"), ("<p>a <b>b<div>c</div>", "a b\nc"), ("<div>a</b>b</div>c", "ab\nc"), ("<ul><li>a<li>b</ul>", "a\nb"),
+    ("a < b", "a < b"), ("a <b", "a <b"), ("x <!-- never ends", "x"), ("x<!-- y -->z", "xz"), ("<p>a</p><script>var x = '<p>';</script><p>b</p>", "a\nb"),
+    ("<p title='a > b'>c</p>", "c"), ("<p title='a>b</p><p>c</p>", "b\nc"), ("<script>x", ""), ("<p>a</p><style>y", "a"), ("<br/>a<br>b", "a\nb"),
+    ("<p>k &lt;b&gt; &amp; l</p>", "k <b> & l"), ("</>a", "a"), ("<p>a<script/>b</p>", "ab")])
+def test_broken_markup(page, text):
+    assert "\n".join(H.blocks(H.parse(page), frozenset())) == text
