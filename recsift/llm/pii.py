@@ -6,15 +6,15 @@ checks; they are always reported.  Further spans come from candidate boosting:
 1. every generator (the base patterns without their checks, and wider formats such as
    local phone numbers, identity numbers, account numbers and spelled-out addresses)
    proposes spans, which may overlap;
-2. distinct candidates (kind, value and context; copies count once) are labelled by strict
-   checks per kind.  Of a sample of at most ``SAMPLE``, dealt to the kinds as evenly as their
+2. a candidate that passes the strict check of its kind is always reported: that depends on its text
+   alone, never on other rows;
+3. the trees add others.  Distinct candidates (kind, value and context; copies count once) are labelled by the
+   strict checks.  Of a sample of at most ``SAMPLE``, dealt to the kinds as evenly as their
    numbers allow and inside a kind by the smallest hash, one half fits gradient-boosted trees
    on format features (lengths, digits, separators, check digits) and context features
-   (words and characters around the span);
-3. all distinct candidates of the table that the trees have not been fitted on set one
-   threshold per kind: the lowest score above which ``PRECISION`` of at least ``SUPPORT``
-   candidates are right.  A kind without such a score adds nothing.  A kind with fewer than
-   ``SUPPORT`` such candidates is too rare for a threshold: its strict check decides;
+   (words and characters around the span).  All distinct candidates of the table that the trees have not been
+   fitted on set one threshold per kind: the lowest score above which ``PRECISION`` of at least ``SUPPORT``
+   candidates are right.  A kind without such a score, or with fewer candidates, adds nothing more;
 4. the trees become one SQL expression that scores all candidates of all rows in place.
 
 The sample bounds the fitting alone; candidates, thresholds, scores and spans cover every
@@ -22,7 +22,7 @@ row.  Main path: DataFrame and ML functions on the JVM only, no shuffle of texts
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned each on
 their own; a null doc_id stays null; extra columns are ignored; without candidates of
-both labels no trees are fitted and the strict check of each kind decides; an empty table
+both labels no trees are fitted and strict checks alone decide; an empty table
 gives an empty result.
 """
 
@@ -103,6 +103,13 @@ def _luhn(value: Column) -> Column:
     return let(_digits(value), lambda d: F.when(F.length(d) > 0, (total(d) % 10 == 0).cast("int")).otherwise(0))
 
 
+def _remainder(value: Column) -> Column:
+    """The account-number check: first four signs moved to the end, letters as 10 to 35, modulo 97."""
+    signs = let(F.replace(value, F.lit(" ")), lambda v: F.split(F.concat(F.substring(v, 5, 99), F.left(v, F.lit(4))), ""))
+    return F.aggregate(signs, F.lit(0), lambda a, x: F.when(x == "", a).when(
+        x.between("0", "9"), (a * 10 + F.ascii(x) - 48) % 97).otherwise((a * 100 + F.ascii(x) - 55) % 97))
+
+
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -123,7 +130,8 @@ def strict_check(c: Column) -> Column:
             .when(c["n"] == KIND["spelled_email"], like(r"[A-Za-z]{2,}$"))
             .when(c["n"] == KIND["local_phone"], like(r"^\(?[2-9][0-9]{2}\)?[ .-][2-9]"))
             .when(c["n"] == KIND["ssn"], ~like(r"^(000|666|9)|-00-|-0000$"))
-            .when(c["n"] == KIND["iban"], F.length(F.replace(v, F.lit(" "))).between(15, 34))
+            .when(c["n"] == KIND["iban"], F.length(F.replace(v, F.lit(" "))).between(15, 34) & (_remainder(v) == 1))
+            .when(c["n"] == KIND["number"], F.length(v).between(13, 19) & (_luhn(v) == 1) & F.regexp_like(c["before"], F.lit(ANNOUNCE)))
             .when(c["n"] == KIND["mac"], ~like(r"^(00:){5}00$"))
             .otherwise(base_check(c)))
 
@@ -179,8 +187,7 @@ def _quotas(counts: dict[int, int]) -> dict[int, int]:
 
 
 def fit(found: DataFrame):
-    """(score function, {kind number: threshold}, rare kinds) from the ``c`` candidates of ``found``;
-    without both labels (None, {}, all kinds)."""
+    """(score function, {kind number: threshold}) from the ``c`` candidates of ``found``; without both labels (None, {})."""
     once = materialize(found.select("c.n", "c.value", "c.before", "c.after").distinct()
                        .withColumn("h", F.xxhash64("value", "before", "after", "n")), "pii-distinct")
     counts = {r["n"]: r["count"] for r in once.groupBy("n").count().collect()}
@@ -199,22 +206,20 @@ def fit(found: DataFrame):
     train = materialize(rows(once.filter(fitting)).select("label", *[F.col("x")[i].alias(f) for i, f in enumerate(names)]),
                         "pii-sample")
     if train.agg(F.countDistinct("label")).first()[0] < 2:
-        return None, {}, set(range(len(GENERATORS)))
+        return None, {}
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(
         VectorAssembler(inputCols=names, outputCol="features").transform(train).select("features", "label"))
     score = score_expression(model)
     bins = rows(once.filter(~fitting)).select("n", "label", F.floor(let(F.col("x"), score) * 100).cast("int").alias("bin")) \
         .groupBy("n", "bin").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("all")).collect()
-    thresholds, rare = {}, set()
+    thresholds = {}
     for n in range(len(GENERATORS)):
         right = total = 0
         for b in sorted((b for b in bins if b["n"] == n), key=lambda b: -b["bin"]):
             right, total = right + b["right"], total + b["all"]
             if total >= SUPPORT and right >= PRECISION * total:
                 thresholds[n] = b["bin"] / 100
-        if total < SUPPORT:
-            rare.add(n)
-    return score, thresholds, rare
+    return score, thresholds
 
 
 def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -222,13 +227,11 @@ def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     each by kind as listed and then by start."""
     wide = docs.select(*keep, candidates(F.coalesce(F.col(text), F.lit(""))).alias("cands"))
     wide = materialize(wide, "pii-candidates")
-    score, thresholds, rare = fit(wide.select(F.explode("cands").alias("c")))
+    score, thresholds = fit(wide.select(F.explode("cands").alias("c")))
 
     def scored(c):
         base = base_check(c)
-        chosen = base
-        if rare:
-            chosen = chosen | (c["n"].isin(*sorted(rare)) & strict_check(c))
+        chosen = base | strict_check(c)
         if score is None or not thresholds:
             return F.struct(c.alias("c"), base.alias("base"), F.lit(None).cast("double").alias("score"), chosen.alias("chosen"))
         least = F.element_at(F.array(*[F.lit(thresholds.get(n, 2.0)) for n in range(len(GENERATORS))]), c["n"] + 1)
