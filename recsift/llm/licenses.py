@@ -1,8 +1,8 @@
 """Licence scans: an exact set-similarity join of text blocks against licence templates.
 
-A text is cut into blocks, windows of ``2 * STRIDE`` words that start every
-``STRIDE`` words, so that each run of up to ``STRIDE`` words stands whole in one
-block.  A block meets a template when it holds at least ``threshold`` of the
+A text is cut into blocks, windows of two strides of words that start every
+stride, so that each run of up to a stride of words stands whole in one
+block.  A template's stride is the least power of two, ``STRIDE`` or more, that holds its words.  A block meets a template when it holds at least ``threshold`` of the
 template's distinct words.  All such pairs are found, none is guessed:
 
 - the words of all templates are ordered by document frequency over the whole
@@ -52,6 +52,10 @@ class Template:
     def words(self) -> list[str]:
         return self.text.split()
 
+    @property
+    def stride(self) -> int:
+        return max(STRIDE, 1 << (len(self.words) - 1).bit_length())
+
 
 PHRASES = (
     Template("mit", "mit license", 1.0, True),
@@ -76,7 +80,17 @@ NOTICES = (
     Template("mpl", "subject to the terms of the mozilla public license"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", 0.9),
 )
-TEMPLATES = PHRASES + NOTICES
+#: sentences from the bodies of common licences
+BODIES = (
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    Template("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+             "basis without warranties or conditions of any kind either express or implied"),
+    Template("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but "
+             "not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    Template("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+             "merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+)
+TEMPLATES = PHRASES + NOTICES + BODIES
 
 
 def document_frequency(texts: DataFrame, words: Column, vocabulary: list[str]) -> dict[str, int]:
@@ -100,14 +114,14 @@ def _template_column(templates, order: list[str]) -> Column:
     return F.array(*rows)
 
 
-def _blocks(words: Column, order: Column) -> Column:
+def _blocks(words: Column, order: Column, stride: int) -> Column:
     """array<struct<first, stop, words, tokens>>: ``tokens`` are the block's template words,
     rarest first; ``first`` to ``stop`` are the places that this block reports."""
     n = F.size(words)
-    last = F.greatest(F.ceil(n / F.lit(STRIDE)).cast("int") - 2, F.lit(0))
+    last = F.greatest(F.ceil(n / F.lit(stride)).cast("int") - 2, F.lit(0))
     return F.transform(F.sequence(F.lit(0), last), lambda b: let(
-        F.slice(words, b * STRIDE + 1, 2 * STRIDE), lambda own: F.struct(
-            (b * STRIDE).alias("first"), F.when(b == last, n).otherwise((b + 1) * STRIDE).alias("stop"),
+        F.slice(words, b * stride + 1, 2 * stride), lambda own: F.struct(
+            (b * stride).alias("first"), F.when(b == last, n).otherwise((b + 1) * stride).alias("stop"),
             F.array_intersect(order, own).alias("tokens"))))
 
 
@@ -144,7 +158,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     vocabulary = sorted({w for t in templates for w in t.words})
     df = document_frequency(docs, words, vocabulary)
     order = sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
-    table = _template_column(templates, order)
+    tables = {k: _template_column([t for t in templates if t.stride == k], order) for k in sorted({t.stride for t in templates})}
     rank = {w: i for i, w in enumerate(order)}
     prefixes = set()
     for t in templates:
@@ -152,7 +166,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         prefixes.update(tokens[: len(tokens) - math.ceil(t.threshold * len(tokens) - 1e-9) + 1])
 
     def matches(w):
-        def of_block(b):
+        def of_block(b, table):
             pairs = F.transform(F.filter(table, lambda t: _candidate(t, b)), lambda t: F.struct(
                 t["label"].alias("label"), b["first"].alias("first"), b["stop"].alias("stop"),
                 F.size(F.array_intersect(t["tokens"], b["tokens"])).alias("overlap"), t["need"].alias("need"),
@@ -160,7 +174,11 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                 _phrase_places(w, t, b).alias("places")))
             return F.filter(pairs, lambda m: (m["overlap"] >= m["need"]) & (
                 (m["phrase_words"] == 0) | (F.size(m["places"]) > 0)))
-        found = F.flatten(F.transform(let(F.array(*map(F.lit, order)), lambda o: _blocks(w, o)), of_block))
+        def of_stride(stride, table):
+            blocks = let(F.array(*map(F.lit, order)), lambda o: _blocks(w, o, stride))
+            return F.flatten(F.transform(blocks, lambda b: of_block(b, table)))
+
+        found = F.concat(*[of_stride(k, t) for k, t in tables.items()])
         hit = F.arrays_overlap(w, F.array(*map(F.lit, sorted(prefixes))))
         return F.struct(F.size(w).cast("long").alias("words"),
                         F.when(hit, found).otherwise(F.array().cast(MATCHES)).alias("matches"))
@@ -198,17 +216,18 @@ QUERIES = {"op1_license_scan": op1_license_scan}
 
 def _oracle() -> str:
     """Every block against every template, without the filters."""
-    values = ",\n".join(f"('{t.label}', {t.words!r}, {t.threshold}, {t.phrase})" for t in TEMPLATES)
+    values = ",\n".join(f"('{t.label}', {t.words!r}, {t.threshold}, {t.phrase}, {t.stride})" for t in TEMPLATES)
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-d AS (SELECT *, len(w) AS n, greatest(1, ceil(len(w) / {STRIDE}.0)::BIGINT - 1) AS nb FROM t),
-tpl(label, words, threshold, phrase) AS (VALUES {values}),
-pairs AS (SELECT rid, label, phrase, words, w, threshold, list_distinct(words) AS tokens, b * {STRIDE} AS first,
-                 CASE WHEN b = nb - 1 THEN n ELSE (b + 1) * {STRIDE} END AS stop
-          FROM (SELECT *, unnest(range(0, nb)) AS b FROM d), tpl),
-m AS (SELECT rid, label, phrase, len(tokens) AS size, len(list_intersect(tokens, list_slice(w, first + 1, first + {2 * STRIDE}))) AS overlap,
+d AS (SELECT *, len(w) AS n FROM t),
+tpl(label, words, threshold, phrase, stride) AS (VALUES {values}),
+cuts AS (SELECT *, greatest(1, ceil(n / stride::DOUBLE)::BIGINT - 1) AS nb FROM d, (SELECT DISTINCT stride FROM tpl)),
+pairs AS (SELECT rid, label, phrase, words, w, threshold, b.stride, list_distinct(words) AS tokens, b * b.stride AS first,
+                 CASE WHEN b = nb - 1 THEN n ELSE (b + 1) * b.stride END AS stop
+          FROM (SELECT *, unnest(range(0, nb)) AS b FROM cuts) b JOIN tpl ON tpl.stride = b.stride),
+m AS (SELECT rid, label, phrase, len(tokens) AS size, len(list_intersect(tokens, list_slice(w, first + 1, first + 2 * stride))) AS overlap,
              CASE WHEN phrase THEN list_filter(range(first, stop), lambda p: list_slice(w, p + 1, p + len(words)) = words)
                   ELSE []::BIGINT[] END AS places, threshold
       FROM pairs),

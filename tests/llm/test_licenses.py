@@ -18,10 +18,10 @@ def brute(text):
             if w[p:p + k] == t.words:
                 places.append(p), base.add(t.label), labels.add(t.label)
                 score = 1.0
-    starts = range(0, max(1, math.ceil(len(w) / L.STRIDE) - 1) * L.STRIDE, L.STRIDE)
-    for b in starts:
-        own = set(w[b:b + 2 * L.STRIDE])
-        for t in L.NOTICES:
+    for t in L.NOTICES + L.BODIES:
+        k = 32 if len(t.words) <= 32 else 64
+        for b in range(0, max(1, math.ceil(len(w) / k) - 1) * k, k):
+            own = set(w[b:b + 2 * k])
             c = len(own & set(t.words)) / len(set(t.words))
             if c >= t.threshold - 1e-12:
                 labels.add(t.label)
@@ -62,3 +62,14 @@ def test_edge_rows(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert L.op1_license_scan(spark, str(tmp_path)).count() == 0
+
+
+def test_long_templates_are_found_wherever_they_stand(spark):
+    body = " ".join(f"t{i}" for i in range(60))
+    longer = " ".join(f"u{i}" for i in range(300))
+    templates = (L.Template("sixty", body), L.Template("long", longer), L.Template("short", "one two three", 1.0))
+    texts = [" ".join(["x"] * k + t.split() + ["y"] * 100) for k in (0, 1, 31, 33, 64, 100, 500) for t in (body, longer, "one two three")]
+    texts.append(" ".join(longer.split()[:200]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: {m["label"] for m in r["matches"]} for r in L.scan(df, templates=templates).collect()}
+    assert got == {i: {("sixty", "long", "short")[i % 3]} if i < 21 else set() for i in range(22)}
