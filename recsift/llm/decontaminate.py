@@ -2,7 +2,8 @@
 
 A document is contaminated by a benchmark item when some stretch of its words is within
 ``MAX_EDIT`` of the item in word edit distance (insertions, deletions and replacements,
-divided by the item's words).  Words are runs of letters and digits, lower-cased.
+divided by the item's words).  Words are runs of letters and digits, lower-cased; in scripts without
+spaces between words every character is one.
 
 1. Windows.  Every word of every document begins a window of the size of each item
    length class.  An edit changes two pairs of neighbouring words at most, so a window
@@ -22,8 +23,10 @@ The benchmark is the small side: it is taken in slices of at most ``SLICE_WORDS`
 one pass over the documents per slice, so that a slice's tables fit every task.  Documents
 are not shuffled; texts are handled in batches of about ``BATCH_WORDS`` words.
 
-Defined cases: null and empty texts match nothing; items with fewer than ``MIN_WORDS``
-words (null and empty ones too) are left out, as they stand in clean texts by chance;
+5. Items with fewer than ``MIN_WORDS`` words stand in clean texts by chance.  They are found word for
+   word and marked ``short``; ``clean`` drops a document for them only where it is nothing but the item.
+
+Defined cases: null and empty texts match nothing; neither do items without words (null and empty ones too);
 repeated documents are reported once per row, repeated items once per item_id; a null
 doc_id stays null, a null item_id is reported as null; extra columns pass through
 ``clean``; an empty documents or benchmark table gives no findings.
@@ -38,6 +41,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recsift.sources.tables import read_table
 
@@ -51,13 +55,17 @@ CLASS_STEP = 1.15
 PAIR_SPARE, PAIR_BITS = 6, 24
 #: windows embedded at once, and words handled at once (a longer text is taken alone)
 CHUNK, BATCH_WORDS = 1024, 1_000_000
-WORD = re.compile(r"[^\W_]+")
+#: scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana and Han characters
+_SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD, SPACELESS = re.compile(r"[^\W_]+"), re.compile(f"[{_SPACELESS}]")
+MIXED = re.compile(rf"[{_SPACELESS}]|(?:(?![{_SPACELESS}])[^\W_])+")
 HITS = "array<struct<item_id:long,start_word:int,edits:int,item_words:int>>"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    return (MIXED if SPACELESS.search(low) else WORD).findall(low)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,6 +74,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _chain(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` words from each place on."""
+    h = np.zeros(len(codes) - n + 1, np.uint64)
+    for j in range(n):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[j:len(codes) - n + 1 + j])
+    return h
+
+
 def allowed(n: int) -> int:
     return int(MAX_EDIT * n + 1e-9)
 
@@ -130,9 +146,14 @@ class Index:
     """Word codes and hash tables of one slice of items."""
 
     def __init__(self, items: list[tuple[int, list[str]]], seed: int = 17):
+        short = [(i, w) for i, w in items if 0 < len(w) < MIN_WORDS]
         self.items = [(i, w) for i, w in items if len(w) >= MIN_WORDS]
-        self.codes = {x: xxhash.xxh3_64_intdigest(x.encode()) | 1 for x in {x for _, w in self.items for x in w}}
+        self.codes = {x: xxhash.xxh3_64_intdigest(x.encode()) | 1 for x in {x for _, w in self.items + short for x in w}}
+        self.short: dict[int, dict[tuple, list]] = {}  # by number of words: the items with these words
+        for i, w in short:
+            self.short.setdefault(len(w), {}).setdefault(tuple(self.codes[x] for x in w), []).append(i)
         self.coded = [np.array([self.codes[x] for x in w], np.uint64) for _, w in self.items]
+        self.short_keys = {n: np.array(sorted(int(_chain(np.array(w, np.uint64), n)[0]) for w in of), np.uint64) for n, of in self.short.items()}
         # pairs of neighbouring words, by hash; a false mark only lets a window through
         bits = max(16, min(PAIR_BITS, sum(map(len, self.coded)).bit_length() + PAIR_SPARE))
         self.pairs, self.shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
@@ -208,9 +229,24 @@ class Index:
             name = self.items[item][0]
             if best and (name not in out[doc] or best < out[doc][name]):
                 out[doc][name] = best
+        for name, doc, best in self._find_short(codes, firsts, sizes):
+            if name not in out[doc] or best < out[doc][name]:
+                out[doc][name] = best
         return [sorted(((i, start, edits, n) for i, (edits, start, n) in o.items()),
                        key=lambda h: (h[0] is None, h[0] or 0, h[1:])) for o in out]
 
+    def _find_short(self, codes: np.ndarray, firsts: np.ndarray, sizes: np.ndarray):
+        """(item_id, text, (0, first word, words)) of the first place of every short item in every text."""
+        for n, items in self.short.items():
+            if len(codes) < n:
+                continue
+            at = np.flatnonzero(np.isin(_chain(codes, n), self.short_keys[n]))
+            doc = np.searchsorted(firsts, at, "right") - 1
+            for p, d in zip(at.tolist(), doc.tolist(), strict=True):
+                if p - firsts[d] + n <= sizes[d]:
+                    for i in items.get(tuple(codes[p:p + n].tolist()), ()):
+                        yield i, d, (0, int(p - firsts[d]), n)
+
     def _verify(self, item: int, codes: np.ndarray, places: list[int]):
         coded = self.coded[item]
         n, most = len(coded), allowed(len(coded))
@@ -242,6 +278,16 @@ def hits_column(index: Index):
     return of
 
 
+def leaks_column(index: Index):
+    """Whether a document holds an item, or is nothing but a short one."""
+    @F.pandas_udf(T.BooleanType())
+    def of(texts: pd.Series) -> pd.Series:
+        found = index.find(texts)
+        return pd.Series([any(n >= MIN_WORDS or len(words_of(t)) == n for _, _, _, n in hits) for t, hits in zip(texts, found, strict=True)],
+                         dtype=bool)
+    return of
+
+
 def slices(benchmark: DataFrame) -> list[Index]:
     """Indexes of the benchmark, ``SLICE_WORDS`` words at most in each (a single item may have more)."""
     total = benchmark.agg(F.coalesce(F.sum(F.size(F.split(F.coalesce(F.col("text"), F.lit("")), " "))), F.lit(0))).first()[0]
@@ -250,13 +296,13 @@ def slices(benchmark: DataFrame) -> list[Index]:
     for p in range(parts):
         rows = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).select(F.col("item_id").cast("long"), "text").collect()
         index = Index(sorted(((r["item_id"], words_of(r["text"])) for r in rows), key=repr))
-        if index.items:
+        if index.items or index.short:
             out.append(index)
     return out
 
 
 def findings(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, item_id, start_word, edits and item_words of every item found in a row of ``docs``."""
+    """``keep`` columns, item_id, start_word, edits, item_words and short of every item found in a row of ``docs``."""
     out = None
     for index in slices(benchmark):
         one = docs.select(*keep, F.explode(hits_column(index)(F.col("text"))).alias("_h")).select(*keep, "_h.*")
@@ -264,14 +310,14 @@ def findings(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("do
     if out is None:
         none = F.explode(F.array().cast(HITS)).alias("_h")
         out = docs.select(*keep, none).select(*keep, "_h.*")
-    return out
+    return out.withColumn("short", F.col("item_words") < MIN_WORDS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
     out = docs
     for index in slices(benchmark):
-        out = out.filter(F.size(hits_column(index)(F.col("text"))) == 0)
+        out = out.filter(~leaks_column(index)(F.col("text")))
     return out
 
 

@@ -103,3 +103,15 @@ def test_edge_rows(spark, monkeypatch):
     monkeypatch.setattr(D, "SLICE_WORDS", 12)
     again = [(r["doc_id"], r["item_id"], r["edits"]) for r in D.findings(docs, bench).collect()]
     assert sorted(again, key=repr) == sorted(got, key=repr)
+
+
+def test_short_items_are_found_whole_and_marked(spark):
+    bench = spark.createDataFrame([(1, "What now?"), (2, "Paris"), (3, "日本の首都は東京です"), (4, "one two three four"), (5, ""), (6, "what NOW")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(10, "so what now then, what now"), (11, "what is now"), (12, "what now"), (13, "PARIS!"), (14, "in paris we met"),
+                                  (15, "問題: 日本の首都は東京です。"), (16, "日本の首都は大阪"), (17, "one two three"), (18, "two one two three four"),
+                                  (19, None), (20, "what"), (21, "now")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["short"]) for r in D.findings(docs, bench).collect()}
+    assert got == {(10, 1): (1, True), (10, 6): (1, True), (12, 1): (0, True), (12, 6): (0, True), (13, 2): (0, True), (14, 2): (1, True),
+                   (15, 3): (2, False), (18, 4): (1, True)}
+    assert {r["doc_id"] for r in D.clean(docs, bench).collect()} == {10, 11, 14, 16, 17, 18, 19, 20, 21}
