@@ -40,13 +40,14 @@ OVERFULL = 2.0
 MAX_ROUNDS = 12
 
 
-def keys(docs: DataFrame) -> DataFrame:
-    """Narrow records: doc_id, size, text_crc32 and the three parts of the key."""
+def keys(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """Narrow records: doc_id, size, text_crc32 and the three parts of the key (the last from column ``number``, if given)."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    third = F.col(f"`{number}`") if number else F.monotonically_increasing_id()
     return materialize(docs.select(
         F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k1"),
-        F.xxhash64(F.lit("id"), "doc_id").alias("k2")).withColumn("k3", F.monotonically_increasing_id()), "shard-keys")
+        F.xxhash64(F.lit("id"), F.col("doc_id").cast("long")).alias("k2"), third.alias("k3")), "shard-keys")
 
 
 def _sample(records: DataFrame, rate_per_byte: float) -> np.ndarray:
@@ -123,9 +124,9 @@ def splitters(records: DataFrame) -> tuple[np.ndarray, list]:
     return bounds, _measure(records, bounds)
 
 
-def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, number: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (its place in the shard) of every row."""
-    records = keys(docs)
+    records = keys(docs, number)
     bounds, measured = splitters(records)
     spark = docs.sparkSession
     total = sum(b for _, b, _ in measured)
@@ -155,15 +156,18 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write the rows of ``docs`` under ``path/_shard=N``, cut at the keys where ``assign`` changes shard."""
-    a = assign(docs, shards)
-    cuts = [tuple(c["k"]) for c in a.groupBy("shard").agg(F.min(F.struct("k1", "k2")).alias("k")).orderBy("shard").collect()]
+    """Write the rows of ``docs`` under ``path/_shard=N``, cut at the keys where ``assign`` changes shard.  The rows are
+    numbered and written once before, so a cut inside a group of equal rows splits it where ``assign`` does."""
+    number = "_shard_row"
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "shard-rows")
+    a = assign(rows, shards, number)
+    cuts = [(c["shard"], *c["k"]) for c in a.groupBy("shard").agg(F.min(F.struct("k1", "k2", "k3")).alias("k")).orderBy("shard").collect()]
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("id"), F.col("doc_id").cast("long")).alias("k2"))
-    shard = F.lit(0)
-    for c in cuts[1:]:
-        shard = shard + (key >= F.struct(F.lit(c[0]).cast("long"), F.lit(c[1]).cast("long"))).cast("int")
-    docs.withColumn("_shard", shard).write.partitionBy("_shard").parquet(path)
+    key = F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("id"), F.col("doc_id").cast("long")).alias("k2"), F.col(number).alias("k3"))
+    shard = F.lit(cuts[0][0] if cuts else 0)
+    for n, *c in cuts[1:]:
+        shard = F.when(key >= F.struct(*[F.lit(x).cast("long").alias(f"k{i + 1}") for i, x in enumerate(c)]), F.lit(n)).otherwise(shard)
+    rows.withColumn("_shard", shard.cast("int")).drop(number).write.partitionBy("_shard").parquet(path)
 
 
 def op2_shard_documents(spark, sf_dir):

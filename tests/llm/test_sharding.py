@@ -57,3 +57,12 @@ def test_written_shards_hold_the_assigned_rows(spark, small_dir, tmp_path):
     S.write_shards(docs, str(tmp_path / "out"))
     wrote = {r["doc_id"]: r["_shard"] for r in spark.read.parquet(str(tmp_path / "out")).select("doc_id", "_shard").collect()}
     assert wrote == {r["doc_id"]: r["shard"] for r in S.assign(docs).collect()}
+
+
+def test_written_shards_of_equal_rows_are_those_of_assign(spark, tmp_path):
+    """A cut inside a group of equal rows: the shards written have as many rows as assign gives them."""
+    docs = spark.createDataFrame([(1, "the same text")] * 4000 + [(2, "other"), (3, None)], "doc_id long, text string").repartition(5)
+    S.write_shards(docs, str(tmp_path / "out"))
+    wrote = {r["_shard"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("_shard").count().collect()}
+    assert wrote == {r["shard"]: r["count"] for r in S.assign(docs).groupBy("shard").count().collect()}
+    assert len(wrote) == 8 and max(wrote.values()) - min(wrote.values()) <= 3
