@@ -12,6 +12,7 @@ from recsift.operators import ann
 from recsift.operators import graph as GR
 from recsift.operators import lists as L
 from recsift.operators import pq as PQ
+from recsift.operators import registry as RG
 from recsift.operators import retrieval as R
 from recsift.operators import text as TX
 from recsift.plans import catalog_vectors  # noqa: F401  (session views)
@@ -322,20 +323,20 @@ def vector_store_write(spark, d):
                        r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("sum_x"))
 
 
-@query("run_registry")
+@query("run_registry", """
+    SELECT 'popularity' AS name, v.version::BIGINT AS version, v.version = 2 AS is_active, 5::BIGINT AS n_metrics
+    FROM (VALUES (1), (2), (3)) v(version)""")
 def run_registry(spark, d):
-    """Model runs with metrics; (name, version) unique, one active version per
-    name (the latest).  Two runs: the popular and the recent-popular list models."""
+    """Runs of two list models and a repeated one are appended to a stored registry with their metrics, versions 1 and
+    2 are activated in turn, and the registry is reopened and read."""
     from recsift.operators import evaluation as EV
     c = Context(spark, d)
-    rows = []
-    for version, (name, recs) in enumerate((("popularity", c.pop_recs), ("popularity", c.recent_recs)), 1):
-        m = EV.evaluate_all(recs, c.truth, (10,)).filter(F.col("k") == 10)
-        metrics = m.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
-        rows.append(metrics.select(F.lit(name).alias("name"), F.lit(version).alias("version"),
-                                   F.to_json("metrics").alias("metrics")))
-    runs = rows[0].unionByName(rows[1]).withColumn("created_at", F.lit(c.as_of).cast("timestamp"))
-    latest = L.upsert_latest(runs, runs.limit(0), ["name", "version"], "created_at")
-    top = latest.groupBy("name").agg(F.max("version").alias("_v"))
-    return (latest.join(top, "name").withColumn("is_active", F.col("version") == F.col("_v"))
-                  .select("name", "version", "metrics", "is_active"))
+    root = scratch_path(spark, "registry")
+    reg = RG.Registry(spark, root)
+    for recs in (c.pop_recs, c.recent_recs, c.pop_recs):
+        m = EV.evaluate_all(recs, c.truth, (10,)).filter((F.col("k") == 10) & F.col("metric").isin("precision", "recall", "ndcg", "mrr", "map"))
+        reg.register("popularity", {r["metric"]: r["value"] for r in m.collect()}, str(c.as_of))  # one row a metric
+    reg.activate("popularity", 1, str(c.as_of))
+    reg.activate("popularity", 2, str(c.as_of))
+    return RG.Registry(spark, root).runs().select("name", "version", "is_active",
+                                                  F.size(F.json_object_keys("metrics")).cast("long").alias("n_metrics"))
