@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recsift.functions import vectors as V
 from recsift.operators import ann
 from recsift.operators import graph as GR
+from recsift.operators import index_store as IS
 from recsift.operators import lists as L
 from recsift.operators import pq as PQ
 from recsift.operators import registry as RG
@@ -180,6 +181,35 @@ def index_append_stream(spark, d):
     return items0.rows().select("item_id", "cell")
 
 
+@query("index_maintained", with_views("""
+    SELECT (SELECT count(*) FROM uvec)::BIGINT AS n_items, (SELECT count(*) FROM uvec)::BIGINT AS newest, true AS recall_within_002""", "uvec"))
+def index_maintained(spark, d):
+    """An index of a third of the vectors takes the others, and newer vectors of the first third, from a stream in six
+    batches and is maintained; items, items with their newest vector, and recall beside a fresh index."""
+    c = Context(spark, d)
+    at = lambda h: (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp") + F.make_interval(hours=h))
+    first = F.col("item_id") % 3 == 0
+    # the first third starts with vectors turned round, which later ones replace
+    start = c.vectors.filter(first).select("item_id", F.transform("v", lambda x: -x).alias("v"), at(F.lit(0)).alias("ts"))
+    later = c.vectors.select("item_id", "v", at(1 + F.col("item_id") % 48).alias("ts"))
+    store = IS.IndexStore(spark, scratch_path(spark, "index-store"))
+    store.create(start)
+    root, schema = replay_files(later, "ts", REPLAY_CHUNKS, "replay-index")
+    q = (read_replay(spark, root, schema).writeStream.foreachBatch(lambda rows, n: store.append(rows, f"stream-{n}"))
+         .option("checkpointLocation", scratch_path(spark, "index-ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    store.maintain()
+    items = materialize(store.items(), "index-items")
+    newest = items.join(c.unit_vectors.select("item_id", F.col("v").alias("u")), "item_id").filter(V.dot("v", "u") > 0.999).count()
+    ask = c.unit_vectors.filter(F.col("item_id") % 5 == 0).select(F.col("item_id").alias("qid"), "v")
+    exact = materialize(R.knn(ask, c.vectors, KNN_K, "cosine"), "index-exact")
+    index = store.index()
+    share = max(1, index.nlist // 2)
+    fresh = ann.build_ivf(c.vectors, index.nlist)
+    mine, other = (ann.recall_at_k(ann.search_ivf(ask, i, KNN_K, min(share, i.nlist)), exact).first()["recall"] for i in (index, fresh))
+    return spark.createDataFrame([(items.count(), newest, mine >= other - 0.02)], "n_items long, newest long, recall_within_002 boolean")
+
+
 # ---------------------------------------------------------------- approximate search
 
 
