@@ -1,5 +1,8 @@
 """Operators of a training-data pipeline over the tables documents, pages, benchmark and labels."""
 
+import ctypes
+import gc
+
 from recsift.session import ensure_checkpoint_dir
 
 #: rows of one Arrow batch; whole texts may be long, and a worker holds a few copies of a batch
@@ -13,3 +16,12 @@ def bounded_batches(spark) -> None:
     ensure_checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def release_memory() -> None:
+    """Hand a worker's freed memory back to the system, where the C library can; workers outlive their stages."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -46,7 +46,7 @@ STATE_CONF = {
     _STORE + "rocksdb.allowFAllocate": "false",
     _STORE + "rocksdb.changelogCheckpointing.enabled": "true",
     _STORE + "rocksdb.boundedMemoryUsage": "true",
-    _STORE + "rocksdb.maxMemoryUsageMB": "256",
+    _STORE + "rocksdb.maxMemoryUsageMB": "64",
     _STORE + "unloadOnCommit": "true",  # closed after each batch, so later stages have their memory
 }
 #: arrival files per micro-batch, and the least number of micro-batches

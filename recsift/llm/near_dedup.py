@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recsift.llm import release_memory
 from recsift.llm.components import components
 from recsift.session import materialize
 from recsift.sources.tables import read_table
@@ -83,6 +84,11 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def _forget() -> None:
+    _HASHES.clear()
+    release_memory()
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -156,7 +162,7 @@ def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             out.append((hashlib.blake2b(b" ".join(words), digest_size=16).digest(), len(s), band_keys(sig),
                         sig.astype(np.uint8).tobytes()))
         yield pd.DataFrame(out, columns=["words", "n", "bands", "sig"])
-    _HASHES.clear()  # workers live on for other stages
+    _forget()
 
 
 @F.pandas_udf(T.BinaryType())
@@ -238,6 +244,7 @@ def _linked_blocks(batches):
             held.append(g)
     if held:
         yield _block_links(held)
+    release_memory()
 
 
 def _block_links(rows: list[pd.DataFrame]) -> pd.DataFrame:
@@ -296,7 +303,7 @@ def own_shingles(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
             own = hashlib.blake2b(b" ".join(words), digest_size=16).digest() == d
             out.append((own, shingle_set(words).tobytes() if own else b""))
         yield pd.DataFrame(out, columns=["own", "shingles"])
-    _HASHES.clear()
+    _forget()
 
 
 def _sets(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -334,7 +341,7 @@ def _verify(batches):
             elif key == (center, part) and linked(mine, shingle_set(words)):
                 u.append(cid), v.append(center)
         yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
-    _HASHES.clear()
+    _forget()
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -39,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recsift.llm import release_memory
 from recsift.sources.tables import read_table
 
 WINDOW, END = 4096, 2
@@ -291,7 +292,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False,
         if stream.size:
             yield stream.settle(True)
         if not keep_cache:
+            stream = None
             enc._clear()
+            release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInPandas(packed, PIECES + (", ids array<long>" if with_ids else ""))
