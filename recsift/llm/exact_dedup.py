@@ -1,23 +1,28 @@
-"""Exact deduplication as a stateful stream over content digests.
+"""Exact deduplication as stateful streams over content digests.
 
 Texts are equal when identical after lower-casing A-Z.  Of equal texts the row with
 the largest doc_id stays.
 
-1. ``arrivals`` hashes every text (SHA-256 of the lower-cased UTF-8 bytes) and, in
-   one aggregate on (digest, bytes of the text), compares the full bytes of all rows
-   with the same digest.  Equal rows combine in each input task before the shuffle, so
-   a text that a third of all rows share costs one row per task.  Each distinct text
-   leaves one narrow record: key, largest doc_id, row count, locator.
-2. ``dedup_stream`` runs the records through a stream whose keyed state lives in
-   RocksDB and never expires: per key the stable identifier (largest doc_id so far),
-   the locator of its content and the number of rows seen.  The checkpoint in the
-   shared folder makes it restartable; a later stream over new arrivals goes on from
-   the same state, so a corpus is deduplicated as it grows.
-3. Rows join their key's final state by digest.  No text takes part.
-
-A key is the digest.  Where the byte comparison finds two different texts under one
-digest, both get the digest and their own text as key (``arrivals`` counts such
-digests; with SHA-256 there are none, and the tests use a weak digest to have some).
+1. ``store_content`` hashes every text (SHA-256 of the lower-cased UTF-8 bytes) and writes
+   the arrivals of a call to the content store: digest, largest doc_id, row count, bytes and
+   a locator (number of the call and place in it).  Equal rows combine inside an input task,
+   in a buffer of bounded bytes; all other copies are met by the state.
+2. ``claims``: a stream over the store whose keyed state (RocksDB, no expiry) keeps, per
+   digest, the locator of the first content that had it.  An arrival that is not the first
+   is a hit, whether its predecessor came in this call or in an earlier one.
+3. ``differing`` reads the bytes of each hit and of the content that the state names, by
+   their locators, and compares them.  Equal bytes confirm the key.  Differing bytes send
+   the arrival on to the digest's next key (``digest#1``, ``digest#2``, ...), where it claims
+   or hits again: as in a hash table with probing, no digest has to be trusted.
+4. ``members``: a second stream whose state keeps, per confirmed key, the stable identifier
+   (largest doc_id so far), the locator of its content and the number of rows seen.
+5. Rows join their key's state by digest; where a digest has several keys, by the bytes too.
+
+All of it lives under one ``state_path`` in the shared folder: ``content``, ``probes``,
+``confirmed`` and the streams' checkpoints.  A later call on the same path goes on from the
+state, so a corpus is deduplicated as it grows; arrivals that a failed call left in the
+content store are taken up by the next call and need not be handed in again.  One call
+at a time may use a path (a second one fails on the existing folder of its number).
 
 Defined cases: null texts count as empty, and empty texts are equal to each other;
 repeated rows (same id, same text) count each in ``group_size`` and are all marked
@@ -31,9 +36,11 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recsift.operators.ordering import bounded_broadcast
 from recsift.session import materialize, scratch_path
 from recsift.sources.tables import read_table
 
@@ -49,24 +56,20 @@ STATE_CONF = {
     _STORE + "rocksdb.maxMemoryUsageMB": "64",
     _STORE + "unloadOnCommit": "true",  # closed after each batch, so later stages have their memory
 }
-#: arrival files per micro-batch, and the least number of micro-batches
+#: micro-batches of a call, at least
 BATCHES = 2
-STATE_SCHEMA = "key string, keep_id long, locator long, group_size long, batch long"
+#: bytes of texts that a task holds to combine equal rows before it writes them
+HELD_BYTES = 16 << 20
+ARRIVAL = "digest string, norm binary, doc_id long, n long"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CONTENT = ARRIVAL + ", locator string"
+PROBE = "key string, digest string, doc_id long, n long, locator string"
 
 
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def digest_column(digest=sha256):
-    """Digest of the lower-cased text, and the lower-cased text itself."""
-    @F.pandas_udf("digest string, norm string")
-    def normalised(texts: pd.Series) -> pd.DataFrame:
-        low = [(t or "").encode().lower() for t in texts]
-        return pd.DataFrame({"digest": [digest(x) for x in low], "norm": [x.decode() for x in low]})
-    return normalised
-
-
 def digest_only(digest=sha256):
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
@@ -74,87 +77,167 @@ def digest_only(digest=sha256):
     return of
 
 
-def arrivals(docs: DataFrame, digest=sha256) -> tuple[DataFrame, DataFrame]:
-    """(records, collided): one record per distinct text, written to the shared folder, and
-    the digests that stand for more than one text with their texts (empty unless the digest fails)."""
-    both = docs.select(F.col("doc_id").cast("long"), digest_column(digest)(F.col("text")).alias("d"))
-    distinct = both.groupBy("d.digest", "d.norm").agg(
-        F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-    # the length and checksums of the text tell the texts of one digest apart without carrying them
-    records = materialize(distinct.select(
-        "digest", F.octet_length("norm").cast("long").alias("bytes"), F.sha2(F.col("norm").cast("binary"), 512).alias("check"),
-        "doc_id", "n", F.monotonically_increasing_id().alias("locator")), "dedup-arrivals")
-    collided = records.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
-    return records, collided
+def _combined(digest):
+    """Arrivals of a task: one row per text held in the buffer."""
+    def rows(held):
+        return pa.RecordBatch.from_arrays([
+            pa.array([digest(x) for x in held], pa.string()), pa.array(list(held), pa.binary()),
+            pa.array([i for i, _ in held.values()], pa.int64()), pa.array([n for _, n in held.values()], pa.int64())],
+            names=["digest", "norm", "doc_id", "n"])
+
+    def run(batches):
+        held, size = {}, 0
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                norm = (text or "").encode().lower()
+                best, n = held.get(norm, (None, 0))
+                size += 0 if n else len(norm) + 200
+                held[norm] = (i if best is None else best if i is None else max(best, i), n + 1)
+                if size > HELD_BYTES:
+                    yield rows(held)
+                    held, size = {}, 0
+        if held:
+            yield rows(held)
+    return run
+
+
+def _folder(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
+
+
+def _next_call(spark, state_path: str) -> int:
+    fs, p = _folder(spark, f"{state_path}/content")
+    return len(fs.listStatus(p)) if fs.exists(p) else 0
+
 
+def _read(spark, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path) if _exists(spark, path) \
+        else spark.createDataFrame([], schema)
 
-def dedup_stream(records_path: str, state_path: str, spark, schema) -> DataFrame:
-    """Run all records not yet seen by the state at ``state_path`` through the keyed state;
+
+def store_content(docs: DataFrame, state_path: str, digest=sha256) -> int:
+    """Write the arrivals of a call to the content store; returns the call's number."""
+    call = _next_call(docs.sparkSession, state_path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+        .mapInArrow(_combined(digest), ARRIVAL)
+    rows.withColumn("locator", F.format_string("%08d:%020d", F.lit(call), F.monotonically_increasing_id())) \
+        .write.parquet(f"{state_path}/content/call={call:08d}")
+    return call
+
+
+def keyed_state(spark, source: str, schema: str, key, aggregates: dict, state_path: str, name: str) -> DataFrame:
+    """Run what is new under ``source`` through the stream ``name`` and its keyed state;
     returns the state of every key as of now."""
-    out, checkpoint = f"{state_path}/keys", f"{state_path}/checkpoint"
+    out = f"{state_path}/{name}"
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", _files_per_batch(spark, records_path)) \
-            .parquet(records_path)
-        state = stream.groupBy("key").agg(
-            F.max("doc_id").alias("keep_id"), F.max_by("locator", "doc_id").alias("locator"),
-            F.sum("n").alias("group_size"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true") \
+            .option("maxFilesPerTrigger", _files_per_batch(spark, source)).parquet(source)
+        state = stream.groupBy(key.alias("key")).agg(*[c.alias(n) for n, c in aggregates.items()])
+        columns = state.schema
 
         def write(batch: DataFrame, batch_id: int) -> None:
             # one folder per batch: a repeated batch writes the same rows over its own
             batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
         query = state.writeStream.outputMode("update").foreachBatch(write) \
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            .option("checkpointLocation", f"{state_path}/{name}-checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    rows = spark.read.schema(STATE_SCHEMA).option("recursiveFileLookup", "true").parquet(out) \
-        if _exists(spark, out) else spark.createDataFrame([], STATE_SCHEMA)
-    # the state of a key only grows; its last update is the current one
-    latest = F.max_by(F.struct("keep_id", "locator", "group_size"), "batch")
-    return rows.groupBy("key").agg(latest.alias("s")).select("key", "s.keep_id", "s.locator", "s.group_size")
-
-
-def _exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
+    # the last update of a key is its state
+    latest = F.max_by(F.struct(*aggregates), "batch")
+    return _read(spark, out, ddl + ", batch long").groupBy("key").agg(latest.alias("s")).select("key", "s.*")
 
 
 def _files_per_batch(spark, path: str) -> int:
-    return max(1, -(-len(spark.read.parquet(path).inputFiles()) // BATCHES))
-
-
-def _keys(records: DataFrame, collided: DataFrame):
-    """Records with their key: the digest, and for a collided digest also which text."""
-    own = F.concat_ws(":", "digest", F.col("bytes").cast("string"), "check")
-    return records.join(collided.withColumn("_c", F.lit(True)), "digest", "left").withColumn(
-        "key", F.when(F.col("_c"), own).otherwise(F.col("digest"))).drop("_c")
+    fs, p = _folder(spark, path)
+    last = max((x.getPath().toString() for x in fs.listStatus(p)))
+    return max(1, -(-len([x for x in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(last))
+                          if x.getPath().getName().endswith(".parquet")]) // BATCHES))
+
+
+def claims(spark, source: str, schema: str, key, state_path: str, name: str) -> DataFrame:
+    """(key, holder): the locator of the first content of every key.  Locators grow with the
+    calls, so a claim never changes hands after its call."""
+    return keyed_state(spark, source, schema, key, {"holder": F.min("locator")}, state_path, name)
+
+
+def members(spark, source: str, state_path: str) -> DataFrame:
+    """(key, keep_id, locator, group_size) of every confirmed key."""
+    return keyed_state(spark, source, PROBE, F.col("key"), {
+        "keep_id": F.max("doc_id"), "locator": F.min("locator"), "group_size": F.sum("n")}, state_path, "members")
+
+
+def differing(content: DataFrame, hits: DataFrame) -> DataFrame:
+    """Locators of the hits whose bytes are not those of their key's holder.
+
+    Only contents that take part in a hit are shuffled; hashes of their locators preselect them."""
+    part = hits.select("locator").union(hits.select("holder")).select(F.xxhash64("locator").alias("_h")).distinct()
+    part = bounded_broadcast(materialize(part, "dedup-hit-places"))
+    texts = materialize(content.select("locator", "norm", F.xxhash64("locator").alias("_h"))
+                        .join(part, "_h", "left_semi").drop("_h"), "dedup-hit-texts")
+    found = texts.select("locator", F.col("norm").alias("found"))
+    held = texts.select(F.col("locator").alias("holder"), F.col("norm").alias("held"))
+    return hits.join(found, "locator").join(held, "holder").filter(F.col("found") != F.col("held")).select("locator")
+
+
+def confirm(spark, state_path: str, call: int) -> None:
+    """Give every arrival of the call its key, confirmed by the bytes, in ``confirmed``."""
+    content = _read(spark, f"{state_path}/content", CONTENT)
+    open_rows = content.filter(F.col("locator") >= f"{call:08d}:").select(
+        F.col("digest").alias("key"), "digest", "doc_id", "n", "locator")
+    holders = claims(spark, f"{state_path}/content", CONTENT, F.col("digest"), state_path, "claims")
+    step = 0
+    while True:
+        met = open_rows.join(holders, "key")
+        hits = materialize(met.filter("locator <> holder").select("locator", "holder"), "dedup-hits")
+        apart = materialize(differing(content, hits), "dedup-apart")
+        done = f"{state_path}/confirmed/call={call:08d}-{step:04d}"
+        if apart.isEmpty():
+            open_rows.write.parquet(done)
+            return
+        open_rows.join(apart, "locator", "left_anti").select(*open_rows.columns).write.parquet(done)
+        step += 1
+        probes = f"{state_path}/probes/call={call:08d}-{step:04d}"
+        open_rows.join(apart, "locator", "left_semi").withColumn(
+            "key", F.concat("digest", F.lit(f"#{step}"))).select(*open_rows.columns).write.parquet(probes)
+        open_rows = spark.read.schema(PROBE).parquet(probes)
+        holders = claims(spark, f"{state_path}/probes", PROBE, F.col("key"), state_path, "probe-claims")
 
 
 def groups(docs: DataFrame, digest=sha256, state_path: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, key."""
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, key.  With a
+    ``state_path`` of earlier calls, groups reach over all of them."""
     spark = docs.sparkSession
     state_path = state_path or scratch_path(spark, "dedup-state")
-    records, collided = arrivals(docs, digest)
-    has_collisions = not collided.isEmpty()
-    keyed = _keys(records, collided) if has_collisions else records.withColumn("key", F.col("digest"))
-    path = scratch_path(spark, "dedup-stream")
-    slim = keyed.select("key", "doc_id", "n", "locator")
-    slim.write.parquet(path)
+    confirm(spark, state_path, store_content(docs, state_path, digest))
     # written before the join: adaptive execution splits a hot key only between plain shuffles
-    state = materialize(dedup_stream(path, state_path, spark, slim.schema), "dedup-groups")
-    if has_collisions:
-        both = docs.select("doc_id", digest_column(digest)(F.col("text")).alias("d"))
-        rows = both.select("doc_id", "d.digest", F.octet_length("d.norm").cast("long").alias("bytes"),
-                           F.sha2(F.col("d.norm").cast("binary"), 512).alias("check"))
-        rows = _keys(rows, collided).select("doc_id", "digest", "key")
+    state = materialize(members(spark, f"{state_path}/confirmed", state_path), "dedup-groups")
+    rows = docs.select("doc_id", F.col("text"), digest_only(digest)(F.col("text")).alias("digest"))
+    if _exists(spark, f"{state_path}/probes"):
+        # each key's own bytes tell which key of its digest a row has
+        keyed = _read(spark, f"{state_path}/confirmed", PROBE).select("key", "digest", "locator")
+        several = keyed.filter("key <> digest").select("digest").distinct()
+        places = keyed.join(several, "digest", "left_semi").groupBy("key", "digest").agg(F.min("locator").alias("locator"))
+        texts = _read(spark, f"{state_path}/content", CONTENT).select("locator", "norm")
+        own = places.join(texts, "locator").select("digest", "norm", F.col("key").alias("_key"))
+        low = F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()).cast("binary")
+        rows = rows.withColumn("norm", low).join(own, ["digest", "norm"], "left").withColumn(
+            "key", F.coalesce("_key", "digest"))
     else:
-        rows = docs.select("doc_id", digest_only(digest)(F.col("text")).alias("digest")).withColumn("key", F.col("digest"))
-    return rows.join(state, "key").select(
+        rows = rows.withColumn("key", F.col("digest"))
+    return rows.select("doc_id", "digest", "key").join(state, "key").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"), "key")
 

@@ -57,15 +57,40 @@ def test_weak_digest_is_caught_by_the_bytes(spark):
     assert out == {1: (6, 3), 2: (5, 2), 3: (6, 3), 4: (4, 1), 5: (5, 2), 6: (6, 3)}
 
 
-def test_state_goes_on_over_streams(spark, tmp_path):
-    state, inbox = str(tmp_path / "state"), str(tmp_path / "in")
-    schema = "key string, doc_id long, n long, locator long"
-    for rows in ([("a", 1, 1, 10), ("b", 2, 1, 11)], [("a", 3, 2, 12), ("c", 4, 1, 13)], [("a", 2, 1, 14)]):
-        df = spark.createDataFrame(rows, schema)
-        df.write.mode("append").parquet(inbox)
-        out = {r["key"]: (r["keep_id"], r["locator"], r["group_size"])
-               for r in D.dedup_stream(inbox, state, spark, df.schema).collect()}
-    assert out == {"a": (3, 12, 4), "b": (2, 11, 1), "c": (4, 13, 1)}
+def test_calls_on_one_state_compare_bytes(spark, tmp_path):
+    """Texts of one length share the weak digest; over two calls each keeps to its own bytes."""
+    state, weak = str(tmp_path / "state"), lambda b: str(len(b))
+    calls = [[(1, "ab"), (2, "CD"), (3, "xyz")], [(9, "cd"), (4, "ef"), (5, "AB"), (None, "ef"), (8, "XYZ"), (10, "q")]]
+    seen = []
+    for rows in calls:
+        seen += rows
+        out = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in D.groups(table(spark, rows), weak, state).collect()}
+        want = {(i, k, n) for i, k, n, _, _ in brute(seen) if any(i == j for j, _ in rows)}
+        assert out == want
+
+
+def test_state_names_the_content(spark, tmp_path):
+    """The locator of a key leads to its bytes, and hits of later calls go to the first content."""
+    state = str(tmp_path / "state")
+    D.groups(table(spark, ROWS), state_path=state).count()
+    D.groups(table(spark, [(500, "HOT"), (501, "new")]), state_path=state).count()
+    content = {r["locator"]: r for r in D._read(spark, f"{state}/content", D.CONTENT).collect()}
+    found = D._read(spark, f"{state}/members", "key string, keep_id long, locator string, group_size long, batch long").collect()
+    assert all(content[r["locator"]]["digest"] == r["key"] for r in found)
+    hot = hashlib.sha256(b"hot").hexdigest()
+    last = max((r for r in found if r["key"] == hot), key=lambda r: r["batch"])
+    assert (last["keep_id"], last["group_size"]) == (500, 61) and last["locator"].startswith("00000000:")
+
+
+def test_hits_are_read_by_their_locators(spark):
+    content = spark.createDataFrame([("a", b"x"), ("b", b"x"), ("c", b"y"), ("d", b"z")], "locator string, norm binary")
+    hits = spark.createDataFrame([("b", "a"), ("c", "a")], "locator string, holder string")
+    assert [r["locator"] for r in D.differing(content, hits).collect()] == ["c"]
+
+
+def test_buffer_of_a_task_may_overflow(spark, monkeypatch):
+    monkeypatch.setattr(D, "HELD_BYTES", 300)
+    assert got(D.groups(table(spark, ROWS))) == brute(ROWS)
 
 
 def test_empty_table(spark):
