@@ -545,4 +545,5 @@ def training_examples(spark, d):
     negs = SP.negatives_mixed(c.train, c.items, n=N_NEG, ratio=0.3, seed=42)
     feats = FT.item_features(c.items, None, c.as_of)
     out = SP.training_examples(c.train, negs, feats)
-    return out.select("user_id", "item_id", "weight", F.size("negatives").alias("n_negatives"))
+    return out.select("user_id", "item_id", "weight", F.to_json("pos_features").alias("pos_features"),
+                      F.size("negatives").alias("n_negatives"), F.to_json("negatives").alias("negatives"))

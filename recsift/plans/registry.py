@@ -17,7 +17,7 @@ def _load():
     import importlib
     for mod in ("recsift.plans.catalog_vectors", "recsift.plans.catalog_lists",
                 "recsift.plans.catalog_models", "recsift.plans.catalog_streams",
-                "recsift.plans.catalog_io"):
+                "recsift.plans.catalog_io", "recsift.plans.catalog_stored"):
         importlib.import_module(mod)
     _MODULES_LOADED = True
 
