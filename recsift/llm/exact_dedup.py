@@ -11,7 +11,7 @@ the largest doc_id stays.
    digest, the locator of the first content that had it.  An arrival that is not the first
    is a hit, whether its predecessor came in this call or in an earlier one.
 3. ``differing`` reads the bytes of each hit and of the content that the state names, by
-   their locators, and compares them.  Equal bytes confirm the key.  Differing bytes send
+   their locators, and compares them all.  Equal bytes confirm the key.  Differing bytes send
    the arrival on to the digest's next key (``digest#1``, ``digest#2``, ...), where it claims
    or hits again: as in a hash table with probing, no digest has to be trusted.
 4. ``members``: a second stream whose state keeps, per confirmed key, the stable identifier
@@ -127,7 +127,7 @@ def store_content(docs: DataFrame, state_path: str, digest=sha256) -> int:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(_combined(digest), ARRIVAL)
     rows.withColumn("locator", F.format_string("%08d:%020d", F.lit(call), F.monotonically_increasing_id())) \
-        .write.parquet(f"{state_path}/content/call={call:08d}")
+        .write.option("compression", "zstd").parquet(f"{state_path}/content/call={call:08d}")
     return call
 
 
@@ -179,32 +179,40 @@ def members(spark, source: str, state_path: str) -> DataFrame:
         "keep_id": F.max("doc_id"), "locator": F.min("locator"), "group_size": F.sum("n")}, state_path, "members")
 
 
-def differing(content: DataFrame, hits: DataFrame) -> DataFrame:
-    """Locators of the hits whose bytes are not those of their key's holder.
+def differing(texts: DataFrame, hits: DataFrame) -> DataFrame | None:
+    """Locators of the hits (key, locator, holder) whose bytes are not those of their key's
+    holder, None without any.  ``texts`` has (key, locator, norm).
 
-    Only contents that take part in a hit are shuffled; hashes of their locators preselect them."""
-    part = hits.select("locator").union(hits.select("holder")).select(F.xxhash64("locator").alias("_h")).distinct()
-    part = bounded_broadcast(materialize(part, "dedup-hit-places"))
-    texts = materialize(content.select("locator", "norm", F.xxhash64("locator").alias("_h"))
-                        .join(part, "_h", "left_semi").drop("_h"), "dedup-hit-texts")
-    found = texts.select("locator", F.col("norm").alias("found"))
-    held = texts.select(F.col("locator").alias("holder"), F.col("norm").alias("held"))
-    return hits.join(found, "locator").join(held, "holder").filter(F.col("found") != F.col("held")).select("locator")
+    The contents of a key's hits and of its holder are grouped by their bytes, equal ones
+    combining before the shuffle; no others are shuffled, as hashes of the locators preselect
+    them.  Keys with one group are confirmed; only others are compared hit by hit."""
+    places = hits.select("locator").union(hits.select("holder")).select(F.xxhash64("locator").alias("_h")).distinct()
+    places = bounded_broadcast(materialize(places, "dedup-hit-places"))
+    part = texts.withColumn("_h", F.xxhash64("locator")).join(places, "_h", "left_semi").drop("_h")
+    same = part.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("n"))
+    torn = materialize(same.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "dedup-torn")
+    if torn.isEmpty():
+        return None
+    part = materialize(part.join(torn, "key", "left_semi"), "dedup-torn-texts")
+    found = part.select("key", "locator", F.col("norm").alias("found"))
+    held = part.select("key", F.col("locator").alias("holder"), F.col("norm").alias("held"))
+    out = hits.join(found, ["key", "locator"]).join(held, ["key", "holder"]).filter(F.col("found") != F.col("held"))
+    return materialize(out.select("locator"), "dedup-apart")
 
 
 def confirm(spark, state_path: str, call: int) -> None:
     """Give every arrival of the call its key, confirmed by the bytes, in ``confirmed``."""
     content = _read(spark, f"{state_path}/content", CONTENT)
+    texts = content.select(F.col("digest").alias("key"), "locator", "norm")
     open_rows = content.filter(F.col("locator") >= f"{call:08d}:").select(
         F.col("digest").alias("key"), "digest", "doc_id", "n", "locator")
     holders = claims(spark, f"{state_path}/content", CONTENT, F.col("digest"), state_path, "claims")
     step = 0
     while True:
-        met = open_rows.join(holders, "key")
-        hits = materialize(met.filter("locator <> holder").select("locator", "holder"), "dedup-hits")
-        apart = materialize(differing(content, hits), "dedup-apart")
+        hits = materialize(open_rows.join(holders, "key").filter("locator <> holder").select("key", "locator", "holder"), "dedup-hits")
+        apart = differing(texts, hits)
         done = f"{state_path}/confirmed/call={call:08d}-{step:04d}"
-        if apart.isEmpty():
+        if apart is None:
             open_rows.write.parquet(done)
             return
         open_rows.join(apart, "locator", "left_anti").select(*open_rows.columns).write.parquet(done)
@@ -213,6 +221,8 @@ def confirm(spark, state_path: str, call: int) -> None:
         open_rows.join(apart, "locator", "left_semi").withColumn(
             "key", F.concat("digest", F.lit(f"#{step}"))).select(*open_rows.columns).write.parquet(probes)
         open_rows = spark.read.schema(PROBE).parquet(probes)
+        probed = _read(spark, f"{state_path}/probes", PROBE).select("key", "locator")
+        texts = content.select("locator", "norm").join(probed, "locator")
         holders = claims(spark, f"{state_path}/probes", PROBE, F.col("key"), state_path, "probe-claims")
 
 

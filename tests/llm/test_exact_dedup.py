@@ -83,9 +83,11 @@ def test_state_names_the_content(spark, tmp_path):
 
 
 def test_hits_are_read_by_their_locators(spark):
-    content = spark.createDataFrame([("a", b"x"), ("b", b"x"), ("c", b"y"), ("d", b"z")], "locator string, norm binary")
-    hits = spark.createDataFrame([("b", "a"), ("c", "a")], "locator string, holder string")
-    assert [r["locator"] for r in D.differing(content, hits).collect()] == ["c"]
+    texts = spark.createDataFrame([("k", "a", b"x"), ("k", "b", b"x"), ("k", "c", b"y"), ("k", "d", b"z"), ("m", "e", b"q"), ("m", "f", b"q")],
+                                  "key string, locator string, norm binary")
+    hits = spark.createDataFrame([("k", "b", "a"), ("k", "c", "a"), ("m", "f", "e")], "key string, locator string, holder string")
+    assert [r["locator"] for r in D.differing(texts, hits).collect()] == ["c"]
+    assert D.differing(texts, hits.filter("locator <> 'c'")) is None
 
 
 def test_buffer_of_a_task_may_overflow(spark, monkeypatch):
