@@ -130,3 +130,18 @@ def test_calibrated_probes_reach_the_target(spark):
     assert 1 < n < idx.nlist
     exact = R.knn(q, idf, 5, "cosine")
     assert ann.recall_at_k(ann.search_ivf(q, idx, 5, nprobe=n, i_block=7, q_block=16), exact).first()["recall"] >= 0.9
+
+
+def test_best_of_rows_with_ties_and_excluded():
+    key = np.array([[0.5, 0.9, 0.9 + 4e-10, 0.1, 0.5], [-np.inf, -np.inf, 2.0, -np.inf, 1.0]])
+    rows, cols = R._best(key, 3)
+    # 0.9 and 0.9 + 4e-10 are one score after rounding: the smaller column first; -inf is never taken
+    assert list(zip(rows, cols)) == [(0, 1), (0, 2), (0, 0), (1, 2), (1, 4)]
+
+
+def test_vectors_are_not_joined_with_exclusions(spark):
+    q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "qid long, v array<double>")
+    it = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(30)], "item_id long, v array<double>")
+    ex = spark.createDataFrame([(i, j) for i in range(20) for j in range(i)], "qid long, item_id long")
+    plan = R.knn(q, it, 3, "dot", exclusions=ex)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan  # exclusions reach the blocks as rows of their own
