@@ -8,8 +8,9 @@ positive, the best rows of other labels whose scores lie in a window below the p
    isometry on vectors padded to a power of two) give one sign each coordinate.  The signs,
    turned back, are a code vector; with y its direction, the row stores its alignment <y, a> and
    the residual sqrt(|a|^2 - <y, a>^2).
-2. Estimates: an anchor's rotated coordinates are rounded to ``PLANES`` bit planes.  <signs, anchor>
-   is a sum of popcounts of planes against signs; the l1 norm of the rounding bounds its error.
+2. Estimates: an anchor's rotated coordinates are rounded to levels of ``PLANES`` bits.  <signs, anchor>
+   is a sum of levels where the sign is up, one product of small matrices for a block; the l1 norm of
+   the rounding bounds its error.
 3. Intervals: <a, q> = <y, a> <y, q> + rest, and by Cauchy-Schwarz |rest| is at most the row's
    residual times sqrt(|q|^2 - <y, q>^2).  That holds always, not only with high probability.
 4. Filter: the most promising rows by estimate are scored exactly; the k-th best of them is a
@@ -139,15 +140,18 @@ class Rows:
     def __init__(self, pdf: pd.DataFrame):
         self.ids, self.labels = pdf["vec_id"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64)
         self.a = integers(pdf["a"])
-        self.bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
+        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1)
+        # sums of levels stay below 2^24 for vectors of up to 2^15 dimensions
+        self.up = np.unpackbits(bits, axis=1).astype(np.float32 if bits.shape[1] * 8 << PLANES <= 1 << 24 else np.float64)
+        self.ups = self.up.sum(axis=1, dtype=np.float64)
         self.size, self.along, self.rest = (pdf[c].to_numpy() for c in ("size", "along", "rest"))
         self.norm = np.sqrt(self.along ** 2 + self.rest ** 2)
+        self.real, self.largest = self.a.astype(np.float64), float(np.abs(self.a).max(initial=0))
 
     def scores(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        part = self.a[at]
-        if part.size and float(np.abs(part).max()) * float(np.abs(q).max()) * part.shape[1] < EXACT:
-            return (part.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-        return (part * q).sum(axis=1)
+        if self.largest * float(np.abs(q).max(initial=0)) * self.a.shape[1] < EXACT:
+            return (self.real[at] @ q.astype(np.float64)).astype(np.int64)
+        return (self.a[at] * q).sum(axis=1)
 
     def intervals(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(estimate, low, high) of the scores of all rows with each anchor."""
@@ -156,12 +160,8 @@ class Rows:
         least = -step * ((1 << PLANES) - 1) / 2
         level = np.clip(np.rint((r - least) / step), 0, (1 << PLANES) - 1).astype(np.uint8)
         slip = np.abs(r - (least + step * level)).sum(axis=1)[:, None]
-        ones = np.zeros((len(q), len(self.ids)))  # sum of the levels where the row's sign is up
-        for p in range(PLANES):
-            plane = np.packbits(level >> p & 1, axis=1).view(np.uint64)
-            for w in range(plane.shape[1]):
-                ones += np.bitwise_count(plane[:, w, None] & self.bits[None, :, w]) * float(1 << p)
-        ups = np.bitwise_count(self.bits).sum(axis=1, dtype=np.float64)[None, :]
+        ones = (level.astype(self.up.dtype) @ self.up.T).astype(np.float64)  # sum of the levels where the row's sign is up
+        ups = self.ups[None, :]
         # <signs, levels * step + least>: what is up counts twice, less the whole
         dot = step * (2 * ones - level.sum(axis=1, dtype=np.float64)[:, None]) + least * (2 * ups - r.shape[1])
         low, high = (dot - slip) / self.size, (dot + slip) / self.size  # of <y, q>
@@ -173,16 +173,17 @@ class Rows:
 
 
 def best(rows: Rows, q: np.ndarray, estimate, low, high, able: np.ndarray, floor, ceiling, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, scores) of the ``k`` best of the rows ``able`` with floor <= score <= ceiling; None: no limit."""
+    """(positions, scores) of the ``k`` best of the rows ``able`` with floor <= score <= ceiling; None: no limit.
+    ``estimate``, ``low`` and ``high`` are those of the rows ``able``."""
     if ceiling is not None:
-        able = able[(low[able] <= ceiling) & (high[able] >= floor)]
+        near = np.flatnonzero((low <= ceiling) & (high >= floor))
+        able, estimate, high = able[near], estimate[near], high[near]
     if len(able) > TRIED:
-        guess = estimate[able] if ceiling is None else np.where(estimate[able] <= ceiling, estimate[able], -np.inf)
-        first = able[np.argpartition(-guess, TRIED)[:TRIED]]
-        known = rows.scores(q, first)
+        guess = estimate if ceiling is None else np.where(estimate <= ceiling, estimate, -np.inf)
+        known = rows.scores(q, able[np.argpartition(-guess, TRIED)[:TRIED]])
         known = np.sort(known if ceiling is None else known[(known >= floor) & (known <= ceiling)])[::-1]
         if len(known) >= k:
-            able = able[high[able] >= known[k - 1]]
+            able = able[high >= known[k - 1]]
     score = rows.scores(q, able)
     if ceiling is not None:
         fits = (score >= floor) & (score <= ceiling)
@@ -227,7 +228,7 @@ def _positives(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             bounds = rows.intervals(a)
             for j, (anchor, label, key) in enumerate(zip(part["anchor_id"], part["anchor_label"], part["anchor_row"], strict=True)):
                 able = np.flatnonzero((rows.labels == label) & (rows.ids != anchor))
-                at, score = best(rows, a[j], *(b[j] for b in bounds), able, None, None, POSITIVES)
+                at, score = best(rows, a[j], *(b[j, able] for b in bounds), able, None, None, POSITIVES)
                 out += [(key, anchor, rows.ids[x], s) for x, s in zip(at, score, strict=True)]
     return pd.DataFrame(out, columns=["anchor_row", "anchor_id", "positive_id", "positive_score"])
 
@@ -243,12 +244,13 @@ def _negatives(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             for j, (anchor, label, key, ps) in enumerate(zip(part["anchor_id"], part["anchor_label"], part["anchor_row"], part["positives"],
                                                              strict=True)):
                 able = np.flatnonzero((rows.labels != label) & (rows.ids != anchor))
+                own = [b[j, able] for b in bounds]
                 seen = {}
                 for p in ps:
                     pid, score = int(p["positive_id"]), int(p["positive_score"])
                     if score not in seen:
                         # 100 s within LOW and HIGH times the positive's
-                        seen[score] = best(rows, a[j], *(b[j] for b in bounds), able, -(-LOW * score // 100), HIGH * score // 100, NEGATIVES)
+                        seen[score] = best(rows, a[j], *own, able, -(-LOW * score // 100), HIGH * score // 100, NEGATIVES)
                     out += [(key, anchor, pid, score, rows.ids[x], s) for x, s in zip(*seen[score], strict=True)]
     return pd.DataFrame(out, columns=["anchor_row", "anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"])
 

@@ -85,3 +85,32 @@ def test_intervals_hold_and_filter():
         assert (low <= true).all() and (true <= high).all()
         if dim == 64:
             assert np.median(high - low) < 0.6 * 65536  # of unit vectors: well within the range of -1 to 1
+
+
+def test_best_takes_the_bounds_of_its_own_rows():
+    """Rows become doubles once a block, and ``best`` reads only the bounds of the rows it was handed."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(-256, 256, (600, 24))
+    bits, size, along, rest = H.codes(a)
+    rows = H.Rows(pd.DataFrame({"vec_id": range(600), "label": np.arange(600) % 3, "a": [x.tobytes() for x in a],
+                                "bits": [b.tobytes() for b in bits], "size": size, "along": along, "rest": rest}))
+    assert rows.real.dtype == np.float64 and rows.largest == np.abs(a).max()
+    q = a[:5]
+    bounds = rows.intervals(q)
+    for j in range(len(q)):
+        able = np.flatnonzero(rows.labels == 1)
+        score = a[able] @ q[j]
+        for low, high in ((None, None), (0, 90_000), (-50_000, -10)):
+            fits = np.ones(len(able), bool) if high is None else (score >= low) & (score <= high)
+            want = sorted(zip(-score[fits], able[fits], strict=True))[:5]
+            at, found = H.best(rows, q[j], *(b[j, able] for b in bounds), able, low, high, 5)
+            assert list(zip(-found, at, strict=True)) == want
+
+
+def test_large_integers_are_summed_as_integers():
+    a = np.array([[1 << 40, 3], [1 << 40, -1]])
+    bits, size, along, rest = H.codes(a)
+    rows = H.Rows(pd.DataFrame({"vec_id": [1, 2], "label": 0, "a": [x.tobytes() for x in a], "bits": [b.tobytes() for b in bits],
+                                "size": size, "along": along, "rest": rest}))
+    q = np.array([1 << 20, 1])
+    assert rows.scores(q, np.array([0, 1])).tolist() == [(1 << 60) + 3, (1 << 60) - 1]
