@@ -59,6 +59,19 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+class _Numbers(dict):
+    """Numbers of chunks, counted up; a chunk without one gets the next and is kept in ``new``."""
+
+    def __init__(self, known: dict):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Encoder:
     """Ids of texts by cached chunks; which ids end a sentence."""
 
@@ -76,49 +89,45 @@ class Encoder:
 
     def _clear(self):
         # chunk 0 is empty, chunk 1 is the end of a document
-        self.index: dict = {"": 0, None: 1}
+        self.index = _Numbers({"": 0, None: 1})
         self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.count[1], self.flat[0], self.total = 1, END, 1
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], base: int) -> None:
+        """Keep the ids of chunks, which are numbered from ``base``."""
+        self.first, self.count = _grown(self.first, base + len(new)), _grown(self.count, base + len(new))
         # letters, or letters and one sign, in lower case: one or two pre-tokens, each ending in a word end
-        easy, parts, hard = [], [], []
-        for c in new:
-            if c.lower() != c:
-                hard.append(c)
-            elif c.isalpha():
-                easy.append(c)
-                parts.append(1)
-            elif c[-1] in SIGNS and c[:-1].isalpha():
+        easy, easy_at, parts, hard, hard_at = [], [], [], [], []
+        for n, c in enumerate(new, base):
+            if c.lower() == c and (c.isalpha() or c[-1] in SIGNS and c[:-1].isalpha()):
                 easy.append(c)
-                parts.append(2)
+                easy_at.append(n)
+                parts.append(1 if c[-1] not in SIGNS else 2)
             else:
                 hard.append(c)
+                hard_at.append(n)
         if easy:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(easy)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.word_ends[ids])[np.cumsum(parts) - 1] + 1
-            self._keep(easy, ids, np.diff(stops, prepend=0))
+            self._keep(easy_at, ids, np.diff(stops, prepend=0))
         if hard:
             encoded = self.tokenizer.encode(" ".join(hard), add_special_tokens=False)
             at = np.array([o[0] for o in encoded.offsets], np.int64)
             sizes = np.fromiter(map(len, hard), np.int64, len(hard)) + 1
             counts = np.bincount(np.searchsorted(np.cumsum(sizes), at, "right"), minlength=len(hard))
-            self._keep(hard, np.array(encoded.ids, np.uint32), counts)
+            self._keep(hard_at, np.array(encoded.ids, np.uint32), counts)
 
-    def _keep(self, chunks: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        n, m = len(self.index), len(chunks)
-        self.first, self.count = _grown(self.first, n + m), _grown(self.count, n + m)
+    def _keep(self, at: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
         self.flat = _grown(self.flat, self.total + len(ids))
-        self.first[n:n + m] = self.total + np.cumsum(counts) - counts
-        self.count[n:n + m] = counts
+        self.first[at] = self.total + np.cumsum(counts) - counts
+        self.count[at] = counts
         self.flat[self.total:self.total + len(ids)] = ids
-        self.index.update(zip(chunks, range(n, n + m), strict=True))
         self.total += len(ids)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text, the end included."""
-        if len(self.index) > CACHE:
+        if len(self.index) > CACHE or self.index.new:  # numbers without ids are left by a call that failed
             self._clear()
         chunks: list = []
         ends = []
@@ -126,10 +135,11 @@ class Encoder:
             chunks += _lowered(t or "").replace("\n", " ").split(" ")
             chunks.append(None)
             ends.append(len(chunks))
-        new = [c for c in dict.fromkeys(chunks) if c not in self.index]
-        if new:
-            self._learn(new)
+        base = len(self.index)
         code = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        if self.index.new:
+            self._learn(self.index.new, base)
+            self.index.new = []
         first, count = self.first[code], self.count[code]
         stop = np.cumsum(count)
         ids = self.flat[np.repeat(first - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
@@ -172,7 +182,9 @@ def cut_places(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     kinds[-1] = DOCUMENT_CUT
     gaps = np.diff(places, prepend=0)
     if (gaps > STEP).any():
-        extra = np.concatenate([np.arange(p - g + STEP, p, STEP) for p, g in zip(places[gaps > STEP], gaps[gaps > STEP], strict=True)])
+        times = (gaps - 1) // STEP
+        stop = np.cumsum(times)
+        extra = np.repeat(places - gaps - STEP * (stop - times), times) + STEP * np.arange(1, stop[-1] + 1)
         kinds = np.concatenate([kinds, np.full(len(extra), FORCED_CUT, np.int8)])
         places = np.concatenate([places, extra])
         order = np.argsort(places, kind="stable")
@@ -185,17 +197,15 @@ def best_cuts(places: list[int], kinds: list[int], whole: bool) -> list[int]:
     be an end; otherwise the best place of the last window is."""
     n = len(places)
     pos = [0, *places]
-    cost, source = [0] * (n + 1), [0] * (n + 1)
-    value = [0] * (n + 1)  # cost + pos, of the places in the queue
+    source, value = [0] * (n + 1), [0] * (n + 1)  # value: cost + pos
+    more = [WINDOW + p for p in PENALTY]
     queue, head = [0], 0
-    for j in range(1, n + 1):
-        p = pos[j]
+    for j, (p, kind) in enumerate(zip(places, kinds, strict=True), 1):
         while pos[queue[head]] < p - WINDOW:
             head += 1
         i = queue[head]
         source[j] = i
-        cost[j] = c = PENALTY[kinds[j - 1]] + value[i] + WINDOW - p
-        value[j] = v = c + p
+        value[j] = v = value[i] + more[kind]
         while len(queue) > head and value[queue[-1]] >= v:
             queue.pop()
         queue.append(j)
@@ -203,7 +213,7 @@ def best_cuts(places: list[int], kinds: list[int], whole: bool) -> list[int]:
     if not whole:
         low = pos[n] - WINDOW
         last = [k for k in range(n, 0, -1) if pos[k] > low]
-        j = min(last, key=lambda k: (cost[k], k))
+        j = min(last, key=lambda k: (value[k] - pos[k], k))
     out = []
     while j:
         out.append(pos[j])

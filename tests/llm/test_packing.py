@@ -105,3 +105,24 @@ def test_tail_parts():
         parts = P.tail_parts(n)
         assert sum(parts) == n and (len(parts) == 1 or all(x & (x - 1) == 0 for x in parts))
     assert P.tail_parts(2049) == [2048, 1] and P.tail_parts(4095) == [4095]
+
+
+def test_chunks_are_numbered_and_learned_in_one_pass(tokenizer, monkeypatch):
+    """Known chunks cost one lookup: only new ones reach ``_learn``, once each, in the order in which they come."""
+    enc, asked = P.Encoder(P.default_tokenizer()), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda new, base: (asked.append((list(new), base)), learn(new, base)))
+    texts = ["alpha beta. alpha 12-x", None, "beta. İx gamma"]
+    for _ in range(2):
+        got = [x.tolist() for x in enc.encode(texts)]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids + [P.END] for t in texts]
+    assert asked == [(["alpha", "beta.", "12-x", "İx", "gamma"], 2)]
+
+
+def test_a_failed_call_leaves_no_numbers_without_ids(tokenizer, monkeypatch):
+    enc = P.Encoder(P.default_tokenizer())
+    with monkeypatch.context() as m:
+        m.setattr(enc, "_learn", lambda new, base: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            enc.encode(["some words"])
+    assert enc.encode(["some words"])[0].tolist() == tokenizer.encode("some words", add_special_tokens=False).ids + [P.END]
