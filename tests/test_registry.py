@@ -65,3 +65,29 @@ def test_racing_writers(spark, tmp_path):
         t.join()
     out = rows(Registry(spark, root))
     assert not failed and [v for _, v, _, _ in out] == list(range(1, 9)) and [a for *_, a in out] == [False] * 7 + [True]
+
+
+def test_one_number_is_published_once(spark, tmp_path):
+    """Writers that publish the same numbers at the same time: one of them holds each number, whole; no draft stays."""
+    root, numbers, won = str(tmp_path / "log"), range(1, 41), {}
+    CommitLog(spark, root)
+    start = threading.Barrier(4)
+
+    def work(k):
+        log = CommitLog(spark, root)
+        for n in numbers:
+            start.wait()
+            try:
+                log.publish(n, {"kind": f"w{k}"})
+                won.setdefault(n, []).append(f"w{k}")
+            except Conflict:
+                pass
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    log = CommitLog(spark, root)
+    assert [(r["number"], [r["kind"]]) for r in log.read("kind string").orderBy("number").collect()] == [(n, won[n]) for n in numbers]
+    assert not list((tmp_path / "log" / "drafts").iterdir())
