@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from recsift.operators import ann
 from recsift.operators import retrieval as R
 from recsift.operators import split as SP
+from recsift.operators.ordering import bounded_broadcast
 from recsift.session import ROWS_PER_TASK, TASK_BYTES, size_shuffles
 
 PARTS, SIZE = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -80,3 +81,16 @@ def test_a_repeated_place_counts_as_in_a_join(spark):
     p = spark.createDataFrame([(1, 9, 0, 1.0, 5)], "user_id long, item_id long, slot long, weight double, idx long")
     assert sorted(r["s"] for r in R.pair_scores(p, u, v).collect()) == [2.0, 4.0]
     assert R.mean_vectors_by_block(p.select("user_id", "idx"), v).first()["v"] == [3.0, 0.5]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_sides_are_not_broadcast_by_file_size(spark, tmp_path):
+    """A file that compresses well is far below Spark's limit for broadcasts; what its rows weigh decides."""
+    spark.range(20_000).selectExpr("id", "array_repeat(0.5D, 64) AS v").coalesce(1).write.parquet(str(tmp_path / "side"))
+    side, keys = spark.read.parquet(str(tmp_path / "side")), spark.range(20_000)
+    assert "BroadcastHashJoin" in _plan(keys.join(bounded_broadcast(side), "id"))
+    out = keys.join(bounded_broadcast(side, max_bytes=1 << 20), "id")
+    assert "SortMergeJoin" in _plan(out) and "Broadcast" not in _plan(out) and out.count() == 20_000
