@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recsift.operators import ann
+from recsift.operators import evaluation as EV
 from recsift.operators import retrieval as R
 from recsift.operators import split as SP
 from recsift.operators.ordering import bounded_broadcast
@@ -94,3 +95,18 @@ def test_large_sides_are_not_broadcast_by_file_size(spark, tmp_path):
     assert "BroadcastHashJoin" in _plan(keys.join(bounded_broadcast(side), "id"))
     out = keys.join(bounded_broadcast(side, max_bytes=1 << 20), "id")
     assert "SortMergeJoin" in _plan(out) and "Broadcast" not in _plan(out) and out.count() == 20_000
+
+
+def test_lists_are_not_broadcast_to_their_vectors(spark, tmp_path):
+    """Lists of few items make small files of many rows: the vectors of those items travel, not the lists."""
+    spark.range(6_000).selectExpr("id AS user_id", "explode(sequence(1L, 5L)) AS item_id").coalesce(1).write.parquet(str(tmp_path / "recs"))
+    spark.range(1, 3_000).selectExpr("id AS item_id", "transform(sequence(1, 32), j -> sin(id * j)) AS v").coalesce(1) \
+        .write.parquet(str(tmp_path / "vectors"))
+    recs, vectors = spark.read.parquet(str(tmp_path / "recs")), spark.read.parquet(str(tmp_path / "vectors"))
+    out = EV.diversity_per_user(recs, vectors)
+    assert "BuildLeft" not in _plan(out)
+    u = np.sin(np.outer(np.arange(1, 6), np.arange(1, 33)))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = 1 - (u @ u.T)[np.triu_indices(5, 1)].mean()
+    low, high, n = out.selectExpr("min(diversity)", "max(diversity)", "count(*)").first()
+    assert n == 6_000 and abs(low - want) < 1e-12 and abs(high - want) < 1e-12
