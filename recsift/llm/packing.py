@@ -19,8 +19,8 @@ never shuffled; a partition's sequences depend on that partition alone, so a rep
 gives the same rows.  Sequence ids are the partition's number and a count.
 
 Tokenizing works by white-space chunks: pre-tokens never reach over white space, so the
-ids of a chunk do not depend on its neighbours.  New chunks of a batch are encoded together
-(words of letters by the fast call, their ids told apart by the ids that end words; others
+ids of a chunk do not depend on its neighbours.  Arrow splits a batch and finds its distinct
+chunks, each looked up once; new ones are encoded together (words of letters by the fast call, their ids told apart by the ids that end words; others
 by the offsets of their ids) and kept for later batches, in a bounded cache.
 
 Defined cases: null and empty texts have one token, the end; repeated rows are packed each
@@ -32,9 +32,12 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +49,11 @@ WINDOW, END = 4096, 2
 AT_SENTENCE, IN_SENTENCE = 4, 32
 #: places to cut inside a long sentence are this far apart
 STEP = 32
-#: windows held by a task; documents tokenized at a time; chunks in the cache
+#: windows held by a task; documents added to the stream at a time; chunks in the cache
 HELD, DOCS, CACHE = 64, 128, 1_000_000
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 SIGNS = frozenset(".,;:!?")
+PLAIN, SIGNED = "^[a-z]+[.,;:!?]?$", "[.,;:!?]$"
 DOCUMENT_CUT, SENTENCE_CUT, FORCED_CUT = 0, 1, 2
 PENALTY = (0, AT_SENTENCE, IN_SENTENCE)
 
@@ -59,19 +63,6 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-class _Numbers(dict):
-    """Numbers of chunks, counted up; a chunk without one gets the next and is kept in ``new``."""
-
-    def __init__(self, known: dict):
-        super().__init__(known)
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        self.new.append(chunk)
-        return n
-
-
 class Encoder:
     """Ids of texts by cached chunks; which ids end a sentence."""
 
@@ -89,7 +80,7 @@ class Encoder:
 
     def _clear(self):
         # chunk 0 is empty, chunk 1 is the end of a document
-        self.index = _Numbers({"": 0, None: 1})
+        self.index = {"": 0, None: 1}
         self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.count[1], self.flat[0], self.total = 1, END, 1
@@ -97,28 +88,26 @@ class Encoder:
     def _learn(self, new: list[str], base: int) -> None:
         """Keep the ids of chunks, which are numbered from ``base``."""
         self.first, self.count = _grown(self.first, base + len(new)), _grown(self.count, base + len(new))
-        # letters, or letters and one sign, in lower case: one or two pre-tokens, each ending in a word end
-        easy, easy_at, parts, hard, hard_at = [], [], [], [], []
-        for n, c in enumerate(new, base):
-            if c.lower() == c and (c.isalpha() or c[-1] in SIGNS and c[:-1].isalpha()):
-                easy.append(c)
-                easy_at.append(n)
-                parts.append(1 if c[-1] not in SIGNS else 2)
-            else:
-                hard.append(c)
-                hard_at.append(n)
-        if easy:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(easy)], add_special_tokens=False)[0].ids, np.uint32)
-            stops = np.flatnonzero(self.word_ends[ids])[np.cumsum(parts) - 1] + 1
-            self._keep(easy_at, ids, np.diff(stops, prepend=0))
-        if hard:
+        words, at = pa.array(new, pa.large_string()), np.arange(base, base + len(new))
+        signed = np.array(pc.match_substring_regex(words, SIGNED))
+        easy = np.array(pc.match_substring_regex(words, PLAIN))
+        for n in np.flatnonzero(~easy).tolist():
+            easy[n] = _letters(new[n])
+        if easy.any():
+            # one or two pre-tokens, each ending in a word end
+            text = " ".join(compress(new, easy.tolist()))
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.word_ends[ids])[np.cumsum(1 + signed[easy]) - 1] + 1
+            self._keep(at[easy], ids, np.diff(stops, prepend=0))
+        if not easy.all():
+            hard = list(compress(new, (~easy).tolist()))
             encoded = self.tokenizer.encode(" ".join(hard), add_special_tokens=False)
-            at = np.array([o[0] for o in encoded.offsets], np.int64)
+            starts = np.array([o[0] for o in encoded.offsets], np.int64)
             sizes = np.fromiter(map(len, hard), np.int64, len(hard)) + 1
-            counts = np.bincount(np.searchsorted(np.cumsum(sizes), at, "right"), minlength=len(hard))
-            self._keep(hard_at, np.array(encoded.ids, np.uint32), counts)
+            counts = np.bincount(np.searchsorted(np.cumsum(sizes), starts, "right"), minlength=len(hard))
+            self._keep(at[~easy], np.array(encoded.ids, np.uint32), counts)
 
-    def _keep(self, at: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+    def _keep(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         self.flat = _grown(self.flat, self.total + len(ids))
         self.first[at] = self.total + np.cumsum(counts) - counts
         self.count[at] = counts
@@ -127,23 +116,37 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text, the end included."""
-        if len(self.index) > CACHE or self.index.new:  # numbers without ids are left by a call that failed
+        ids, stops = self.ids(*self.numbers(texts))
+        return np.split(ids, stops[:-1]) if len(texts) else [ids]
+
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the chunks of all texts one after another, the ends included; where each text stops."""
+        if len(self.index) > CACHE:
             self._clear()
-        chunks: list = []
-        ends = []
-        for t in texts:
-            chunks += _lowered(t or "").replace("\n", " ").split(" ")
-            chunks.append(None)
-            ends.append(len(chunks))
-        base = len(self.index)
-        code = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        if self.index.new:
-            self._learn(self.index.new, base)
-            self.index.new = []
-        first, count = self.first[code], self.count[code]
+        split = pc.split_pattern(pa.array([_lowered(t or "").replace("\n", " ") for t in texts], pa.large_string()), " ")
+        chunks = split.flatten().dictionary_encode()
+        base, own = len(self.index), chunks.dictionary.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.index.get, own, repeat(-1)), np.int64, len(own))
+        unknown = number < 0
+        if unknown.any():
+            new = own[unknown].tolist()
+            self._learn(new, base)
+            number[unknown] = np.arange(base, base + len(new))
+            self.index.update(zip(new, range(base, base + len(new))))  # last: a call that fails leaves no numbers
+        stops = np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64)
+        return np.insert(number[chunks.indices.to_numpy()], stops, 1), stops + np.arange(1, len(stops) + 1)
+
+    def ids(self, numbers: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered chunks; where each text stops in them."""
+        first, count = self.first[numbers], self.count[numbers]
         stop = np.cumsum(count)
         ids = self.flat[np.repeat(first - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
-        return np.split(ids, stop[np.array(ends[:-1], np.int64) - 1]) if len(ends) > 1 else [ids]
+        return ids, stop[stops - 1]
+
+
+def _letters(chunk: str) -> bool:
+    """Letters, or letters and one sign, in lower case."""
+    return chunk.lower() == chunk and (chunk.isalpha() or chunk[-1] in SIGNS and chunk[:-1].isalpha())
 
 
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
@@ -171,15 +174,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cut_places(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, kind) of the cut places of one document's ids, its end last."""
-    n = len(ids)
+def cut_places(ids: np.ndarray, stops: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, kind) of the cut places of documents whose ids follow one another, each with its end last."""
     places = np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1
     # after the last of several closing signs
     places = places[np.append(np.diff(places) > 1, True)] if len(places) else places
-    places = np.append(places[places < n - 1], n)
-    kinds = np.full(len(places), SENTENCE_CUT, np.int8)
-    kinds[-1] = DOCUMENT_CUT
+    places = places[places < stops[np.searchsorted(stops, places)] - 1]
+    kinds = np.repeat(np.array([SENTENCE_CUT, DOCUMENT_CUT], np.int8), [len(places), len(stops)])
+    places = np.concatenate([places, stops])
+    order = np.argsort(places, kind="stable")
+    places, kinds = places[order], kinds[order]
     gaps = np.diff(places, prepend=0)
     if (gaps > STEP).any():
         times = (gaps - 1) // STEP
@@ -200,13 +204,15 @@ def best_cuts(places: list[int], kinds: list[int], whole: bool) -> list[int]:
     source, value = [0] * (n + 1), [0] * (n + 1)  # value: cost + pos
     more = [WINDOW + p for p in PENALTY]
     queue, head = [0], 0
+    i = at = least = 0  # the queue's head, its place and value
     for j, (p, kind) in enumerate(zip(places, kinds, strict=True), 1):
-        while pos[queue[head]] < p - WINDOW:
+        while at < p - WINDOW:
             head += 1
-        i = queue[head]
+            i = queue[head]
+            at, least = pos[i], value[i]
         source[j] = i
-        value[j] = v = value[i] + more[kind]
-        while len(queue) > head and value[queue[-1]] >= v:
+        value[j] = v = least + more[kind]
+        while value[queue[-1]] >= v:  # never the head, which is less
             queue.pop()
         queue.append(j)
     j = n
@@ -238,9 +244,10 @@ class _Stream:
         self.kinds: list[np.ndarray] = []
         self.size, self.sequence, self.with_ids = 0, TaskContext.get().partitionId() << 32, with_ids
 
-    def add(self, doc_id, ids: np.ndarray, ends: np.ndarray) -> None:
-        places, kinds = cut_places(ids, ends)
-        self.docs.append((doc_id, len(ids), 0))
+    def add(self, doc_ids: list, ids: np.ndarray, stops: np.ndarray, ends: np.ndarray) -> None:
+        """Documents whose ids follow one another and stop at ``stops``."""
+        places, kinds = cut_places(ids, stops, ends)
+        self.docs += [(doc_id, n, 0) for doc_id, n in zip(doc_ids, np.diff(stops, prepend=0).tolist(), strict=True)]
         self.ids.append(ids)
         self.places.append(places + self.size)
         self.kinds.append(kinds)
@@ -293,10 +300,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False,
         enc, stream = encoder(path), _Stream(with_ids)
         for pdf in batches:
             ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+            numbers, stops = enc.numbers([t if isinstance(t, str) else None for t in texts])
             for k in range(0, len(texts), DOCS):
-                part = [t if isinstance(t, str) else None for t in texts[k:k + DOCS]]
-                for doc_id, own in zip(ids[k:k + DOCS], enc.encode(part), strict=True):
-                    stream.add(None if pd.isna(doc_id) else int(doc_id), own, enc.ends)
+                first = stops[k - 1] if k else 0
+                own = [None if pd.isna(i) else int(i) for i in ids[k:k + DOCS]]
+                part = stops[k:k + DOCS]
+                stream.add(own, *enc.ids(numbers[first:part[-1]], part - first), enc.ends)
                 if stream.size > HELD * WINDOW:
                     yield stream.settle(False)
         if stream.size:

@@ -126,3 +126,34 @@ def test_a_failed_call_leaves_no_numbers_without_ids(tokenizer, monkeypatch):
         with pytest.raises(ZeroDivisionError):
             enc.encode(["some words"])
     assert enc.encode(["some words"])[0].tolist() == tokenizer.encode("some words", add_special_tokens=False).ids + [P.END]
+
+
+def test_a_distinct_chunk_is_looked_up_once_a_batch(tokenizer):
+    enc = P.Encoder(P.default_tokenizer())
+    asked = []
+
+    class Counted(type(enc.index)):
+        def __getitem__(self, chunk):
+            asked.append(chunk)
+            return super().__getitem__(chunk)
+
+        def get(self, chunk, *default):
+            asked.append(chunk)
+            return super().get(chunk, *default)
+
+    enc.index = Counted(enc.index)
+    texts = ["alpha beta. " * 300, "beta. gamma " * 300]
+    got = [x.tolist() for x in enc.encode(texts)]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids + [P.END] for t in texts]
+    assert sorted(c for c in asked if c is not None) == ["", "alpha", "beta.", "gamma"]
+
+
+def test_cut_places_of_many_documents_are_those_of_each(tokenizer):
+    enc = P.Encoder(P.default_tokenizer())
+    texts = ["one. two! three?!", None, "...", "a", "word " * 200 + ". " * 3, "x. y"]
+    own = enc.encode(texts)
+    stops = np.cumsum([len(x) for x in own])
+    places, kinds = P.cut_places(np.concatenate(own), stops, enc.ends)
+    want = [P.cut_places(x, np.array([len(x)]), enc.ends) for x in own]
+    assert places.tolist() == [p + at for (ps, _), at in zip(want, stops - [len(x) for x in own]) for p in ps.tolist()]
+    assert kinds.tolist() == [k for _, ks in want for k in ks.tolist()]
