@@ -3,6 +3,8 @@
 import ctypes
 import gc
 
+import pyarrow as pa
+
 from recsift.session import ensure_checkpoint_dir
 
 #: rows of one Arrow batch; whole texts may be long, and a worker holds a few copies of a batch
@@ -19,8 +21,9 @@ def bounded_batches(spark) -> None:
 
 
 def release_memory() -> None:
-    """Hand a worker's freed memory back to the system, where the C library can; workers outlive their stages."""
+    """Hand a worker's freed memory back to the system, Arrow's and, where it can, the C library's; workers outlive their stages."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):

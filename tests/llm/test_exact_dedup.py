@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pyarrow as pa
+
 from recsift.llm import exact_dedup as D
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -98,3 +100,13 @@ def test_buffer_of_a_task_may_overflow(spark, monkeypatch):
 def test_empty_table(spark):
     assert D.groups(table(spark, [])).count() == 0
     assert D.deduplicate(table(spark, [])).count() == 0
+
+
+def test_a_worker_hands_its_buffer_on_in_small_batches():
+    texts = [f"{k} " * (100_000 + k) for k in range(60)] + ["Copy", "copy"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], names=["doc_id", "text"]) for k, t in enumerate(texts)]
+    out = list(D._combined(D.sha256)(iter(batches)))
+    assert max(b.nbytes for b in out) < D.ARROW_BYTES + max(map(len, texts)) + 10_000
+    found = [r for b in out for r in b.to_pylist()]
+    assert sorted((r["doc_id"], r["n"]) for r in found) == [(k, 1) for k in range(60)] + [(61, 2)]
+    assert all(r["norm"] == texts[r["doc_id"]].encode().lower() and r["digest"] == D.sha256(r["norm"]) for r in found)
