@@ -145,3 +145,21 @@ def test_vectors_are_not_joined_with_exclusions(spark):
     ex = spark.createDataFrame([(i, j) for i in range(20) for j in range(i)], "qid long, item_id long")
     plan = R.knn(q, it, 3, "dot", exclusions=ex)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" not in plan  # exclusions reach the blocks as rows of their own
+
+
+def test_nearest_cells_hold_few_scores_at_once():
+    """10,000 queries against 4,000 cells: the whole matrix has 320 MB, its sorted copies as much each."""
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    Q, C = rng.normal(size=(10_000, 16)), rng.normal(size=(4_000, 16))
+    C[7] = C[3]  # a tie goes to the lower number
+    tracemalloc.start()
+    one = ann.nearest_cells(Q, C, 1)
+    three = ann.nearest_cells(Q[:2_000], C, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    for a in range(0, 2_000, 500):
+        want = np.argsort(-np.round(Q[a:a + 500] @ C.T, 12), axis=1, kind="stable")
+        assert (one[a:a + 500, 0] == want[:, 0]).all() and (three[a:a + 500] == want[:, :3]).all()
+    assert 3 in one and 7 not in one
