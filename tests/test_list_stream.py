@@ -64,3 +64,38 @@ def test_hits_and_misses_equal_a_replay(spark):
 def test_batches_and_copies_of_keys_do_not_matter(spark):
     rows = sorted(operations(3, 120), key=lambda r: r[1]) + [(9999, START + dt.timedelta(hours=13), "read", "recs", 77, None)]
     assert sorted(run(spark, rows, 1, "t-lists-1", 1), key=repr) == sorted(run(spark, rows, 3, "t-lists-3", 3), key=repr)
+
+
+def test_a_batch_calls_the_state_function_once_per_bucket(spark):
+    """A call costs milliseconds whatever it holds, so calls must not grow with the keys."""
+    calls = spark.sparkContext.accumulator(0)
+    serve = SL._serve_fn
+
+    def counted(ttl):
+        fn = serve(ttl)
+
+        def run_one(group, pdfs, state):
+            calls.add(1)
+            yield from fn(group, pdfs, state)
+        return run_one
+    SL._serve_fn = counted
+    try:
+        rows = [(i, START + dt.timedelta(seconds=i), "write" if i < 300 else "read", "recs", i % 300, [i]) for i in range(600)]
+        rows.append((9999, START + dt.timedelta(hours=13), "read", "recs", 77, None))
+        got = run(spark, rows, 2, "t-lists-calls")
+    finally:
+        SL._serve_fn = serve
+    assert set(got) == model(rows, START + dt.timedelta(hours=12)) and len(got) == 300
+    # two batches and the one that settles them
+    assert calls.value <= 3 * SL.BUCKETS
+
+
+def test_rows_of_equal_time_and_seq_and_rows_without_seq(spark):
+    at = lambda m: START + dt.timedelta(minutes=m)
+    rows = [(1, at(1), "write", "recs", 5, [1]), (1, at(1), "read", "recs", 5, None), (1, at(1), "delete", "recs", 5, None),
+            (2, at(2), "read", "recs", 5, None), (2, at(2), "read", "recs", 5, None), (None, at(3), "read", "recs", 5, None),
+            (9, at(600), "read", "recs", 77, None)]
+    got = run(spark, rows, 1, "t-lists-equal")
+    # equal time and seq: delete, read, write
+    assert sorted(got, key=repr) == sorted([(1, "recs", 5, False, None), (2, "recs", 5, True, "1"), (2, "recs", 5, True, "1"),
+                                            (None, "recs", 5, True, "1")], key=repr)

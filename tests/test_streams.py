@@ -155,3 +155,18 @@ def test_session_behind_the_watermark_stays_open_although_another_follows(spark)
     out = CS._run_to_table(SSN.session_state_stream(read_replay(spark, root, schema)), "t-behind-out").collect()
     # the watermark stands at minute 601: sessions that ended by minute 571 are closed
     assert _key(out) == {(1, at(0), 2, (5, 6)), (3, at(570), 1, (1,))}
+
+
+def test_a_large_chunk_has_several_files_and_one_batch_reads_them(spark, monkeypatch):
+    from recsift.streaming import sources as SO
+    monkeypatch.setattr(SO, "FILE_ROWS", 10)
+    start = dt.datetime(2024, 1, 1)
+    # three of four chunks hold rows, one of them a single row
+    rows = [(i, 1, start + dt.timedelta(minutes=i)) for i in range(100)] + [(100, 1, start + dt.timedelta(minutes=250)), (101, 1, start + dt.timedelta(minutes=400))]
+    root, schema = SO.replay_files(spark.createDataFrame(rows, SCHEMA), "ts", 4, "t-files")
+    sizes = []
+    q = (SO.read_replay(spark, root, schema).writeStream.foreachBatch(lambda b, n: sizes.append(sorted(r["user_id"] for r in b.collect())))
+         .option("checkpointLocation", scratch_path(spark, "t-files-ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sizes == [list(range(100)), [], [100], [101]]
+    assert max(SO._files(spark.read.schema(schema).parquet(f"{root}/chunk=0000")).values()) > 1
