@@ -47,3 +47,12 @@ def test_top_k_per_user_uses_group_limit(spark, small_dir):
     ranked = spark.createDataFrame([(i, i + 1, 1.0) for i in range(100)], "item_id long, prank long, score double")
     p = _plan(R.top_k_unseen(ranked, 100, c.train.select("user_id", "item_id"), c.train_users, 10))
     assert "WindowGroupLimit" in p
+
+
+def test_a_long_ranked_list_meets_users_by_its_head(spark):
+    """All users want the first places: a sort-merge join by place would meet them in a few tasks."""
+    ranked = spark.createDataFrame([(i, i + 1, 1.0) for i in range(100)], "item_id long, prank long, score double")
+    seen = spark.createDataFrame([(u, (u * 7 + j) % 90) for u in range(20) for j in range(5)], "user_id long, item_id long")
+    p = _plan(R.top_k_unseen(ranked, 10_000_000, seen, seen.select("user_id").distinct(), 10))
+    by_place = [x for x in p.split("\n\n") if "Left keys [1]: [prank" in x]
+    assert by_place and not any("SortMergeJoin" in x for x in by_place)
