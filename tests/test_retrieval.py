@@ -163,3 +163,25 @@ def test_nearest_cells_hold_few_scores_at_once():
         want = np.argsort(-np.round(Q[a:a + 500] @ C.T, 12), axis=1, kind="stable")
         assert (one[a:a + 500, 0] == want[:, 0]).all() and (three[a:a + 500] == want[:, :3]).all()
     assert 3 in one and 7 not in one
+
+
+def test_lsh_scores_a_bucket_in_few_blocks(spark, monkeypatch):
+    """One bit makes 24 buckets of about 3,000 queries and items, or 6,000 where signs are alike: each is one block pair."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(6000, 4)) + np.array([6.0, 0, 0, 0]))]
+    vecs = spark.createDataFrame(rows, "item_id long, v array<double>")
+    q = vecs.filter("item_id < 50").select(F.col("item_id").alias("qid"), "v")
+    calls, local = spark.sparkContext.accumulator(0), R._local_topk
+
+    def counted(*args):
+        fn = local(*args)
+
+        def run(a, b):
+            calls.add(1 if len(a) and len(b) else 0)
+            return fn(a, b)
+        return run
+    monkeypatch.setattr(R, "_local_topk", counted)
+    found = ann.search_lsh(q, vecs, 5, bits=1)
+    assert found.count() == 250
+    # a bucket is scored once a run; the items of a bucket were met in two blocks where it holds more than 4,096
+    assert 0 < calls.value <= 24
