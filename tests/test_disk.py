@@ -3,6 +3,8 @@
 import os
 import time
 
+from pyspark.sql import functions as F
+
 from recsift import session as S
 from recsift.operators import models as M
 
@@ -36,3 +38,14 @@ def test_release_deletes_only_written_tables(spark, tmp_path):
 def test_blocks_of_factors_grow_with_the_ratings():
     assert M.als_blocks(0) == M.als_blocks(25_000_000) == 10
     assert M.als_blocks(150_000_000) == 60
+
+
+def test_a_fit_keeps_its_vectors_and_no_ratings(spark):
+    rows = spark.createDataFrame([(u, i, 1.0) for u in range(30) for i in range(u % 7, 20)], "user_id long, item_id long, weight double")
+    users, items = (S.materialize(rows.select(c).distinct().withColumn(f"{c[:4]}_code", F.col(c)), "codes") for c in ("user_id", "item_id"))
+    folder = S.ensure_checkpoint_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    uf, itf = M.fit_als(rows, users, items, rank=3, max_iter=3)
+    assert uf.count() == 30 and itf.count() == 20
+    assert {n.rpartition("-")[0] for n in set(os.listdir(folder)) - before} >= {"als-users", "als-items"}
+    assert not [n for n in os.listdir(folder) if n.startswith("als-ratings")]
